@@ -1,0 +1,4 @@
+"""Nothing streams: every input is a finished file and every operator is a batch job.
+
+The package is kept so that the layout is complete; see README.md for the reason.
+"""
