@@ -22,6 +22,11 @@ def hash32(*parts) -> Column:
     return F.conv(F.substring(keyed_hash(*parts), 1, 8), 16, 10).cast("bigint")
 
 
+def hash60(*parts) -> Column:
+    """The first 60 bits of keyed_hash: wide enough to index tables beyond 2^32 rows."""
+    return F.conv(F.substring(keyed_hash(*parts), 1, 15), 16, 10).cast("bigint")
+
+
 # ------------------------------------------------------------------ numbers
 def round_to(x, digits: int) -> Column:
     """Round a double to `digits` decimals, ties to even."""
@@ -114,6 +119,11 @@ def stars(p) -> Column:
     )
 
 
+def fixed(x, digits: int) -> Column:
+    """Text with a fixed number of decimals, ties to even."""
+    return F.format_string(f"%.{digits}f", round_to(x, digits))
+
+
 # ------------------------------------------------------------------ boxes
 def iou(a: tuple, b: tuple) -> Column:
     """IoU of two boxes given as (x0, y0, x1, y1) columns; 0 without overlap or area."""
@@ -131,9 +141,8 @@ def yolo_line(x0, y0, x1, y1, size: int = 640) -> Column:
     """Ground-truth text line '0 cx cy w h', normalised, six decimals."""
     x0, y0, x1, y1 = (_col(c).cast("double") for c in (x0, y0, x1, y1))
     s = F.lit(float(size))
-    return F.format_string(
-        "0 %.6f %.6f %.6f %.6f", (x0 + x1) / 2 / s, (y0 + y1) / 2 / s, (x1 - x0) / s, (y1 - y0) / s
-    )
+    parts = ((x0 + x1) / 2 / s, (y0 + y1) / 2 / s, (x1 - x0) / s, (y1 - y0) / s)
+    return F.concat_ws(" ", F.lit("0"), *[fixed(p, 6) for p in parts])
 
 
 # ------------------------------------------------------------------ paths and names

@@ -122,6 +122,45 @@ def cut_slots(
     return whole.unionByName(split).drop(*drop)
 
 
+def rows_at(
+    df: DataFrame, by: list[str], order: list, shares: list[float], bucket: str = "_bkt"
+) -> DataFrame:
+    """Rows at position int(q * (n - 1)) of each group's total order, with `point` = index of q.
+
+    Only the buckets that hold a wanted position are sorted.
+    """
+    g = _group(by)
+    df = _with_group(df, by)
+    offsets = bucket_offsets(df, g, bucket).withColumn(
+        "_total", F.sum("_n").over(Window.partitionBy(*g))
+    )
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("point"),
+                F.floor(F.lit(float(q)) * (F.col("_total") - 1).cast("double")).alias("rank"),
+            )
+            for i, q in enumerate(shares)
+        ]
+    )
+    offsets = offsets.withColumn(
+        "_want",
+        F.filter(
+            wanted,
+            lambda t: (t["rank"] >= F.col("_before"))
+            & (t["rank"] < F.col("_before") + F.col("_n")),
+        ),
+    ).filter(F.size("_want") > 0)
+    inside = Window.partitionBy(*g, bucket).orderBy(*order)
+    return (
+        df.join(offsets.drop("_n", "_total"), [*g, bucket])
+        .withColumn("pos", F.col("_before") + F.row_number().over(inside) - 1)
+        .withColumn("_hit", F.explode(F.filter("_want", lambda t: t["rank"] == F.col("pos"))))
+        .withColumn("point", F.col("_hit.point"))
+        .drop("_hit", "_want", "_before", bucket, *([] if by else ["_all"]))
+    )
+
+
 def exact_quantiles(
     df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int = LINEAR_BUCKETS
 ) -> DataFrame:

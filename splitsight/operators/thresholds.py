@@ -324,7 +324,7 @@ def detection_at_budgets(
 def image_hits(images: DataFrame, budget: float) -> DataFrame:
     """Every photograph with its hit flag at the matched budget; never-fired is never a hit."""
     points = detection_at_budgets(images, [budget]).select("arm", "threshold")
-    return images.join(points, "arm").select(
+    return images.join(F.broadcast(points), "arm").select(  # one row per arm
         "arm", "image_id", "role", "category",
         F.coalesce(F.col("max_conf") >= F.col("threshold"), F.lit(False)).alias("hit"),
     )
