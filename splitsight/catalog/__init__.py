@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["thresholds", "stats", "boxes"]
+GROUPS = ["thresholds", "stats", "boxes", "splits"]
 
 
 def _merged(attribute: str) -> dict:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import iou, round_to, run_name
 from ..operators import boxes as X, fusion as W, thresholds as T
+from ..session import checkpointed
 from ..sources import testdata as td
 from .stats import CAT_SQL, arm_totals, catalogue
 from .thresholds import FINE_GRID, POINTS, counts_sql, fine_sweep, sweep_sql
@@ -189,7 +190,7 @@ register(
 
 def ensemble_threshold(s, d) -> DataFrame:
     """Box-level F1 peak of the fused boxes on the labelled photographs, then the nearest sweep row."""
-    fused = fused_photos(s, d).filter("conf is not null")
+    fused = checkpointed(fused_photos(s, d).filter("conf is not null"))  # read four times below
     boxes = fused.filter(F.col("role") == T.POS).withColumn(
         "pred_id", F.concat_ws("-", "crowd", "cluster")
     ).select(F.lit("ensemble").alias("arm"), "image_id", "pred_id", "conf", *X.XYXY)

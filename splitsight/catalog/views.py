@@ -100,8 +100,8 @@ fp AS (
   FROM (SELECT *, {h('role', 'item_id')} % 20 AS k FROM fp0))"""
 
 HAMMING = (
-    "(bit_count(xor(a.hw[1], b.hw[1])) + bit_count(xor(a.hw[2], b.hw[2]))"
-    " + bit_count(xor(a.hw[3], b.hw[3])) + bit_count(xor(a.hw[4], b.hw[4])))"
+    "(bit_count(xor(a.hw[1], b.hw[1]))::INT + bit_count(xor(a.hw[2], b.hw[2]))::INT"
+    " + bit_count(xor(a.hw[3], b.hw[3]))::INT + bit_count(xor(a.hw[4], b.hw[4]))::INT)"
 )
 
 SIGNED = (
