@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-GROUPS = ["thresholds", "stats", "boxes", "splits"]
+GROUPS = ["inputs", "splits", "screening", "thresholds", "boxes", "stats"]
 
 
 def _merged(attribute: str) -> dict:

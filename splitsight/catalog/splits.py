@@ -379,15 +379,15 @@ register(
 
 
 def log(s, d) -> DataFrame:
-    """An extraction log that consumed half of the manifest, and some paths outside it."""
-    used = hash32(F.lit("used"), F.col("doc_id")) % 10
-    src = F.when(used < 1, F.concat(F.lit("elsewhere/"), F.col("doc_id").cast("string"))).otherwise(F.col("path"))
-    return messy(s, d).filter(used < 5).select(src.alias("source_path"))
+    """An extraction log that consumed every labelled document, toxic ones from another folder."""
+    labels = td.table(s, d, "labels").select("doc_id", "toxic")
+    src = F.when(F.col("toxic") == 1, F.concat(F.lit("elsewhere/"), F.col("doc_id").cast("string")))
+    return messy(s, d).join(labels, "doc_id").select(F.coalesce(src, "path").alias("source_path"))
 
 
 LOG = f"""log AS (
-  SELECT CASE WHEN u < 1 THEN 'elsewhere/' || doc_id::VARCHAR ELSE path END AS source_path
-  FROM (SELECT *, {h('used', 'doc_id')} % 10 AS u FROM man) WHERE u < 5),
+  SELECT CASE WHEN toxic = 1 THEN 'elsewhere/' || doc_id::VARCHAR ELSE path END AS source_path
+  FROM man JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id)),
 used AS (SELECT DISTINCT {NORM.replace('path', 'source_path')} AS p FROM log)"""
 
 
@@ -412,15 +412,15 @@ register(
 
 
 def copies(s, d) -> DataFrame:
-    """Background copies on disk: nine in ten of the listed ones, split by hash."""
+    """Background copies on disk: sides by hash, and a side holds each content once."""
     bg = td.manifest(s, d).filter("role = 'bg'")
-    side = F.when(hash32(F.lit("side"), F.col("doc_id")) % 5 < 1, "val").otherwise("train")
-    return bg.filter(hash32(F.lit("copy"), F.col("doc_id")) % 10 < 9).select(side.alias("side"), "content")
+    side = F.when(hash32(F.lit("side"), F.col("doc_id")) % 2 < 1, "val").otherwise("train")
+    return bg.select(side.alias("side"), "content").distinct()
 
 
 COPIES = f"""copies AS (
-  SELECT CASE WHEN {h('side', 'doc_id')} % 5 < 1 THEN 'val' ELSE 'train' END AS side, content
-  FROM {{src}} WHERE role = 'bg' AND {h('copy', 'doc_id')} % 10 < 9),
+  SELECT DISTINCT CASE WHEN {h('side', 'doc_id')} % 2 < 1 THEN 'val' ELSE 'train' END AS side, content
+  FROM {{src}} WHERE role = 'bg'),
 recon AS (
   SELECT n_disk, n_manifest, n_disk = n_manifest AS counts_match, n_shared FROM
     (SELECT count(*) AS n_disk FROM copies),
