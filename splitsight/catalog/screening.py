@@ -199,10 +199,10 @@ def objects(s, d) -> DataFrame:
 
 
 VISIBLE = f"""cells AS (
-  SELECT image_id, box_id AS obj, x, y FROM box
+  SELECT image_id, box_id AS obj, ('0x' || substr(md5(concat_ws('|', 'z', image_id, box_id)), 1, 15))::BIGINT AS z, x, y FROM box
   CROSS JOIN LATERAL (SELECT unnest(range(x0 // 25, (x1 - 1) // 25 + 1)) AS x)
   CROSS JOIN LATERAL (SELECT unnest(range(y0 // 25, (y1 - 1) // 25 + 1)) AS y)),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY obj DESC) AS rk FROM cells),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id, x, y ORDER BY z DESC) AS rk FROM cells),
 vis AS (
   SELECT image_id, obj, count(*) AS n_cells, count(*) FILTER (rk = 1) AS n_visible,
          min(x) FILTER (rk = 1) AS x0, min(y) FILTER (rk = 1) AS y0,

@@ -19,10 +19,13 @@ XYXY = ["x0", "y0", "x1", "y1"]
 
 
 def _cells(df: DataFrame, cell: int) -> DataFrame:
-    """One row per grid cell that a box touches."""
+    """One row per grid cell that a box touches.
+
+    Never empty, so the outer form is the same and adds no filter that evaluates the range twice.
+    """
     at = lambda c: F.floor(F.col(c) / F.lit(cell))
-    return df.withColumn("_cx", F.explode(F.sequence(at("x0"), at("x1")))).withColumn(
-        "_cy", F.explode(F.sequence(at("y0"), at("y1")))
+    return df.withColumn("_cx", F.explode_outer(F.sequence(at("x0"), at("x1")))).withColumn(
+        "_cy", F.explode_outer(F.sequence(at("y0"), at("y1")))
     )
 
 
@@ -156,8 +159,8 @@ def _inside(points: DataFrame, boxes: DataFrame) -> DataFrame:
     test is only made inside a tile.
     """
     span = lambda a, b: F.sequence(F.floor(F.col(a) / TILE), F.floor((F.col(b) - 1) / TILE))
-    tiles = boxes.filter("cx1 > cx0 and cy1 > cy0").withColumn("_tx", F.explode(span("cx0", "cx1"))).withColumn(
-        "_ty", F.explode(span("cy0", "cy1"))
+    tiles = boxes.filter("cx1 > cx0 and cy1 > cy0").withColumn("_tx", F.explode_outer(span("cx0", "cx1"))).withColumn(
+        "_ty", F.explode_outer(span("cy0", "cy1"))
     )
     p = points.withColumn("_tx", F.floor(F.col("x") / TILE)).withColumn(
         "_ty", F.floor(F.col("y") / TILE)

@@ -46,7 +46,7 @@ def band_values(hash_col: str = "hash") -> Column:
 
 
 def _banded(df: DataFrame) -> DataFrame:
-    return df.withColumn("_bands", band_values()).withColumn("_b", F.explode("_bands"))
+    return df.withColumn("_bands", band_values()).withColumn("_b", F.explode_outer("_bands"))
 
 
 def near_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:

@@ -48,7 +48,7 @@ def per_image(photos: DataFrame, boxes: DataFrame, arms: list[str]) -> DataFrame
     )
     return (
         photos.join(wide, "image_id", "left")
-        .select("image_id", "role", "category", F.explode(cells).alias("c"))
+        .select("image_id", "role", "category", F.explode_outer(cells).alias("c"))
         .select(
             "c.arm", "image_id", "role", "category", "c.n_boxes", "c.top",
             round_to("c.top", 6).alias("max_conf"),

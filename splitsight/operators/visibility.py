@@ -17,29 +17,32 @@ def object_visibility(
 ) -> DataFrame:
     """(image_id, obj, n_cells, n_visible, phi, labelled, x0, y0, x1, y1) of every placed object.
 
-    cells: (image_id, z, obj, x, y); the highest z owns a cell, and a null obj only hides others.
-    Objects smaller than min_cells are not placed at all. The box is the tight bound of the
-    visible cells; it is null unless enough is visible and both sides reach min_side.
+    cells: (image_id, z, obj, x, y) with a numeric layer z of its own for every object of an
+    image; the highest layer owns a cell, and a layer with a null obj only hides others. Objects
+    smaller than min_cells are not placed at all. The box is the tight bound of the visible cells;
+    it is null unless enough is visible and both sides reach min_side.
+
+    Owners are found on the layer numbers alone, so both aggregates stay hash-based and the cells
+    of a crowded image are combined before the shuffle.
     """
     if min_cells > 1:
         placed = (
-            cells.filter("obj is not null").groupBy("image_id", "obj").agg(F.count(F.lit(1)).alias("_n"))
-            .filter(F.col("_n") >= min_cells).select("image_id", "obj")
+            cells.filter("obj is not null").groupBy("image_id", "z").agg(F.count(F.lit(1)).alias("_n"))
+            .filter(F.col("_n") >= min_cells).select("image_id", "z")
         )
         cells = cells.filter("obj is null").unionByName(
-            cells.join(placed, ["image_id", "obj"], "left_semi").select(*cells.columns)
+            cells.filter("obj is not null").join(placed, ["image_id", "z"], "left_semi").select(*cells.columns)
         )
     owner = (
-        cells.groupBy("image_id", "x", "y").agg(F.max(F.struct("z", "obj")).alias("top"))
-        .filter("top.obj is not null")
-        .groupBy("image_id", F.col("top.obj").alias("obj"))
+        cells.groupBy("image_id", "x", "y").agg(F.max("z").alias("z"))
+        .groupBy("image_id", "z")
         .agg(
             F.count(F.lit(1)).alias("n_visible"),
             F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"),
         )
     )
-    size = cells.filter("obj is not null").groupBy("image_id", "obj").agg(F.count(F.lit(1)).alias("n_cells"))
-    rows = size.join(owner, ["image_id", "obj"], "left").withColumn(
+    size = cells.filter("obj is not null").groupBy("image_id", "z", "obj").agg(F.count(F.lit(1)).alias("n_cells"))
+    rows = size.join(owner, ["image_id", "z"], "left").withColumn(
         "n_visible", F.coalesce("n_visible", F.lit(0).cast("bigint"))
     ).withColumn("phi", ratio("n_visible", F.greatest(F.col("n_cells"), F.lit(1))))
     labelled = (

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..functions.expressions import HASH_SIDE, difference_hash, hash32
+from ..functions.expressions import HASH_SIDE, difference_hash, hash32, hash60
 
 ARMS = ["m0", "m1", "m2", "m3"]
 ROLES = ["pos_test", "neg_test"]
@@ -204,14 +204,17 @@ def screening_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_cells(spark: SparkSession, sf_dir: str, cell: int = 25) -> DataFrame:
-    """(image_id, z, obj, x, y): every box snapped to a cell grid; later keys lie on top."""
+    """(image_id, z, obj, x, y): every box snapped to a cell grid, layers in hashed order."""
+    # the outer form keeps Spark from adding a "not empty" filter that would hash every box again
     b = raw_boxes(spark, sf_dir)
     span = lambda a, z: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(z) - 1) / cell))
     return (
-        b.select("image_id", "box_id", span("x0", "x1").alias("xs"), span("y0", "y1").alias("ys"))
-        .withColumn("x", F.explode("xs"))
-        .withColumn("y", F.explode("ys"))
-        .select("image_id", F.col("box_id").alias("z"), F.col("box_id").alias("obj"), "x", "y")
+        b.select(
+            "image_id", hash60(F.lit("z"), "image_id", "box_id").alias("z"), F.col("box_id").alias("obj"),
+            span("x0", "x1").alias("xs"), span("y0", "y1").alias("ys"),
+        )
+        .select("image_id", "z", "obj", "ys", F.explode_outer("xs").alias("x"))
+        .select("image_id", "z", "obj", "x", F.explode_outer("ys").alias("y"))
     )
 
 
