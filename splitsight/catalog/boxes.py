@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import iou, round_to, run_name
+from ..functions.expressions import iou, round_to
 from ..operators import boxes as X, fusion as W, thresholds as T
-from ..session import checkpointed
+from ..plans.ensemble import evaluate_ensemble
 from ..sources import testdata as td
 from .stats import CAT_SQL, arm_totals, catalogue
 from .thresholds import FINE_GRID, POINTS, counts_sql, fine_sweep, sweep_sql
@@ -189,20 +189,7 @@ register(
 
 
 def ensemble_threshold(s, d) -> DataFrame:
-    """Box-level F1 peak of the fused boxes on the labelled photographs, then the nearest sweep row."""
-    fused = checkpointed(fused_photos(s, d).filter("conf is not null"))  # read four times below
-    boxes = fused.filter(F.col("role") == T.POS).withColumn(
-        "pred_id", F.concat_ws("-", "crowd", "cluster")
-    ).select(F.lit("ensemble").alias("arm"), "image_id", "pred_id", "conf", *X.XYXY)
-    truth = td.truths(s, d).withColumn("arm", F.lit("ensemble"))
-    flags = X.flag_matches(boxes, X.greedy_match(boxes, truth, KEYS), KEYS)
-    n = truth.groupBy("arm").agg(F.count(F.lit(1)).alias("n_truth"))
-    peak = X.best_box_f1(flags.select("arm", "conf", "tp"), n, ["arm"])
-    dets = fused.select(F.lit("ensemble").alias("arm"), "image_id", "role", "conf")
-    img = T.per_image(td.photos(s, d), dets, ["ensemble"])
-    rows = T.sweep(T.fired_counts(img, dets, ["arm"]), ["arm"])
-    point = T.carried_point(rows, peak.select("arm", F.col("confidence").alias("threshold")), ["arm"])
-    return point.join(peak.select("arm", round_to("f1", 9).alias("box_f1")), "arm")
+    return evaluate_ensemble(td.photos(s, d), fusion_boxes(s, d), weights(s, d), td.truths(s, d))["headline"]
 
 
 register("B9_ensemble_threshold", ensemble_threshold)
