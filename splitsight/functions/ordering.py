@@ -1,7 +1,7 @@
 """Ranks, cuts and quantiles that never sort a whole group in one task.
 
 Every helper works in two levels. Rows get an order-preserving bucket; bucket counts (a map-side
-combined aggregate, at most `buckets` rows per group) give each bucket its offset; only rows
+combined aggregate with a bounded number of rows per group) give each bucket its offset; only rows
 inside one bucket are ever sorted together. A group that holds a third of the table is therefore
 spread over all its buckets.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_DIGITS = 3  # 4,096 buckets per group
-LINEAR_BUCKETS = 4096
+LINEAR_BUCKETS = 1024  # per level, two levels
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
@@ -30,23 +30,27 @@ def _with_group(df: DataFrame, by: list[str]) -> DataFrame:
 def linear_bucket(
     df: DataFrame, by: list[str], value: str, buckets: int = LINEAR_BUCKETS, out: str = "_bkt"
 ) -> DataFrame:
-    """Add equal-width buckets between each group's smallest and largest value."""
+    """Add an order-preserving bucket of a number: equal widths, twice.
+
+    The first level cuts each group's range into `buckets` equal parts, the second cuts what each
+    part really holds again. A few far-off values squeeze all others into one part of the first
+    level; the second spreads them out.
+    """
     g = _group(by)
-    df = _with_group(df, by)
-    ends = df.groupBy(*g).agg(
-        F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi")
-    )
+    rows = _with_group(df, by)
     v = F.col(value).cast("double")
-    share = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    return (
-        df.join(ends, g)
-        .withColumn(
-            out,
-            F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (buckets - 1))).otherwise(
-                F.lit(0).cast("bigint")
-            ),
+
+    def level(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        ends = rows.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        share = (v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+        part = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (buckets - 1))).otherwise(
+            F.lit(0).cast("bigint")
         )
-        .drop("_lo", "_hi", *([] if by else ["_all"]))
+        return rows.join(ends, keys).withColumn(name, part).drop("_lo", "_hi")
+
+    rows = level(level(rows, g, "_b1"), [*g, "_b1"], "_b2")
+    return rows.withColumn(out, F.col("_b1") * buckets + F.col("_b2")).drop(
+        "_b1", "_b2", *([] if by else ["_all"])
     )
 
 

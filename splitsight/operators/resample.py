@@ -10,13 +10,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import hash60, keyed_hash, ratio
 from ..functions.ordering import cut_slots, hash_bucket, positions
+from ..session import spread
 from .stats import AREA_LIMIT, partial_area
 from .thresholds import BUDGETS, NEG, POS
 
 
 def arm_scores(images: DataFrame) -> DataFrame:
     """(image_id, role, scores): one row per photograph with the few arms' scores as an array."""
-    return images.groupBy("image_id", "role").agg(
+    return spread(images, "image_id").groupBy("image_id", "role").agg(
         F.collect_list(F.struct("arm", F.col("max_conf").alias("score"))).alias("scores")
     )
 
@@ -30,7 +31,7 @@ def bootstrap_levels(images: DataFrame, reps: int) -> DataFrame:
     sizes = placed.groupBy("role").agg(F.count(F.lit(1)).alias("n_role"))
     every = F.sequence(F.lit(0), F.lit(reps - 1))
     drawn = (
-        placed.select("role", "pos")
+        spread(placed.select("role", "pos"), "pos")
         .join(F.broadcast(sizes), "role")  # one row per role
         .withColumn("rep", F.explode(every))
         .withColumn("pos", hash60(F.lit("draw"), "rep", "role", "pos") % F.col("n_role"))
@@ -38,7 +39,7 @@ def bootstrap_levels(images: DataFrame, reps: int) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("w"))
     )
     pos, neg = F.col("role") == POS, F.col("role") == NEG
-    levels = (
+    return (
         drawn.join(placed.select("role", "pos", "scores"), ["role", "pos"])
         .select("rep", "role", "w", F.explode("scores").alias("s"))
         .groupBy(F.col("s.arm").alias("arm"), "rep", F.col("s.score").alias("score"))
@@ -47,10 +48,6 @@ def bootstrap_levels(images: DataFrame, reps: int) -> DataFrame:
             F.sum(F.when(neg, F.col("w")).otherwise(0)).alias("neg"),
         )
     )
-    group = Window.partitionBy("arm", "rep")
-    return levels.withColumn("n_pos", F.sum("pos").over(group)).withColumn(
-        "n_neg", F.sum("neg").over(group)
-    )
 
 
 def area_bootstrap(images: DataFrame, reps: int = 2000, limit: float = AREA_LIMIT) -> DataFrame:
@@ -98,11 +95,12 @@ def conformal_cuts(halves: DataFrame, targets: list[float]) -> DataFrame:
             F.count(F.when(F.col("slot") == 1, 1)).alias("held"),
         )
     )
-    group = Window.partitionBy("arm", "rep")
-    down = group.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("arm", "rep").orderBy(F.desc("score"))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     levels = (
-        levels.withColumn("n_cal", F.sum("cal").over(group))
-        .withColumn("n_held", F.sum("held").over(group))
+        levels.withColumn("n_cal", F.sum("cal").over(whole))
+        .withColumn("n_held", F.sum("held").over(whole))
         .withColumn("cal_to", F.sum("cal").over(down))
         .withColumn("held_to", F.sum("held").over(down))
     )

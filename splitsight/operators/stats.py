@@ -8,7 +8,7 @@ from ..functions.expressions import (
     mcnemar_exact, paired_difference, ratio, round_to, stars,
 )
 from ..functions.ordering import exact_quantiles, linear_bucket, rows_at
-from .thresholds import NEG, POS, cumulative_curve, score_levels
+from .thresholds import NEG, POS, cumulative_curve, falling, score_levels
 
 AREA_LIMIT = 0.15
 UNSTABLE_SPREAD = 10.0
@@ -123,34 +123,35 @@ def difference_matrix(pairs: DataFrame, rates: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ ROC
 def roc_curve(levels: DataFrame, by: list[str]) -> DataFrame:
     """(by, vertex, fa, det) from the origin through every distinct score, highest first."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
     curve = cumulative_curve(levels, by).select(
-        *by, F.row_number().over(down).alias("vertex"), "fa", "det"
+        *by, F.row_number().over(falling(by)).alias("vertex"), "score", "fa", "det"
     )
-    origin = levels.groupBy(*by).agg(
-        F.lit(0).alias("vertex"), F.lit(0.0).alias("fa"), F.lit(0.0).alias("det")
+    vertex = lambda k, fa, det: F.struct(k.alias("vertex"), fa.alias("fa"), det.alias("det"))
+    here = vertex(F.col("vertex"), F.col("fa"), F.col("det"))
+    origin = vertex(F.lit(0), F.lit(0.0), F.lit(0.0))
+    fired = F.col("score").isNotNull()
+    # the origin rides along with each group's first row
+    rows = F.when(F.col("vertex") == 1, F.when(fired, F.array(origin, here)).otherwise(F.array(origin))).when(
+        fired, F.array(here)
     )
-    return origin.unionByName(curve)
+    return curve.select(*by, F.explode(rows).alias("v")).select(*by, "v.*")
 
 
 def partial_area(levels: DataFrame, by: list[str], limit: float = AREA_LIMIT) -> DataFrame:
     """(by, area): trapezoid area for false alarms up to `limit`, closed there, over `limit`."""
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    curve = cumulative_curve(levels, by)
-    steps = curve.withColumn("fa0", F.coalesce(F.lag("fa").over(down), F.lit(0.0))).withColumn(
-        "det0", F.coalesce(F.lag("det").over(down), F.lit(0.0))
+    down = falling(by)
+    steps = cumulative_curve(levels, by).withColumn(
+        "fa0", F.coalesce(F.lag("fa").over(down), F.lit(0.0))
+    ).withColumn("det0", F.coalesce(F.lag("det").over(down), F.lit(0.0)))
+    kept = F.col("fa") <= F.lit(limit)
+    strip = (F.col("fa") - F.col("fa0")) * (F.col("det") + F.col("det0")) / 2
+    area = steps.groupBy(*by).agg(
+        F.sum(F.when(kept, strip)).alias("body"),
+        F.max(F.when(kept, F.col("fa"))).alias("fa"),
+        F.max(F.when(kept, F.col("det"))).alias("det"),
     )
-    kept = steps.filter(F.col("fa") <= F.lit(limit))
-    body = kept.groupBy(*by).agg(
-        F.sum((F.col("fa") - F.col("fa0")) * (F.col("det") + F.col("det0")) / 2).alias("body"),
-        F.max("fa").alias("fa"),
-        F.max("det").alias("det"),
-    )
-    every = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     closing = F.coalesce((F.lit(limit) - F.col("fa")) * F.col("det"), F.lit(0.0))
-    return every.join(body, by, "left").select(
-        *by, ((F.coalesce("body", F.lit(0.0)) + closing) / F.lit(limit)).alias("area")
-    )
+    return area.select(*by, ((F.coalesce("body", F.lit(0.0)) + closing) / F.lit(limit)).alias("area"))
 
 
 def arm_levels(images: DataFrame) -> DataFrame:

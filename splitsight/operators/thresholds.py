@@ -255,33 +255,38 @@ def worst_false_alarms(boxes: DataFrame, threshold: float, k: int = WORST) -> Da
 
 # ------------------------------------------------------------------ matched budgets
 def score_levels(images: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, score, pos, neg, n_pos, n_neg): photographs at every distinct stored score.
+    """(by, score, pos, neg): photographs at every distinct stored score.
 
     The row with a null score holds the photographs that never fired.
     """
     by = by or ["arm"]
-    levels = images.groupBy(*by, F.col("max_conf").alias("score")).agg(
+    return images.groupBy(*by, F.col("max_conf").alias("score")).agg(
         F.count(F.when(F.col("role") == POS, 1)).alias("pos"),
         F.count(F.when(F.col("role") == NEG, 1)).alias("neg"),
     )
-    group = Window.partitionBy(*by)
-    return levels.withColumn("n_pos", F.sum("pos").over(group)).withColumn(
-        "n_neg", F.sum("neg").over(group)
-    )
+
+
+def falling(by: list[str]):
+    """The order of every curve: highest score first, the never-fired row last."""
+    return Window.partitionBy(*by).orderBy(F.col("score").desc_nulls_last())
 
 
 def cumulative_curve(levels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, score, hits, alarms, det, fa): cumulative from the highest score down."""
+    """(by, score, hits, alarms, n_pos, n_neg, det, fa): cumulative from the highest score down.
+
+    Totals and running sums share one sort. The never-fired row stays, with a null det and fa.
+    """
     by = by or ["arm"]
-    down = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
+    upto = falling(by).rowsBetween(Window.unboundedPreceding, 0)
+    whole = falling(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    fired = F.col("score").isNotNull()
     return (
-        levels.filter("score is not null")
-        .withColumn("hits", F.sum("pos").over(down))
-        .withColumn("alarms", F.sum("neg").over(down))
-        .withColumn("det", ratio("hits", "n_pos"))
-        .withColumn("fa", ratio("alarms", "n_neg"))
+        levels.withColumn("hits", F.sum("pos").over(upto))
+        .withColumn("alarms", F.sum("neg").over(upto))
+        .withColumn("n_pos", F.sum("pos").over(whole))
+        .withColumn("n_neg", F.sum("neg").over(whole))
+        .withColumn("det", F.when(fired, ratio("hits", "n_pos")))
+        .withColumn("fa", F.when(fired, ratio("alarms", "n_neg")))
     )
 
 
@@ -294,8 +299,7 @@ def detection_at_budgets(
     Censored means that even the lowest stored score stays within the budget.
     """
     by = by or ["arm"]
-    levels = score_levels(images, by)
-    cur = cumulative_curve(levels, by)
+    curve = cumulative_curve(score_levels(images, by), by)
     cols = []
     for i, b in enumerate(budgets):
         ok = F.col("fa") <= F.lit(b)
@@ -303,8 +307,7 @@ def detection_at_budgets(
             F.max(F.when(ok, F.col("det"))).alias(f"d{i}"),
             F.min(F.when(ok, F.col("score"))).alias(f"t{i}"),
         ]
-    best = cur.groupBy(*by).agg(*cols, F.max("fa").alias("lowest_fa"))
-    every = levels.groupBy(*by).agg(F.count(F.lit(1)).alias("_levels")).drop("_levels")
+    best = curve.groupBy(*by).agg(*cols, F.max("fa").alias("lowest_fa"))
     cells = F.array(
         *[
             F.struct(
@@ -316,9 +319,7 @@ def detection_at_budgets(
             for i, b in enumerate(budgets)
         ]
     )
-    return (
-        every.join(best, by, "left").select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
-    )
+    return best.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
 
 
 def image_hits(images: DataFrame, budget: float) -> DataFrame:

@@ -49,3 +49,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name beside the checkpoints, where every executor can write."""
     ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/scratch/{name}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash rows over all shuffle partitions before each of them becomes many.
+
+    A fixed partition number keeps adaptive execution from merging the partitions by their size
+    before the rows multiply; hashing by key keeps retried tasks deterministic.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

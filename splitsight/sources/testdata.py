@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import HASH_SIDE, difference_hash, hash32, hash60
+from ..session import spread
 
 ARMS = ["m0", "m1", "m2", "m3"]
 ROLES = ["pos_test", "neg_test"]
@@ -209,7 +210,7 @@ def layer_cells(spark: SparkSession, sf_dir: str, cell: int = 25) -> DataFrame:
     b = raw_boxes(spark, sf_dir)
     span = lambda a, z: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(z) - 1) / cell))
     return (
-        b.select(
+        spread(b, "image_id", "box_id").select(
             "image_id", hash60(F.lit("z"), "image_id", "box_id").alias("z"), F.col("box_id").alias("obj"),
             span("x0", "x1").alias("xs"), span("y0", "y1").alias("ys"),
         )

@@ -57,3 +57,12 @@ def test_single_value_group(spark):
     df = spark.createDataFrame([("x", 1.5)] * 7, "g string, v double")
     assert exact_quantiles(df, ["g"], "v", [0.5]).first().quantile == 1.5
     assert exact_quantiles(df.withColumn("v", F.lit(None).cast("double")), ["g"], "v", [0.5]).count() == 0
+
+
+def test_far_off_values_do_not_fill_one_bucket(spark):
+    rows = [(i, float(i)) for i in range(5000)] + [(5000, 1e15), (5001, -1e15)]
+    df = spark.createDataFrame(rows, "id bigint, v double")
+    largest = linear_bucket(df, [], "v").groupBy("_bkt").count().agg(F.max("count")).first()[0]
+    assert largest <= 10
+    got = [r.id for r in positions(linear_bucket(df, [], "v"), [], ["v"]).orderBy("pos").collect()]
+    assert got == [5001, *range(5000), 5000]
