@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.expressions import hash32, normalised_path, round_to, run_name, yolo_line
+from ..functions.expressions import hash32, normalised_path, round_to, run_name, label_line
 from ..session import scratch_path
 from ..sources import readers as I, sinks as K, testdata as td
 from .splits import MESSY_MAN, NORM, messy
@@ -140,7 +140,7 @@ register(
 
 def label_lines(s, d) -> DataFrame:
     """(image_id, line_no, line): the label line of each truth, with junk lines and lost labels."""
-    t = td.truths(s, d).withColumn("line", yolo_line("x0", "y0", "x1", "y1"))
+    t = td.truths(s, d).withColumn("line", label_line("x0", "y0", "x1", "y1"))
     kind = hash32(F.lit("junk"), F.col("image_id")) % 4
     lines = (
         F.when(kind == 0, F.array(F.lit(""), F.col("line")))
@@ -155,7 +155,7 @@ def sizes(s, d) -> DataFrame:
     return td.photo_roles(s, d).select("image_id", F.lit(640.0).alias("width"), F.lit(640.0).alias("height"))
 
 
-YOLO = f"""yolo AS (
+LABELS = f"""lab AS (
   SELECT image_id, {h('junk', 'image_id')} % 4 AS junk,
          {rnd('(x0 + x1)::DOUBLE / 2 / 640.0::DOUBLE', 6)} AS cx, {rnd('(y0 + y1)::DOUBLE / 2 / 640.0::DOUBLE', 6)} AS cy,
          {rnd('(x1 - x0)::DOUBLE / 640.0::DOUBLE', 6)} AS bw, {rnd('(y1 - y0)::DOUBLE / 640.0::DOUBLE', 6)} AS bh
@@ -170,17 +170,17 @@ def labels_query(s, d) -> DataFrame:
 register(
     "S8_read_labels",
     labels_query,
-    with_(TRUTH, YOLO)
+    with_(TRUTH, LABELS)
     + f"""SELECT o_orderkey AS image_id, CASE WHEN junk IN (0, 1) THEN 1 WHEN junk = 3 THEN 0 END AS line_no,
   {rnd('(cx - bw / 2) * 640', 6)} AS x0, {rnd('(cy - bh / 2) * 640', 6)} AS y0,
   {rnd('(cx + bw / 2) * 640', 6)} AS x1, {rnd('(cy + bh / 2) * 640', 6)} AS y1
-FROM orders LEFT JOIN (SELECT * FROM yolo WHERE junk <> 2) y ON image_id = o_orderkey""",
+FROM orders LEFT JOIN (SELECT * FROM lab WHERE junk <> 2) y ON image_id = o_orderkey""",
 )
 register(
     "S9_label_lines",
-    lambda s, d: td.truths(s, d).select("image_id", yolo_line("x0", "y0", "x1", "y1").alias("line")),
-    with_(TRUTH, YOLO)
-    + "SELECT image_id, printf('0 %.6f %.6f %.6f %.6f', cx, cy, bw, bh) AS line FROM yolo",
+    lambda s, d: td.truths(s, d).select("image_id", label_line("x0", "y0", "x1", "y1").alias("line")),
+    with_(TRUTH, LABELS)
+    + "SELECT image_id, printf('0 %.6f %.6f %.6f %.6f', cx, cy, bw, bh) AS line FROM lab",
 )
 
 

@@ -137,7 +137,7 @@ def iou(a: tuple, b: tuple) -> Column:
     return F.when((inter <= 0) | (union <= 0), zero).otherwise(inter / union)
 
 
-def yolo_line(x0, y0, x1, y1, size: int = 640) -> Column:
+def label_line(x0, y0, x1, y1, size: int = 640) -> Column:
     """Ground-truth text line '0 cx cy w h', normalised, six decimals."""
     x0, y0, x1, y1 = (_col(c).cast("double") for c in (x0, y0, x1, y1))
     s = F.lit(float(size))

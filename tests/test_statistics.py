@@ -173,10 +173,10 @@ def test_convergence_takes_first_peak(spark):
 
 def test_names(spark):
     run = lambda p, t, s: one(spark, r=run_name(F.lit(p), F.lit(t), F.lit(s))).r
-    assert run(60, "", 0) == "pool60" and run(60, "v8s_cbam", 3) == "pool60_v8s_cbam_s3" and run(60, "", 3) == "pool60_s3"
+    assert run(60, "", 0) == "pool60" and run(60, "tag_x", 3) == "pool60_tag_x_s3" and run(60, "", 3) == "pool60_s3"
     cat = lambda n: one(spark, r=name_category(F.lit(n))).r
-    assert cat("electrical cables 23.jpg") == "electrical cables"
-    assert cat("Miscellaneous Trash_315.jpg") == "Miscellaneous Trash"
+    assert cat("old phones 23.jpg") == "old phones"
+    assert cat("Mixed items_315.jpg") == "Mixed items"
     assert cat("images (3).jpg") == "images (3)" and cat("a_b 7_9.jpg") == "a b 7"
 
 
