@@ -129,22 +129,20 @@ def fired_counts(
     )
     counts = ["pos_images", "neg_images", "neg_boxes", "pos_boxes"]
     both = img.unionByName(box).groupBy(*by, "i").agg(*[F.sum(c).alias(c) for c in counts])
-    # rows with a null or -1 index never fire, but they still count as photographs
+    # A null or -1 index never fires but still counts as a photograph. One group's counts are at
+    # most one row per grid point, so they fit an array and the sweep needs no join.
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(points - 1).cast("bigint"))
-    frame = (
-        both.groupBy(*by)
-        .agg(F.sum("pos_images").alias("n_pos"), F.sum("neg_images").alias("n_neg"))
-        .withColumn("i", F.explode(every))
-    )
-    above = Window.partitionBy(*by).orderBy(F.desc("i")).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    return (
-        frame.join(both, [*by, "i"], "left")
-        .select(
-            *by, "i", threshold(F.col("i")).alias("confidence"), "n_pos", "n_neg",
-            *[F.sum(F.coalesce(c, zero)).over(above).alias(c) for c in counts],
-        )
+    rows = both.groupBy(*by).agg(
+        F.sum("pos_images").alias("n_pos"), F.sum("neg_images").alias("n_neg"),
+        F.collect_list(F.struct("i", *counts)).alias("_points"),
+    ).withColumn("i", F.explode(every))
+
+    def from_top(c: str) -> Column:
+        above = F.filter("_points", lambda x: x["i"] >= F.col("i"))
+        return F.aggregate(above, zero, lambda acc, x: acc + x[c]).alias(c)
+
+    return rows.select(
+        *by, "i", threshold(F.col("i")).alias("confidence"), "n_pos", "n_neg", *[from_top(c) for c in counts]
     )
 
 
