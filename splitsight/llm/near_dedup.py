@@ -10,7 +10,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..session import checkpointed
-from .common import mix64, row_chunks, shingle_sets, text_buffer
+from .common import mix64, partitions, row_chunks, shingle_sets, text_buffer
 
 BASE = 1.01  # registers hold exponents of minima to this base
 RATE = 20.0  # rate of the exponential variates
@@ -19,6 +19,7 @@ REGISTERS = BANDS * ROWS
 PERCENT = 75  # 100 * intersection >= PERCENT * union
 SURE = 14.0  # log likelihood by which a pair must fall short to be left out before the full sets decide
 BLOCK = 2048  # members of a bucket that one task compares with as many others
+SET_BLOCK = 2_000_000  # shingles of a family that one task holds
 CHUNK = 2_000_000  # bytes of text hashed at a time
 
 _numbers = np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64)
@@ -43,40 +44,34 @@ def registers(shingles: np.ndarray) -> np.ndarray:
     return np.clip(exponent, 0, 65535).astype("<u2")
 
 
-def _log_terms(share: np.ndarray) -> np.ndarray:
+_GRID = np.concatenate((np.linspace(0.0, 0.75, 31), np.linspace(0.75 + 0.0125, 1.0, 20)))
+
+
+def _ahead(share: np.ndarray) -> np.ndarray:
     """Chance that one register is ahead: -log_b(1 - x (b - 1) / b)."""
-    return -np.log1p(-share * (BASE - 1) / BASE) / math.log(BASE)
+    return -np.log1p(-np.maximum(share, 1e-12) * (BASE - 1) / BASE) / math.log(BASE)
 
 
-def plausible(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def plausible(a: np.ndarray, b: np.ndarray, size_a, size_b) -> tuple[np.ndarray, np.ndarray]:
     """(likeliest similarity, whether PERCENT may be reached) of pairs of sketches.
 
     The likelihood is joint: registers ahead on one side, on the other, and equal, at the known set sizes.
     A pair stays in unless the likeliest similarity lies below the threshold and beats it by SURE. Sizes
-    that rule the threshold out do so exactly.
+    that rule the threshold out do so exactly. Either side may be a single sketch.
     """
-    limit = PERCENT / 100
-    up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)
-    even = a.shape[1] - up - down
-    u = size_a / (size_a + size_b)
+    up, down = (a > b).sum(axis=-1)[:, None], (a < b).sum(axis=-1)[:, None]
+    even = a.shape[-1] - up - down
+    size_a, size_b = np.asarray(size_a, float), np.asarray(size_b, float)
+    u = np.broadcast_to(size_a / (size_a + size_b), up.shape[:1])[:, None]
     v = 1.0 - u
-    most = np.minimum(u / v, v / u)
-    grid = np.concatenate((np.linspace(0.0, limit, 31), np.linspace(limit + 0.0125, 1.0, 20)))
-    best = np.full(len(u), -np.inf)
-    top = np.zeros(len(u))
-    at_limit = np.full(len(u), -np.inf)
-    for x in grid:
-        j = np.minimum(x, most)
-        p, q = _log_terms(np.maximum(u - v * j, 1e-12)), _log_terms(np.maximum(v - u * j, 1e-12))
-        like = up * np.log(np.maximum(p, 1e-12)) + down * np.log(np.maximum(q, 1e-12)) + even * np.log(
-            np.maximum(1 - p - q, 1e-12)
-        )
-        better = like > best
-        best, top = np.where(better, like, best), np.where(better, j, top)
-        if x >= limit:
-            at_limit = np.maximum(at_limit, like)
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    return top, (best - at_limit <= SURE) & (100 * small >= PERCENT * large)
+    j = np.minimum(_GRID, np.minimum(u / v, v / u))
+    p, q = _ahead(u - v * j), _ahead(v - u * j)
+    like = up * np.log(p) + down * np.log(q) + even * np.log(np.maximum(1 - p - q, 1e-12))
+    best = like.argmax(axis=1)
+    row = np.arange(len(like))
+    met = like[:, _GRID >= PERCENT / 100].max(axis=1)
+    fits = 100 * np.minimum(size_a, size_b) >= PERCENT * np.maximum(size_a, size_b)
+    return j[row, best], (like[row, best] - met <= SURE) & fits
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -151,50 +146,123 @@ def components(links: DataFrame) -> DataFrame:
     return checkpointed(nodes.unionByName(roots))
 
 
-def _sketch_pairs(rows: pd.DataFrame, thorough: bool) -> pd.DataFrame:
-    """Pairs of one bucket (or of two blocks of it) that lie in different components and may be similar.
+def _clusters(regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Number of the cluster of each sketch: connected through plausible pairs, found breadth first."""
+    cluster = np.full(len(regs), -1)
+    for seed in range(len(regs)):
+        if cluster[seed] >= 0:
+            continue
+        cluster[seed], queue = seed, [seed]
+        while queue:
+            open_rows = np.flatnonzero(cluster < 0)
+            if not len(open_rows):
+                return cluster
+            x = queue.pop()
+            _, keep = plausible(regs[open_rows], regs[x], sizes[open_rows], sizes[x])
+            cluster[open_rows[keep]] = seed
+            queue.extend(open_rows[keep].tolist())
+    return cluster
+
+
+def _groups(batches, keys: int):
+    """Rows of sorted Arrow batches as one table for each value of the first `keys` columns."""
+    import pyarrow as pa
 
-    Unless thorough, the best pair of every two components only.
-    """
-    regs = np.frombuffer(b"".join(rows["registers"]), "<u2").reshape(len(rows), REGISTERS)
-    ids, comps = rows["rep"].to_numpy(), rows["component"].to_numpy()
-    size, side = rows["n_shingles"].to_numpy(np.float64), rows["side"].to_numpy()
-    found = []
-    for i in range(len(rows)):
-        other = np.flatnonzero(comps != comps[i])
-        other = other[(other > i) if side[i] == 0 and (side == 0).all() else (side[other] == 1) if side[i] == 0 else (other < 0)]
-        if len(other):
-            like, keep = plausible(np.broadcast_to(regs[i], (len(other), REGISTERS)), regs[other], np.full(len(other), size[i]), size[other])
-            found.append(pd.DataFrame({"a": ids[i], "b": ids[other], "ca": comps[i], "cb": comps[other], "like": like})[keep])
-    if not found:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    pairs = pd.concat(found)
-    if not thorough:
-        low, high = np.minimum(pairs["ca"], pairs["cb"]), np.maximum(pairs["ca"], pairs["cb"])
-        pairs = pairs.assign(low=low, high=high).sort_values(["like", "a", "b"], ascending=[False, True, True]).drop_duplicates(["low", "high"])
-    return pd.DataFrame({"a": np.minimum(pairs["a"], pairs["b"]), "b": np.maximum(pairs["a"], pairs["b"])})
-
-
-def _pairs_of(thorough: bool):
-    def of_block(rows: pd.DataFrame) -> pd.DataFrame:
-        return _sketch_pairs(rows, thorough)
-
-    return of_block
+    held: list = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        turn = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        cuts = [0, *turn.tolist(), batch.num_rows]
+        now = tuple(c[0] for c in columns)
+        if held and held[0][0] != now:
+            yield pa.Table.from_batches([x for _, x in held])
+            held = []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a:
+                yield pa.Table.from_batches([x for _, x in held])
+                held = []
+            held.append((tuple(c[a] for c in columns), batch.slice(a, b - a)))
+    if held:
+        yield pa.Table.from_batches([x for _, x in held])
+
+
+def _bucket_edges(batches):
+    """Links from every member of a bucket to the least of its plausible cluster: no more than members."""
+    import pyarrow as pa
+
+    a, b = [], []
+    for rows in _groups(batches, 3):
+        reps = rows["rep"].to_numpy()
+        if len(reps) > 1:
+            order = np.argsort(reps, kind="stable")
+            reps = reps[order]
+            regs = np.frombuffer(b"".join(rows["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)[order]
+            cluster = _clusters(regs, rows["n_shingles"].to_numpy().astype(float)[order])
+            apart = cluster != np.arange(len(reps))
+            a.append(reps[cluster[apart]])
+            b.append(reps[apart])
+        if len(a) >= 4096:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+            a, b = [], []
+    if a:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (a, b)], ["a", "b"])
+
+
+def _exact_links(batches):
+    """Links of the loners of a family block, confirmed on full sets: one for each component they touch."""
+    import pyarrow as pa
+
+    for rows in _groups(batches, 3):
+        reps, root, loner = (rows[c].to_numpy(zero_copy_only=False) for c in ("rep", "root", "loner"))
+        sets = rows["shingles"].combine_chunks()
+        bounds = sets.offsets.to_numpy().astype(np.int64)
+        flat = sets.flatten().to_numpy()
+        _, number = np.unique(flat, return_inverse=True)
+        bounds = bounds - bounds[0]
+        size = np.diff(bounds)
+        marked = np.zeros(int(number.max(initial=0)) + 1, np.int32)
+        known = {r: r for r in root.tolist()}
+
+        def find(x, known=known):
+            while known[x] != x:
+                known[x] = known[known[x]]
+                x = known[x]
+            return x
+
+        out_a, out_b = [], []
+        members = np.flatnonzero(~loner.astype(bool) | (rows["own"].to_numpy(zero_copy_only=False).astype(bool)))
+        for x in np.flatnonzero(rows["asks"].to_numpy(zero_copy_only=False).astype(bool)):
+            own = number[bounds[x] : bounds[x + 1]]
+            marked[own] = 1
+            common = np.add.reduceat(marked[number], bounds[:-1])
+            marked[own] = 0
+            linked = 100 * common >= PERCENT * (size + size[x] - common)
+            linked[x] = False
+            for y in members[linked[members]]:
+                i, j = find(root[x]), find(root[y])
+                if i != j:
+                    known[max(i, j)] = min(i, j)
+                    out_a.append(reps[x])
+                    out_b.append(reps[y])
+        if out_a:
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of `docs`.
 
-    Documents with equal sets are one class, however many. Classes share buckets by bands of registers.
-    First each class is held against the least of its buckets that is likeliest similar; linked classes
-    form components. Then only pairs of different components within a bucket are looked at, blocks of the
-    bucket by blocks: the best pair of two components first, and in the last round all that the likelihood
-    lets through. Every link is confirmed on full sets. So a family of thousands of near copies needs about
-    one confirmation each, and nothing that could join two components is left out.
+    Documents with equal sets are one class, however many. Classes share buckets by bands of registers;
+    within a bucket (blocks of it, if it is large) the joint likelihood of registers joins those that may be
+    similar, and each sends one link to the least of its cluster. Clusters over all buckets are families.
+    Each family has a hub, the class with the most company in its buckets. Every member is confirmed against
+    the hub on full sets; only those that fail it, the loners, are then held against all members of the
+    family, blocks of loners by blocks of members, on full sets again. So a family of near copies takes one
+    confirmation a member besides its loners, and no link that the likelihood lets through is lost.
 
     Reads doc_id and text. Null and empty texts have no shingles and stay alone; a null doc_id stays alone
-    with a null component and is kept. Rows
-    with equal doc_id and text are one node.
+    with a null component and is kept. Rows with equal doc_id and text are one node.
     """
     spark = docs.sparkSession
     rows = checkpointed(sketches(docs))
@@ -203,78 +271,81 @@ def near_components(docs: DataFrame) -> DataFrame:
         .groupBy("set_hash")
         .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
     )
-    classes = classes.select("rep", "set_hash", "n_shingles", "registers")
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
         lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
     banded = classes.select("rep", F.explode(keys).alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = checkpointed(banded.join(shared, "bucket"))
 
-    light = classes.select(F.col("rep"), "n_shingles", "registers")
-    busy = members.select("rep").distinct()
-    busy_light = checkpointed(light.join(busy, "rep"))
-    full_sets = (
+    # Block i meets every block: the pair is named by the lower and the higher number.
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    dealt = (
+        members.withColumn("at", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select("bucket", F.least("at", "with").alias("low"), F.greatest("at", "with").alias("high"), "rep")
+        .join(classes.select("rep", "n_shingles", "registers"), "rep")
+    )
+    n = partitions(spark)
+    edges = (
+        dealt.select("bucket", "low", "high", "rep", "n_shingles", "registers")
+        .repartition(n, "bucket", "low", "high")
+        .sortWithinPartitions("bucket", "low", "high")
+        .mapInArrow(_bucket_edges, "a long, b long")
+    )
+    company = members.groupBy("rep").agg(F.sum(F.col("members") - 1).alias("company"))
+    family = (
+        components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
+        .join(company, "rep").join(classes.select("rep", "n_shingles"), "rep")
+    )
+    hubs = family.groupBy("family").agg(
+        F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"), F.sum("n_shingles").alias("shingles_of_family")
+    )
+    family = checkpointed(family.select("rep", "family").join(hubs, "family"))
+    sets = (
         docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-        .join(busy, "rep")
-        .select("rep", _full_set("text").alias("shingles"))
+        .join(family, "rep")
+        .select("family", "rep", "hub", "shingles_of_family", _full_set("text").alias("shingles"))
         .persist(StorageLevel.DISK_ONLY)
     )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        left = full_sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
-        right = full_sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        both = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
-        return both.filter(100 * common >= PERCENT * (F.size("sa") + F.size("sb") - common)).select("a", "b")
-
-    @F.pandas_udf("double")
-    def estimate(ra: pd.Series, rb: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        if not len(ra):
-            return pd.Series([], dtype="float64")
-        a, b = (np.frombuffer(b"".join(r), "<u2").reshape(len(r), REGISTERS) for r in (ra, rb))
-        like, keep = plausible(a, b, na.to_numpy(np.float64), nb.to_numpy(np.float64))
-        return pd.Series(np.where(keep, like, -1.0))
-
-    def side(name: str) -> DataFrame:
-        return busy_light.select(F.col("rep").alias(name), F.col("n_shingles").alias(f"n{name}"), F.col("registers").alias(f"r{name}"))
-
-    stars = members.filter("rep != pivot").select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    judged = (
-        stars.join(side("a"), "a").join(side("b"), "b")
-        .select("a", "b", estimate("ra", "rb", "na", "nb").alias("like")).filter("like >= 0")
-    )
-    best = judged.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a"))
-    links = checkpointed(confirmed(best))
-    found = components(links)
-
-    for thorough in (False, True):
-        placed = members.join(found, members["rep"] == found["node"], "left").select(
-            "bucket", "rep", "members", F.coalesce("component", "rep").alias("component")
+    hub_sets = sets.filter("rep = hub").select("family", F.col("shingles").alias("hub_shingles"))
+    common = F.size(F.array_intersect("shingles", "hub_shingles"))
+    reach = 100 * common >= PERCENT * (F.size("shingles") + F.size("hub_shingles") - common)
+    judged = checkpointed(sets.join(hub_sets, "family").select("family", "rep", "hub", (~reach).alias("loner")))
+    to_hub = judged.filter("not loner and rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+
+    lonely = judged.groupBy("family").agg(F.count_if("loner").alias("loners")).filter("loners > 0")
+    parts = F.ceil(F.col("shingles_of_family") / SET_BLOCK).cast("int")
+    chunks = F.greatest(F.lit(1), F.least(parts, F.col("loners").cast("int")))
+    laid = (
+        sets.join(judged.select("rep", "loner"), "rep").join(lonely, "family")
+        .select(
+            "family", "rep", "loner", "shingles", F.when(F.col("loner"), F.col("rep")).otherwise(F.col("hub")).alias("root"),
+            parts.alias("parts"), chunks.alias("chunks"),
         )
-        mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("bucket")
-        open_rows = placed.join(mixed, "bucket").join(busy_light, "rep")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        at = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-        # Block i meets every block: as side 0 with those from i on, as side 1 with those before it.
-        dealt = open_rows.withColumn("at", at).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select(
-            "bucket", F.least("at", "with").alias("low"), F.greatest("at", "with").alias("high"),
-            (F.col("at") > F.col("with")).cast("int").alias("side"), "rep", "component", "n_shingles", "registers",
-        )
-        pairs = dealt.groupBy("bucket", "low", "high").applyInPandas(_pairs_of(thorough), "a long, b long")
-        more = checkpointed(confirmed(pairs))
-        if more.isEmpty():
-            continue
-        links = links.unionByName(more)
-        found = components(links)
-    full_sets.unpersist()
+        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64(F.lit("chunk"), "rep"), F.col("chunks")).cast("int"))
+    )
+    # Members go to each chunk of loners with their part; loners of a chunk go to each part as well.
+    own = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.col("part").alias("part"), c.alias("chunk")))
+    sent = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(i.alias("part"), F.col("chunk").alias("chunk")))
+    places = F.when(F.col("loner"), F.array_union(own, sent)).otherwise(own)
+    tasks = laid.withColumn("to", F.explode(places)).select(
+        "family", "to.part", "to.chunk", "rep", "root", "loner", (F.col("to.part") == F.col("part")).alias("own"),
+        (F.col("loner") & (F.col("to.chunk") == F.col("chunk"))).alias("asks"), "shingles",
+    )
+    by_loners = (
+        tasks.repartition(n, "family", "part", "chunk").sortWithinPartitions("family", "part", "chunk")
+        .mapInArrow(_exact_links, "a long, b long")
+    )
+    found = components(to_hub.unionByName(by_loners))
+    sets.unpersist()
 
     reps = classes.select(F.col("set_hash").alias("_hash"), F.col("rep").alias("_rep"))
     known = rows.join(reps, rows["set_hash"] == reps["_hash"], "left")
     joined = known.join(found, known["_rep"] == found["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.least(F.col("doc_id"), F.coalesce("component", "_rep", "doc_id")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_rep", "doc_id"))
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
