@@ -236,8 +236,9 @@ register(
     alerts_query,
     with_(IMAGES, halves_sql(1))
     + """SELECT arm, image_id, role, coalesce(max_conf, -1.0::DOUBLE) > cut AS alert
-FROM img JOIN cuts USING (arm) LEFT JOIN half USING (image_id)
-WHERE target = 0.1::DOUBLE AND (role = 'pos_test' OR NOT cal)""",
+FROM (SELECT img.* FROM img WHERE role = 'pos_test'
+      UNION ALL SELECT img.* FROM img JOIN half USING (image_id) WHERE NOT cal) seen
+JOIN cuts USING (arm) WHERE target = 0.1::DOUBLE""",
 )
 
 

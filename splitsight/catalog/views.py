@@ -92,8 +92,8 @@ HASHES = f"""bits AS (
            lambda acc, x: acc * 2 + x)) AS hw
   FROM embeddings),
 fp0 AS (
-  SELECT vec_id AS item_id, hw FROM bits UNION ALL
-  SELECT vec_id + 1000000, [hw[1], hw[2], hw[3],
+  SELECT 2 * vec_id AS item_id, hw FROM bits UNION ALL
+  SELECT 2 * vec_id + 1, [hw[1], hw[2], hw[3],
          xor(hw[4], (1::HUGEINT << (vec_id % 13)::INT) - 1)] FROM bits),
 fp AS (
   SELECT item_id, {ROLE_CASE} AS role, hw

@@ -73,21 +73,49 @@ def wilson(k, n, z: float = 1.96, clamp: bool = True) -> tuple[Column, Column]:
     )
 
 
+def _stirling_rest(x: Column) -> Column:
+    """ln x! less Stirling's main part, for whole x > 0; the series needs a large x, small ones shift up."""
+    y = x + 16.0
+    inv = 1.0 / (y * y)
+    series = (1 / 12 - inv * (1 / 360 - inv * (1 / 1260 - inv * (1 / 1680 - inv / 1188)))) / y
+    small = F.lit(0.0)
+    for i in range(1, 17):
+        small = small + F.log(x + float(i))
+    # ln x! = ln (x + 16)! - sum of ln(x + i); both main parts cancel but for this.
+    shifted = series + (y + 0.5) * F.log(y) - y - small - ((x + 0.5) * F.log(x) - x)
+    direct = 1.0 / (x * x)
+    large = (1 / 12 - direct * (1 / 360 - direct * (1 / 1260 - direct / 1680))) / x
+    return F.when(x < 16, shifted).otherwise(large)
+
+
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x without cancellation near x = mean."""
+    v = (x - mean) / (x + mean)
+    series = F.lit(0.0)
+    for j in range(9, 0, -1):
+        series = (series + 1.0 / (2 * j + 1)) * v * v
+    near = (x - mean) * v + 2 * x * v * series
+    return F.when(F.abs(v) < 0.1, near).otherwise(x * F.log(x / mean) + mean - x)
+
+
 def mcnemar_exact(b, c) -> Column:
     """Two-sided exact binomial p-value of b against c discordant pairs, 1 when there are none.
 
-    The lower tail is summed downwards from its largest term in log space. Terms further than
+    The largest term of the lower tail comes from its saddle-point form, whose parts do not cancel for
+    counts in the billions; the tail is then summed downwards by ratios. Terms further than
     5 * sqrt(n) + 40 below it are under 1e-20 of the first, so leaving them out cannot change a
-    double; this keeps the work at sqrt(n) for counts in the billions.
+    double; this keeps the work at sqrt(n).
     """
     b, c = _col(b).cast("bigint"), _col(c).cast("bigint")
     n = b + c
     k = F.least(b, c)
     nd = n.cast("double")
     kd = k.cast("double")
-    top = (
-        ln_gamma(nd + 1) - ln_gamma(kd + 1) - ln_gamma(nd - kd + 1) - nd * F.lit(log(2.0))
-    )
+    rest, half = nd - kd, nd / 2
+    at_peak = F.exp(
+        _stirling_rest(nd) - _stirling_rest(kd) - _stirling_rest(rest) - _deviance(kd, half) - _deviance(rest, half)
+    ) * F.sqrt(nd / (2 * pi * kd * rest))
+    top = F.when(k == 0, F.pow(F.lit(0.5), nd)).otherwise(at_peak)
     steps = F.least(k, (F.sqrt(nd) * 5).cast("bigint") + 40)
     start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
 
@@ -99,7 +127,7 @@ def mcnemar_exact(b, c) -> Column:
         F.array().cast("array<bigint>")
     )
     total = F.aggregate(walk, start, add, lambda acc: acc["total"])
-    p = F.least(F.lit(1.0), F.lit(2.0) * F.exp(top) * total)
+    p = F.least(F.lit(1.0), F.lit(2.0) * top * total)
     return F.when(n == 0, F.lit(1.0)).otherwise(p)
 
 

@@ -18,37 +18,34 @@ UNSTABLE_SPREAD = 10.0
 def pair_counts(hits: DataFrame, arms: list[str], by: list[str] | None = None) -> DataFrame:
     """(by, arm_a, arm_b, a_only, b_only) for every pair of arms, a before b.
 
-    hits: (by, image_id, arm, hit). Each photograph becomes a bit mask of the arms that hit it;
-    photographs with the same mask are counted together, so pairs are formed per mask and not
-    per photograph.
+    hits: (by, image_id, arm, hit). Each photograph becomes the sorted set of the arms that hit it;
+    photographs with the same set are counted together, so pairs are formed per set and not per
+    photograph. Any number of arms will do.
     """
     by = by or []
-    bit = F.lit(0).cast("bigint")
-    for i, a in enumerate(arms):
-        bit = F.when((F.col("arm") == a) & F.col("hit"), F.lit(1 << i).cast("bigint")).otherwise(bit)
-    masks = (
+    hit_by = F.sort_array(F.collect_set(F.when(F.col("hit") & F.col("arm").isin(arms), F.col("arm"))))
+    sets = (
         hits.groupBy(*by, "image_id")
-        .agg(F.bit_or(bit).alias("mask"))
-        .groupBy(*by, "mask")
+        .agg(hit_by.alias("hit_by"))
+        .groupBy(*by, "hit_by")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(a).alias("arm_a"), F.lit(b).alias("arm_b"),
-                F.lit(i).alias("i"), F.lit(i + 1 + j).alias("j"),
-            )
-            for i, a in enumerate(arms)
-            for j, b in enumerate(arms[i + 1:])
-        ]
+    names = F.array(*[F.lit(a) for a in arms])
+    pairs = F.flatten(
+        F.transform(
+            names,
+            lambda a, i: F.transform(
+                F.slice(names, i + 2, len(arms)), lambda b: F.struct(a.alias("arm_a"), b.alias("arm_b"))
+            ),
+        )
     )
-    has = lambda k: F.expr(f"shiftright(mask, pair.{k}) & 1") == 1
+    has = lambda k: F.array_contains(F.col("hit_by"), F.col(f"pair.arm_{k}"))
     return (
-        masks.withColumn("pair", F.explode(pairs))
+        sets.withColumn("pair", F.explode(pairs))
         .groupBy(*by, "pair.arm_a", "pair.arm_b")
         .agg(
-            F.sum(F.when(has("i") & ~has("j"), F.col("n")).otherwise(0)).alias("a_only"),
-            F.sum(F.when(has("j") & ~has("i"), F.col("n")).otherwise(0)).alias("b_only"),
+            F.sum(F.when(has("a") & ~has("b"), F.col("n")).otherwise(0)).alias("a_only"),
+            F.sum(F.when(has("b") & ~has("a"), F.col("n")).otherwise(0)).alias("b_only"),
         )
     )
 

@@ -218,13 +218,20 @@ def headline(rows: DataFrame, thresholds: DataFrame, by: list[str]) -> DataFrame
 def best_curve_point(curve: DataFrame, by: list[str]) -> DataFrame:
     """Confidence and value at the peak of a mean F1 curve, first on ties.
 
-    curve: (by, cls, confidence, f1). Both are null when a curve misses a confidence or a value.
+    curve: (by, cls, confidence, f1), cls under any one other name. Both are null when a class misses a
+    confidence that another class of the group has, or a value.
     """
+    (cls,) = [c for c in curve.columns if c not in {*by, "confidence", "f1"}]
     mean = curve.groupBy(*by, "confidence").agg(
-        F.avg("f1").alias("f1"), F.count(F.when(F.col("f1").isNull(), 1)).alias("gaps")
+        F.avg("f1").alias("f1"), F.count(F.when(F.col("f1").isNull(), 1)).alias("gaps"),
+        F.collect_set(cls).alias("classes"),
     )
+    every = F.size(F.array_distinct(F.flatten(F.collect_set("classes"))))  # as many as a group has classes
     whole = mean.groupBy(*by).agg(
-        (F.sum("gaps") + F.count(F.when(F.col("confidence").isNull(), 1)) == 0).alias("whole"),
+        (
+            (F.sum("gaps") + F.count(F.when(F.col("confidence").isNull(), 1)) == 0)
+            & (F.min(F.size("classes")) == every)
+        ).alias("whole"),
         F.min(
             F.struct((-round_to("f1", 9)).alias("neg"), "confidence")
         ).alias("top"),

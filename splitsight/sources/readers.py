@@ -14,8 +14,14 @@ IMAGE_SUFFIXES = ["bmp", "jpeg", "jpg", "png", "webp"]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
+    """Whether the path is there, found out by asking a reader, so that it works over any connection."""
+    try:
+        spark.read.format("binaryFile").load(path).schema
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def _csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -36,9 +42,12 @@ def read_manifest(
     """
     if not exists(spark, path):
         return spark.createDataFrame([], MANIFEST_SCHEMA)
-    rows = spark.read.csv(path, schema=MANIFEST_SCHEMA, header=True).select("role", "category", "path")
+    rows = spark.read.csv(path, schema=MANIFEST_SCHEMA, header=True)
     if role is not None:
-        rows = rows.filter(F.col("role") == role)
+        # The folder's partition column repeats the role; only a filter on it prunes.
+        pruned = rows.filter(F.col("part") == role) if "part" in rows.columns else rows
+        rows = pruned.filter(F.col("role") == role)
+    rows = rows.select("role", "category", "path")
     return rows if limit is None else rows.orderBy("path").limit(limit)
 
 

@@ -150,8 +150,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = base.select(
         F.explode(
             F.array(
-                F.struct(F.col("vec_id").alias("item_id"), F.col("hash").alias("hash")),
-                F.struct((F.col("vec_id") + 1000000).alias("item_id"), copy.alias("hash")),
+                F.struct((2 * F.col("vec_id")).alias("item_id"), F.col("hash").alias("hash")),
+                F.struct((2 * F.col("vec_id") + 1).alias("item_id"), copy.alias("hash")),
             )
         ).alias("r")
     ).select("r.*")

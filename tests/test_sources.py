@@ -31,6 +31,8 @@ def test_manifest_roles(spark, tmp_path):
     assert I.read_manifest(spark, str(tmp_path / "m")).count() == 3
     got = I.read_manifest(spark, str(tmp_path / "m"), role="bg", limit=1).collect()
     assert [(r.role, r.category, r.path) for r in got] == [("bg", "d", "x/0")]
+    plan = I.read_manifest(spark, str(tmp_path / "m"), role="bg")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan
 
 
 def test_labels_from_files(spark, tmp_path):

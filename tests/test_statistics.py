@@ -102,11 +102,35 @@ def test_holm(spark):
     ps = [0.01, 0.04, 0.03, 0.005, 0.9]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(ps)], "k int, p double")
     got = {r.k: r.holm for r in S.holm(df, [], ["k"]).collect()}
-    order, run, want = sorted(range(5), key=lambda i: ps[i]), 0.0, {}
-    for rank, i in enumerate(order):
-        run = max(run, min(1.0, (5 - rank) * ps[i]))
-        want[i] = run
-    assert got == pytest.approx(want)
+    # By hand: 5 * 0.005, 4 * 0.01, 3 * 0.03, then 2 * 0.04 is less than what came before, 1 * 0.9.
+    assert got == pytest.approx({3: 0.025, 0: 0.04, 2: 0.09, 1: 0.09, 4: 0.9})
+
+
+def test_mcnemar_keeps_its_digits(spark):
+    from decimal import Decimal, getcontext
+
+    getcontext().prec = 60
+    n, k = 100_000, 49_500
+    term = Decimal(math.comb(n, k)) / Decimal(2) ** n
+    tail, j = Decimal(0), k
+    while term > Decimal(10) ** -40:
+        tail, term, j = tail + term, term * j / (n - j + 1), j - 1
+    p = one(spark, p=mcnemar_exact(F.lit(k), F.lit(n - k))).p
+    assert math.isclose(p, float(2 * tail), rel_tol=1e-12)
+
+
+def test_many_arms(spark):
+    arms = [f"m{i:03d}" for i in range(80)]
+    hits = spark.createDataFrame([(i, a, (i + j) % 3 == 0) for i in range(6) for j, a in enumerate(arms)], "image_id int, arm string, hit boolean")
+    got = {(r.arm_a, r.arm_b): (r.a_only, r.b_only) for r in S.pair_counts(hits, arms).collect()}
+    assert len(got) == 80 * 79 // 2 and got["m000", "m079"] == (2, 2) and got["m000", "m078"] == (0, 0)
+
+
+def test_curve_with_a_hole_has_no_peak(spark):
+    rows = [("x", "A", 0.1, 0.5), ("x", "A", 0.2, 0.9), ("x", "B", 0.1, 0.4), ("y", "A", 0.1, 0.5), ("y", "B", 0.1, 0.7)]
+    curve = spark.createDataFrame(rows, "arm string, cls string, confidence double, f1 double")
+    got = {r.arm: (r.confidence, r.f1) for r in T.best_curve_point(curve, ["arm"]).collect()}
+    assert got["x"] == (None, None) and got["y"] == pytest.approx((0.1, 0.6))
 
 
 def images(spark, neg, pos):
