@@ -1,5 +1,7 @@
 """Every registered query with a SQL counterpart, whole tables, at the smallest scale."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +22,8 @@ def test_same_as_sql(spark, con, name):
 
 
 def test_queries_without_sql(spark):
-    missing = sorted(set(entry.queries()) - set(entry.oracle_sql()))
+    own = {n for n in entry.queries() if not re.match(r"op\d+_|pipeline$", n)}
+    missing = sorted(own - set(entry.oracle_sql()))
     assert missing == [
         "B7_weighted_box_fusion", "B8_fused_rollup", "B9_ensemble_threshold",
     ]
