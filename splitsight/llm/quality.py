@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 PER_CLASS = 1500  # labelled rows of each class that the fit may read
-CLIP = 8192  # characters of each of them
+PIECES = 16  # stretches of a labelled text that a dictionary may learn from, spread over the whole text
 DICTIONARY = 112 * 1024
 PIECE = 1024  # bytes compressed at a time, so that a text's own history does not replace the dictionary
 LEVEL = 3
@@ -98,12 +98,24 @@ def training_rows(labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> CompressionModel:
-    """Fit on at most `per_class` rows of each class, `CLIP` characters of each.
+def _spread_pieces(text, most: int):
+    """The whole text if it has at most `most` * PIECE characters, else that many in evenly spaced stretches."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    last = F.char_length(whole) - PIECE
+    stretch = lambda i: F.substring(whole, F.floor(i * last / max(most - 1, 1)).cast("int") + 1, F.lit(PIECE))
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), stretch)
+    return F.when(F.char_length(whole) <= most * PIECE, F.array(whole)).otherwise(spread)
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pieces: int = PIECES) -> CompressionModel:
+    """Fit on at most `per_class` labelled rows of each class.
 
     The sample is the first rows in hash order, so it does not depend on partitioning. Every other row
-    of it builds the dictionaries and the rest calibrates. The sample is the only thing that comes to the
-    driver, and the only broadcast: 2 * per_class ids. With no row of a class the score is 0.5 throughout. Class shares are counted over all rows.
+    of it builds the dictionaries, from whole texts or, where
+    they are longer, `pieces` stretches spread over them. The rest
+    calibrates: the executors measure those texts whole, as they will be scored, and send two numbers a
+    row. What comes to the driver or is broadcast is bounded by 2 * per_class rows. With no row of a
+    class the score is 0.5 throughout. Class shares are counted over all rows.
     """
     rows = training_rows(labels).dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit("quality"), "doc_id")
@@ -114,28 +126,48 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Compr
     for quality in (0, 1):
         some = rows.filter(F.col("quality") == quality).orderBy(order, "doc_id").limit(per_class)
         picked = some if picked is None else picked.unionByName(some)
-    texts = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(picked), "doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = (
+        texts.join(F.broadcast(picked), "doc_id")
         .groupBy("doc_id", "quality")
-        .agg(F.min(F.substring(F.coalesce("text", F.lit("")), 1, CLIP)).alias("text"))
+        .agg(F.min(_spread_pieces("text", pieces)).alias("pieces"))
         .withColumn("order", order)
         .collect()
     )
-    texts = sorted(texts, key=lambda r: (r.order, r.doc_id))
-    of = {q: [r.text for r in texts if r.quality == q] for q in (0, 1)}
+    found = sorted(found, key=lambda r: (r.order, r.doc_id))
+    of = {q: [r for r in found if r.quality == q] for q in (0, 1)}
     if not of[0] or not of[1]:
         return CompressionModel(b"", b"", (0.0, 0.0, 0.0))
-    build = {q: of[q][::2] for q in of}
-    check = {q: of[q][1::2] or of[q] for q in of}
-    raw = CompressionModel(_dictionary(build[1]), _dictionary(build[0]), (0.0, 0.0, 0.0))
-    sizes = raw.measure()
-    x = np.array([sizes(t) for q in (0, 1) for t in check[q]])
-    y = np.array([q for q in (0, 1) for _ in check[q]])
+    learnt = {q: [piece for r in of[q][::2] for piece in r.pieces] for q in of}
+    raw = CompressionModel(_dictionary(learnt[1]), _dictionary(learnt[0]), (0.0, 0.0, 0.0))
+    check = [(r.doc_id, q) for q in (0, 1) for r in of[q][1::2] or of[q]]
+    ids = docs.sparkSession.createDataFrame(check, "doc_id long, quality int")
+    measured = (
+        texts.join(F.broadcast(ids), "doc_id")
+        .select("doc_id", "quality", _measured(docs.sparkSession, raw)("text").alias("size"))
+        .groupBy("doc_id", "quality")
+        .agg(F.min("size").alias("size"))
+        .orderBy("doc_id")
+        .collect()
+    )
+    x = np.array([tuple(r.size) for r in measured])
+    y = np.array([r.quality for r in measured])
     total = sum(counts.values())
     return CompressionModel(raw.good, raw.bad, _logistic(x, y, {q: n / total for q, n in counts.items()}))
 
 
+def _measured(spark, model: CompressionModel):
+    """Column function: (difference, share) of each whole text under the model's dictionaries."""
+    sent = spark.sparkContext.broadcast(model)  # two dictionaries of a fixed size
+
+    @F.pandas_udf("difference double, share double")
+    def sizes(parts: pd.Series) -> pd.DataFrame:
+        of = sent.value.measure()
+        return pd.DataFrame([of(t) for t in parts], columns=["difference", "share"], dtype="float64")
+
+    return sizes
+
+
 def score(docs: DataFrame, model: CompressionModel, text: str = "text", out: str = "score") -> DataFrame:
     """`docs` with a score from 0 to 1 of each whole text; null and empty texts get what the curve says for no difference."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # two dictionaries of a fixed size
