@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_DIGITS = 3  # 4,096 buckets per group
 LINEAR_BUCKETS = 1024  # per level, two levels
+FEW_ROWS = 20_000  # one row per group up to this many may be broadcast; counted before it is
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
@@ -84,10 +85,20 @@ def positions(
     )
 
 
+def few_rows(df: DataFrame, keys: list[str], most: int = FEW_ROWS) -> bool:
+    """Whether `df` has at most `most` rows; only `keys` are computed and counting stops there."""
+    return df.select(*keys).limit(most + 1).count() <= most
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """`df` with the columns of a table of exactly one row, such as a global aggregate."""
+    return df.crossJoin(F.broadcast(one))  # one row
+
+
 def cut_slots(
     df: DataFrame,
     by: list[str],
-    order: list,
+    order: list[str],
     cuts: DataFrame,
     cut_cols: list[str],
     out: str = "slot",
@@ -96,34 +107,38 @@ def cut_slots(
     """Slot of each row when its group's total order is cut after the given row counts.
 
     `cuts` has one row per group with ascending cumulative counts; slot 0 is the first
-    `cut_cols[0]` rows, and the last slot is everything after the last cut. Buckets that lie
-    wholly inside one slot need no ranking, so only the bucket each cut falls into is sorted.
-    Groups absent from `cuts` are dropped.
+    `cut_cols[0]` rows, and the last slot is everything after the last cut. Bucket counts tell in
+    which bucket each cut falls; only those buckets are sorted, to find the last row before the
+    cut. Every row is then compared with its group's cut rows, so the table itself is scanned and
+    never shuffled while there are at most FEW_ROWS groups; with more, it meets them in a
+    shuffled join. Groups absent from `cuts` are dropped.
     """
-    g = _group(by)
-    df, cuts = _with_group(df, by), _with_group(cuts, by)
-    edges = bucket_offsets(df, g, bucket).join(cuts.select(*g, *cut_cols), g)
-    inside_cut = F.lit(False)
+    edges = [f"_last{i}" for i in range(len(cut_cols))]
+    cuts = cuts.select(*by, *cut_cols)
+    counted = bucket_offsets(df, by, bucket)
+    counted = counted.join(cuts, by) if by else beside(counted, cuts)
+    holds = F.lit(False)
     for c in cut_cols:
-        inside_cut = inside_cut | (
-            (F.col(c) > F.col("_before")) & (F.col(c) < F.col("_before") + F.col("_n"))
-        )
-    edges = edges.withColumn("_edge", inside_cut).drop("_n")
-    joined = df.join(edges, [*g, bucket])
-
-    def slot_from(done: Column) -> Column:
-        total = F.lit(0)
-        for c in cut_cols:
-            total = total + (done >= F.col(c)).cast("int")
-        return total
-
-    whole = joined.filter(~F.col("_edge")).withColumn(out, slot_from(F.col("_before")))
-    inside = Window.partitionBy(*g, bucket).orderBy(*order)
-    split = joined.filter("_edge").withColumn(
-        out, slot_from(F.col("_before") + F.row_number().over(inside) - 1)
+        holds = holds | ((F.col(c) > F.col("_before")) & (F.col(c) <= F.col("_before") + F.col("_n")))
+    few = not by or few_rows(cuts, by)
+    hint = F.broadcast if few else (lambda side: side)  # at most one row for each group and cut
+    inside = Window.partitionBy(*by, bucket).orderBy(*order)
+    ranked = (
+        df.select(*dict.fromkeys([*by, bucket, *order]))
+        .join(hint(counted.filter(holds).drop("_n")), [*by, bucket])
+        .withColumn("_upto", F.col("_before") + F.row_number().over(inside))
+    )
+    row = F.struct(*order)
+    found = ranked.groupBy(*by).agg(
+        *[F.max(F.when(F.col("_upto") == F.col(c), row)).alias(e) for c, e in zip(cut_cols, edges)]
     )
-    drop = ["_edge", "_before", bucket, *cut_cols, *([] if by else ["_all"])]
-    return whole.unionByName(split).drop(*drop)
+    lasts = cuts.join(found, by, "left") if by else beside(cuts, found)
+    slot = F.lit(0)
+    for c, e in zip(cut_cols, edges):
+        beyond = F.when(F.col(c) <= 0, True).when(F.col(e).isNull(), False).otherwise(row > F.col(e))
+        slot = slot + beyond.cast("int")
+    placed = df.join(hint(lasts), by) if by else beside(df, lasts)
+    return placed.withColumn(out, slot).drop(*edges, *cut_cols, bucket)
 
 
 def rows_at(
