@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 HASH_DIGITS = 3  # 4,096 buckets per group
 LINEAR_BUCKETS = 1024  # per level, two levels
-FEW_ROWS = 20_000  # one row per group up to this many may be broadcast; counted before it is
+FEW_ROWS = 100_000  # small tables of up to this many rows may be broadcast; counted before they are
 
 
 def hash_bucket(key: Column, digits: int = HASH_DIGITS) -> Column:
@@ -28,6 +28,16 @@ def _with_group(df: DataFrame, by: list[str]) -> DataFrame:
     return df if by else df.withColumn("_all", F.lit(0))
 
 
+def few_rows(df: DataFrame, keys: list[str], most: int = FEW_ROWS) -> bool:
+    """Whether `df` has at most `most` rows; only `keys` are computed and counting stops there."""
+    return df.select(*keys).limit(most + 1).count() <= most
+
+
+def beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """`df` with the columns of a table of exactly one row, such as a global aggregate."""
+    return df.crossJoin(F.broadcast(one))  # one row
+
+
 def linear_bucket(
     df: DataFrame, by: list[str], value: str, buckets: int = LINEAR_BUCKETS, out: str = "_bkt"
 ) -> DataFrame:
@@ -37,9 +47,9 @@ def linear_bucket(
     part really holds again. A few far-off values squeeze all others into one part of the first
     level; the second spreads them out.
     """
-    g = _group(by)
-    rows = _with_group(df, by)
     v = F.col(value).cast("double")
+    few = not by or few_rows(df.select(*by).distinct(), by, FEW_ROWS // buckets)
+    hint = F.broadcast if few else (lambda side: side)  # at most `buckets` rows for each group
 
     def level(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         ends = rows.groupBy(*keys).agg(F.min(v).alias("_lo"), F.max(v).alias("_hi"))
@@ -47,12 +57,11 @@ def linear_bucket(
         part = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (buckets - 1))).otherwise(
             F.lit(0).cast("bigint")
         )
-        return rows.join(ends, keys).withColumn(name, part).drop("_lo", "_hi")
+        ended = rows.join(hint(ends), keys) if keys else beside(rows, ends)
+        return ended.withColumn(name, part).drop("_lo", "_hi")
 
-    rows = level(level(rows, g, "_b1"), [*g, "_b1"], "_b2")
-    return rows.withColumn(out, F.col("_b1") * buckets + F.col("_b2")).drop(
-        "_b1", "_b2", *([] if by else ["_all"])
-    )
+    rows = level(level(df, list(by), "_b1"), [*by, "_b1"], "_b2")
+    return rows.withColumn(out, F.col("_b1") * buckets + F.col("_b2")).drop("_b1", "_b2")
 
 
 def bucket_offsets(df: DataFrame, by: list[str], bucket: str = "_bkt", weight=None) -> DataFrame:
@@ -85,16 +94,6 @@ def positions(
     )
 
 
-def few_rows(df: DataFrame, keys: list[str], most: int = FEW_ROWS) -> bool:
-    """Whether `df` has at most `most` rows; only `keys` are computed and counting stops there."""
-    return df.select(*keys).limit(most + 1).count() <= most
-
-
-def beside(df: DataFrame, one: DataFrame) -> DataFrame:
-    """`df` with the columns of a table of exactly one row, such as a global aggregate."""
-    return df.crossJoin(F.broadcast(one))  # one row
-
-
 def cut_slots(
     df: DataFrame,
     by: list[str],
@@ -195,7 +194,7 @@ def exact_quantiles(
         .groupBy(*g, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    vals = linear_bucket(vals, g, "_v", buckets)
+    vals = linear_bucket(vals, by, "_v", buckets)
     hist = bucket_offsets(vals, g, "_bkt", weight="_c").withColumn(
         "_total", F.sum("_n").over(Window.partitionBy(*g))
     )

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import normalised_path
+from ..functions.ordering import beside
 from .dedup import content_hash, near_duplicate_table
 
 
@@ -118,8 +119,7 @@ def reconcile_copies(copies: DataFrame, items: DataFrame, role: str) -> DataFram
         F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n_disk"),
         F.count(F.when(F.col("t") & F.col("v"), 1)).alias("n_shared"),
     )
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    return one(disk).join(one(listed), "_k").select(
+    return beside(disk, listed).select(
         "n_disk", "n_manifest", (F.col("n_disk") == F.col("n_manifest")).alias("counts_match"), "n_shared"
     )
 

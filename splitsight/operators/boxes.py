@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import iou, ratio, round_to
-from ..functions.ordering import exact_quantiles
+from ..functions.ordering import beside, exact_quantiles
 from ..session import checkpointed
 from .thresholds import FINE_POINTS, fine_index, fine_threshold
 
@@ -231,11 +231,9 @@ def localisation_summary(rows: DataFrame) -> DataFrame:
         share(F.col("peak_in")).alias("pointing"),
         F.avg(F.when(top, F.col("energy"))).alias("energy_mean_top_in_box"),
         F.avg(F.when(top, F.when(F.col("peak_in"), 1.0).otherwise(0.0))).alias("pointing_top_in_box"),
-    ).withColumn("_k", F.lit(0))
-    med = exact_quantiles(rows, [], "energy", [0.5]).select(
-        F.lit(0).alias("_k"), F.col("quantile").alias("energy_median")
     )
-    return one.join(med, "_k").select(
+    med = exact_quantiles(rows, [], "energy", [0.5]).agg(F.max("quantile").alias("energy_median"))
+    return beside(one, med).select(
         "n", "n_top_in_box",
         *[
             round_to(c, 9).alias(c)

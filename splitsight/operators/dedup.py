@@ -50,11 +50,12 @@ def _banded(df: DataFrame) -> DataFrame:
 
 
 def near_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, right_id: str) -> DataFrame:
-    """(keys, left_id, right_id, bits) of pairs within the limit; a pair may repeat per band.
+    """(keys, left_id, right_id, bits) of pairs within the limit, each once.
 
     left: (keys, left_id, hash); right: (keys, right_id, hash). Where more than HOT_BUCKET right
     rows share a band value, the key is lengthened by each other band in turn: a near pair agrees
     on two bands or more, so it still meets, and rows that share only the one value no longer do.
+    A pair is kept where it first meets, at the first bands on which it agrees.
     """
     lb = _banded(left.select(*keys, left_id, F.col("hash").alias("hash")))
     rb = _banded(right.select(*keys, right_id, F.col("hash").alias("hash")))
@@ -79,16 +80,23 @@ def near_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
         )
 
     met = lengthen(lb, left_id).join(lengthen(rb, right_id), [*bucket, "_second"])
-    return met.select(
-        *keys, left_id, right_id, hamming(f"_{left_id}_hash", f"_{right_id}_hash").alias("bits")
-    ).filter(F.col("bits") <= NEAR_DUPLICATE_BITS)
+    near = met.withColumn("bits", hamming(f"_{left_id}_hash", f"_{right_id}_hash")).filter(
+        F.col("bits") <= NEAR_DUPLICATE_BITS
+    )
+    differing = F.zip_with(f"_{left_id}_hash", f"_{right_id}_hash", lambda x, y: x.bitwiseXOR(y))
+    agreed = F.transform(F.filter(band_values(differing), lambda x: x["value"] == 0), lambda x: x["band"])
+    first = (F.col("_band") == F.get("_agreed", F.lit(0))) & (
+        F.col("_second").isNull() | (F.col("_second.band") == -1)
+        | (F.col("_second.band") == F.get("_agreed", F.lit(1)))
+    )
+    return near.withColumn("_agreed", agreed).filter(first).select(*keys, left_id, right_id, "bits")
 
 
 def near_pairs(items: DataFrame, keys: list[str], item_id: str) -> DataFrame:
     """(keys, a, b, bits) with a < b, each pair once, over rows with distinct hashes."""
     left = items.select(*keys, F.col(item_id).alias("a"), "hash")
     right = items.select(*keys, F.col(item_id).alias("b"), "hash")
-    return near_join(left, right, keys, "a", "b").filter("a < b").distinct()
+    return near_join(left, right, keys, "a", "b").filter("a < b")
 
 
 def near_duplicate_table(items: DataFrame, roles: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expressions import (
     mcnemar_exact, paired_difference, ratio, round_to, stars,
 )
-from ..functions.ordering import exact_quantiles, linear_bucket, rows_at
+from ..functions.ordering import beside, exact_quantiles, linear_bucket, rows_at
 from .thresholds import NEG, POS, cumulative_curve, falling, score_levels
 
 AREA_LIMIT = 0.15
@@ -80,8 +80,7 @@ def ablation(
             F.col("a_only").alias("gain"), F.col("b_only").alias("loss"),
         )
     )
-    rows = contrasts.join(both, ["ref", "variant"]).withColumn("_k", F.lit(0))
-    rows = rows.join(n_pos.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    rows = beside(contrasts.join(both, ["ref", "variant"]), n_pos)
     d, lo, hi = paired_difference("gain", "loss", "n_pos")
     rows = rows.select(
         "family", "ref", "variant", "gain", "loss", d.alias("effect"), lo.alias("low"),

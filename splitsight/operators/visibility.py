@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import ratio, round_to
-from ..functions.ordering import exact_quantiles
+from ..functions.ordering import beside, exact_quantiles
 
 MIN_VISIBLE = 0.35
 FULLY_VISIBLE = 0.999
@@ -74,8 +74,7 @@ def visibility_summary(objects: DataFrame) -> DataFrame:
             for p, name in ((0.1, "p10"), (0.5, "median"), (0.9, "p90"))
         ]
     )
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    return one(sums).join(one(images), "_k").join(one(q), "_k").select(
+    return beside(beside(sums, images), q).select(
         "n_objects", "n_retained", "n_full", "n_images", "n_empty",
         *[round_to(c, 9).alias(c) for c in ("mean", "p10", "median", "p90")],
         round_to(ratio("n_retained", "n_objects"), 9).alias("retained"),

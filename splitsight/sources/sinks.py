@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.ordering import beside
+
 
 def write_manifest(items: DataFrame, path: str) -> None:
     """One manifest folder, partitioned by role so that a role is read alone."""
@@ -33,9 +35,6 @@ def split_summary(items: DataFrame, seed: int) -> DataFrame:
     """One row: seed, item count per role, and the categories seen."""
     counts = items.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
     cats = items.select("category").distinct()
-    one = lambda df: df.withColumn("_k", F.lit(0))
-    return (
-        one(counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("counts")))
-        .join(one(cats.agg(F.array_sort(F.collect_list("category")).alias("categories"))), "_k")
-        .select(F.lit(seed).alias("seed"), "counts", "categories")
-    )
+    counted = counts.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "n")))).alias("counts"))
+    seen = cats.agg(F.array_sort(F.collect_list("category")).alias("categories"))
+    return beside(counted, seen).select(F.lit(seed).alias("seed"), "counts", "categories")
