@@ -22,7 +22,8 @@ def register(name, fn, sql=None):
         ORACLES[name] = sql
 
 
-SMALL_REPS = 20
+SMALL_REPS = 20  # bootstrap; README says why
+HALVES = 20
 CONTRASTS = [("first", "m0", "m1"), ("first", "m2", "m0"), ("second", "m3", "m2")]
 CATALOGUE = [(i, f"m{i}", f"Arm {i}", f"tag{i}" if i else "") for i in range(5)]
 CURVE_OF = {"m0": "click", "m1": "error", "m2": "view"}
@@ -243,10 +244,28 @@ JOIN cuts USING (arm) WHERE target = 0.1::DOUBLE""",
 
 
 def conformal_query(s, d):
-    out = B.conformal_summary(B.conformal_rates(images(s, d), SMALL_REPS))
+    out = B.conformal_summary(B.conformal_rates(images(s, d), HALVES))
     return out.select("arm", "target", *[round_to(c, 9).alias(c) for c in out.columns[2:]])
 
 
+def conformal_beside_query(s, d):
+    img = images(s, d)
+    out = B.conformal_beside_matched(B.conformal_rates(img, HALVES), img)
+    return out.select("arm", "target", *[round_to(c, 9).alias(c) for c in out.columns[2:]])
+
+
+# alerts of every split counted once for each cut: held-out scores and positives by score level, not by photograph
+JUDGED = """poslv AS (
+  SELECT arm, coalesce(max_conf, -1.0::DOUBLE) AS score, count(*) AS n FROM img WHERE role = 'pos_test' GROUP BY ALL),
+posdet AS (
+  SELECT arm, rep, target, coalesce(sum(n) FILTER (score > cut), 0)::DOUBLE / sum(n)::DOUBLE AS det
+  FROM cuts JOIN poslv USING (arm) GROUP BY ALL),
+heldfa AS (
+  SELECT c.arm, c.rep, c.target,
+         count(*) FILTER (coalesce(max_conf, -1.0::DOUBLE) > cut)::DOUBLE / count(*)::DOUBLE AS fa
+  FROM half h JOIN img i USING (image_id) JOIN cuts c ON c.rep = h.rep AND c.arm = i.arm
+  WHERE NOT cal GROUP BY ALL),
+judged AS (SELECT * FROM posdet JOIN heldfa USING (arm, rep, target))"""
 _Q = ", ".join(
     f"{rnd(f'avg({c})', 9)} AS {c}, {rnd(f'quantile_cont({c}, 0.025)', 9)} AS {c}_low, "
     f"{rnd(f'quantile_cont({c}, 0.975)', 9)} AS {c}_high"
@@ -256,18 +275,19 @@ register(
     "A10_conformal_repeats",
     conformal_query,
     with_(
-        IMAGES, halves_sql(SMALL_REPS),
-        """judged AS (
-  SELECT c.arm, c.rep, c.target,
-         count(*) FILTER (role = 'pos_test' AND coalesce(max_conf, -1.0::DOUBLE) > cut)::DOUBLE
-           / count(*) FILTER (role = 'pos_test')::DOUBLE AS det,
-         count(*) FILTER (role = 'neg_test' AND NOT cal AND coalesce(max_conf, -1.0::DOUBLE) > cut)::DOUBLE
-           / count(*) FILTER (role = 'neg_test' AND NOT cal)::DOUBLE AS fa
-  FROM cuts c JOIN img i ON i.arm = c.arm LEFT JOIN half h ON h.rep = c.rep AND h.image_id = i.image_id
-  GROUP BY c.arm, c.rep, c.target)""",
+        IMAGES, halves_sql(HALVES), JUDGED,
     )
     + f"SELECT arm, target, {_Q} FROM judged GROUP BY arm, target",
 )
+register(
+    "A10_conformal_beside_matched",
+    conformal_beside_query,
+    with_(IMAGES, LEVELS, BUDGET, halves_sql(HALVES), JUDGED)
+    + f"""SELECT arm, target, {rnd('det', 9)} AS conformal, {rnd('detection', 9)} AS matched,
+  {rnd('detection - det', 9)} AS shortfall
+FROM (SELECT arm, target, avg(det) AS det FROM judged GROUP BY arm, target)
+JOIN matched USING (arm) WHERE budget = target""",
+)
 register(
     "A11_category_hits",
     lambda s, d: S.category_hits(T.image_hits(images(s, d), 0.10)),

@@ -102,6 +102,7 @@ def cut_slots(
     cut_cols: list[str],
     out: str = "slot",
     bucket: str = "_bkt",
+    few: bool | None = None,
 ) -> DataFrame:
     """Slot of each row when its group's total order is cut after the given row counts.
 
@@ -110,7 +111,7 @@ def cut_slots(
     which bucket each cut falls; only those buckets are sorted, to find the last row before the
     cut. Every row is then compared with its group's cut rows, so the table itself is scanned and
     never shuffled while there are at most FEW_ROWS groups; with more, it meets them in a
-    shuffled join. Groups absent from `cuts` are dropped.
+    shuffled join. `few` says so where the caller knows. Groups absent from `cuts` are dropped.
     """
     edges = [f"_last{i}" for i in range(len(cut_cols))]
     cuts = cuts.select(*by, *cut_cols)
@@ -119,7 +120,8 @@ def cut_slots(
     holds = F.lit(False)
     for c in cut_cols:
         holds = holds | ((F.col(c) > F.col("_before")) & (F.col(c) <= F.col("_before") + F.col("_n")))
-    few = not by or few_rows(cuts, by)
+    if few is None:
+        few = not by or few_rows(cuts, by)
     hint = F.broadcast if few else (lambda side: side)  # at most one row for each group and cut
     inside = Window.partitionBy(*by, bucket).orderBy(*order)
     ranked = (

@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expressions import hash60, keyed_hash, ratio
-from ..functions.ordering import cut_slots, hash_bucket, positions
+from ..functions.ordering import FEW_ROWS, cut_slots, hash_bucket, positions
 from ..session import spread
 from .stats import AREA_LIMIT, partial_area
-from .thresholds import BUDGETS, NEG, POS
+from .thresholds import BUDGETS, NEG, POS, detection_at_budgets, stored
+
+SCORE_BUCKETS = 128  # for each unit of score
 
 
 def arm_scores(images: DataFrame) -> DataFrame:
     """(image_id, role, scores): one row per photograph with the few arms' scores as an array."""
     return spread(images, "image_id").groupBy("image_id", "role").agg(
-        F.collect_list(F.struct("arm", F.col("max_conf").alias("score"))).alias("scores")
+        F.collect_list(F.struct("arm", stored("max_conf").alias("score"))).alias("scores")
     )
 
 
@@ -73,49 +75,63 @@ def calibration_halves(images: DataFrame, reps: int) -> DataFrame:
     rows = neg.withColumn("rep", F.explode(every)).withColumn(
         "_key", keyed_hash(F.lit("half"), "rep", "image_id")
     )
-    rows = rows.withColumn("_bkt", hash_bucket(F.col("_key")))
-    return cut_slots(rows, ["rep"], ["_key", "image_id"], halves, ["half"]).drop("_key")
+    rows = rows.withColumn("_bkt", hash_bucket(F.col("_key"), 2))  # 256 counts for each repetition
+    return cut_slots(rows, ["rep"], ["_key", "image_id"], halves, ["half"], few=reps <= FEW_ROWS).drop("_key")
 
 
-def conformal_cuts(halves: DataFrame, targets: list[float]) -> DataFrame:
+def conformal_cuts(halves: DataFrame, targets: list[float], few: bool = False) -> DataFrame:
     """(arm, rep, target, cut, held_alerts, n_held) of the split-conformal rule.
 
     With n calibration scores, floor(target * (n + 1)) - 1 of them may lie at or above an alert;
     the cut is the next largest score and an alert must exceed it. A negative allowance means no
     alert, shown as an infinite cut. Never-fired photographs score -1.
+
+    Rows are counted map-side by score bucket; only the buckets that hold a cut are read again by
+    score, so what is shuffled grows with the repetitions and not with photographs times
+    repetitions. `few` says that one row for each arm, repetition and target may be broadcast.
     """
-    levels = (
-        halves.select("rep", "slot", F.explode("scores").alias("s"))
-        .groupBy(
-            F.col("s.arm").alias("arm"), "rep",
-            F.coalesce(F.col("s.score"), F.lit(-1.0)).alias("score"),
-        )
-        .agg(
-            F.count(F.when(F.col("slot") == 0, 1)).alias("cal"),
-            F.count(F.when(F.col("slot") == 1, 1)).alias("held"),
-        )
-    )
-    order = Window.partitionBy("arm", "rep").orderBy(F.desc("score"))
-    down = order.rowsBetween(Window.unboundedPreceding, 0)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    levels = (
-        levels.withColumn("n_cal", F.sum("cal").over(whole))
+    scored = halves.select("rep", "slot", F.explode("scores").alias("s")).select(
+        "rep", "slot", F.col("s.arm").alias("arm"), F.coalesce("s.score", F.lit(-1.0)).alias("score")
+    )
+    # falling scores give rising buckets; what lies outside [-1, 1] joins the outermost ones
+    scored = scored.withColumn(
+        "bkt", F.greatest(F.least(F.floor((1 - F.col("score")) * SCORE_BUCKETS), F.lit(2 * SCORE_BUCKETS)), F.lit(0))
+    )
+    halves_of = [
+        F.count(F.when(F.col("slot") == 0, 1)).alias("cal"), F.count(F.when(F.col("slot") == 1, 1)).alias("held")
+    ]
+    order = Window.partitionBy("arm", "rep").orderBy("bkt")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("arm", "rep")
+    counted = (
+        scored.groupBy("arm", "rep", "bkt").agg(*halves_of)
+        .withColumn("n_cal", F.sum("cal").over(whole))
         .withColumn("n_held", F.sum("held").over(whole))
-        .withColumn("cal_to", F.sum("cal").over(down))
-        .withColumn("held_to", F.sum("held").over(down))
+        .withColumn("cal_before", F.coalesce(F.sum("cal").over(before), F.lit(0)))
+        .withColumn("held_before", F.coalesce(F.sum("held").over(before), F.lit(0)))
     )
     cells = []
     for t in targets:
         allowed = F.floor(F.lit(t) * (F.col("n_cal") + 1).cast("double")) - 1
         cells.append(F.struct(F.lit(t).alias("target"), allowed.alias("m")))
-    at = levels.withColumn("t", F.explode(F.array(*cells))).select("*", "t.target", "t.m")
-    here = (F.col("m") >= F.col("cal_to") - F.col("cal")) & (F.col("m") < F.col("cal_to"))
-    return at.groupBy("arm", "rep", "target").agg(
-        F.coalesce(F.max(F.when(here, F.col("score"))), F.lit(float("inf"))).alias("cut"),
-        F.coalesce(F.max(F.when(here, F.col("held_to") - F.col("held"))), F.lit(0)).alias(
-            "held_alerts"
-        ),
-        F.max("n_held").alias("n_held"),
+    asked = counted.withColumn("t", F.explode(F.array(*cells))).select("*", "t.target", "t.m").drop("t")
+    holds = (F.col("m") >= F.col("cal_before")) & (F.col("m") < F.col("cal_before") + F.col("cal"))
+    edges = asked.filter(holds).select("arm", "rep", "bkt", "target", "m", "cal_before", "held_before")
+    if few:
+        edges = F.broadcast(edges)  # one row for each arm, repetition and target
+    within = Window.partitionBy("arm", "rep", "target").orderBy(F.desc("score"))
+    down = within.rowsBetween(Window.unboundedPreceding, 0)
+    found = (
+        scored.join(edges, ["arm", "rep", "bkt"])
+        .groupBy("arm", "rep", "target", "score", "m", "cal_before", "held_before").agg(*halves_of)
+        .withColumn("cal_to", F.col("cal_before") + F.sum("cal").over(down))
+        .withColumn("held_above", F.col("held_before") + F.sum("held").over(down) - F.col("held"))
+        .filter((F.col("m") >= F.col("cal_to") - F.col("cal")) & (F.col("m") < F.col("cal_to")))
+        .select("arm", "rep", "target", "score", "held_above")
+    )
+    totals = asked.groupBy("arm", "rep", "target").agg(F.max("n_held").alias("n_held"))
+    return totals.join(found, ["arm", "rep", "target"], "left").select(
+        "arm", "rep", "target", F.coalesce("score", F.lit(float("inf"))).alias("cut"),
+        F.coalesce("held_above", F.lit(0)).alias("held_alerts"), "n_held",
     )
 
 
@@ -128,7 +144,7 @@ def conformal_alerts(images: DataFrame, halves: DataFrame, target: float) -> Dat
     )
     return judged.join(F.broadcast(cuts), "arm").select(  # one row per arm
         "arm", "image_id", "role",
-        (F.coalesce("max_conf", F.lit(-1.0)) > F.col("cut")).alias("alert"),
+        (F.coalesce(stored("max_conf"), F.lit(-1.0)) > F.col("cut")).alias("alert"),
     )
 
 
@@ -140,11 +156,11 @@ def conformal_rates(
     Positives above each cut are counted by merging the cuts into the arm's distinct positive
     scores and summing once from the top, so no cut is compared with a photograph.
     """
-    cuts = conformal_cuts(calibration_halves(images, reps), targets)
+    cuts = conformal_cuts(calibration_halves(images, reps), targets, few=reps * len(targets) <= 10_000)
     zero = F.lit(0).cast("bigint")
     pos = (
         images.filter(F.col("role") == POS)
-        .groupBy("arm", F.coalesce("max_conf", F.lit(-1.0)).alias("score"))
+        .groupBy("arm", F.coalesce(stored("max_conf"), F.lit(-1.0)).alias("score"))
         .agg(F.count(F.lit(1)).alias("pos"))
     )
     n_pos = pos.groupBy("arm").agg(F.sum("pos").alias("n_pos"))
@@ -181,3 +197,13 @@ def conformal_summary(rates: DataFrame) -> DataFrame:
             F.percentile(c, F.lit(0.975)).alias(f"{c}_high"),
         ]
     return rates.groupBy("arm", "target").agg(*cols)
+
+
+def conformal_beside_matched(rates: DataFrame, images: DataFrame) -> DataFrame:
+    """(arm, target, conformal, matched, shortfall): mean split-conformal detection beside the exact
+    detection at the same budget, and how far it falls short."""
+    mean = rates.groupBy("arm", "target").agg(F.avg("det").alias("conformal"))
+    exact = detection_at_budgets(images).select("arm", F.col("budget").alias("target"), F.col("detection").alias("matched"))
+    return mean.join(exact, ["arm", "target"]).select(
+        "arm", "target", "conformal", "matched", (F.col("matched") - F.col("conformal")).alias("shortfall")
+    )

@@ -24,6 +24,9 @@ POS, NEG = "pos_test", "neg_test"
 
 
 # ------------------------------------------------------------------ rollup
+STORED_DECIMALS = 6
+
+
 def per_image(photos: DataFrame, boxes: DataFrame, arms: list[str]) -> DataFrame:
     """(arm, image_id, role, category, n_boxes, top, max_conf) for every photograph and arm.
 
@@ -51,7 +54,7 @@ def per_image(photos: DataFrame, boxes: DataFrame, arms: list[str]) -> DataFrame
         .select("image_id", "role", "category", F.explode_outer(cells).alias("c"))
         .select(
             "c.arm", "image_id", "role", "category", "c.n_boxes", "c.top",
-            round_to("c.top", 6).alias("max_conf"),
+            stored("c.top").alias("max_conf"),
         )
     )
 
@@ -259,13 +262,18 @@ def worst_false_alarms(boxes: DataFrame, threshold: float, k: int = WORST) -> Da
 
 
 # ------------------------------------------------------------------ matched budgets
+def stored(score) -> Column:
+    """A score as it is stored, in six decimals: at most 1,000,001 values whatever the table."""
+    return round_to(score, STORED_DECIMALS)
+
+
 def score_levels(images: DataFrame, by: list[str] | None = None) -> DataFrame:
     """(by, score, pos, neg): photographs at every distinct stored score.
 
     The row with a null score holds the photographs that never fired.
     """
     by = by or ["arm"]
-    return images.groupBy(*by, F.col("max_conf").alias("score")).agg(
+    return images.groupBy(*by, stored("max_conf").alias("score")).agg(
         F.count(F.when(F.col("role") == POS, 1)).alias("pos"),
         F.count(F.when(F.col("role") == NEG, 1)).alias("neg"),
     )
@@ -332,5 +340,5 @@ def image_hits(images: DataFrame, budget: float) -> DataFrame:
     points = detection_at_budgets(images, [budget]).select("arm", "threshold")
     return images.join(F.broadcast(points), "arm").select(  # one row per arm
         "arm", "image_id", "role", "category",
-        F.coalesce(F.col("max_conf") >= F.col("threshold"), F.lit(False)).alias("hit"),
+        F.coalesce(stored("max_conf") >= F.col("threshold"), F.lit(False)).alias("hit"),
     )

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from splitsight.functions import ordering
 from splitsight.functions.ordering import cut_slots, exact_quantiles, linear_bucket, positions, rows_at
 
 
@@ -66,3 +67,34 @@ def test_far_off_values_do_not_fill_one_bucket(spark):
     assert largest <= 10
     got = [r.id for r in positions(linear_bucket(df, [], "v"), [], ["v"]).orderBy("pos").collect()]
     assert got == [5001, *range(5000), 5000]
+
+
+def test_cut_slots_meets_the_table_in_a_broadcast_join(spark):
+    rows, df = skewed(spark)
+    table = linear_bucket(df, ["g"], "v")
+    cuts = spark.createDataFrame([("a", 700), ("b", 10)], "g string, c0 bigint")
+    out = cut_slots(table, ["g"], ["v", "id"], cuts, ["c0"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    first_join = next(line for line in plan.splitlines() if "Join" in line)
+    assert "BroadcastHashJoin" in first_join and out.count() == len(rows)
+
+
+def test_groups_beyond_the_limit_meet_in_a_shuffled_join(spark, monkeypatch):
+    rows, df = skewed(spark)
+    cuts = spark.createDataFrame([("a", 700), ("b", 10)], "g string, c0 bigint")
+    cut = lambda: {
+        (r.id, r.slot) for r in cut_slots(linear_bucket(df, ["g"], "v"), ["g"], ["v", "id"], cuts, ["c0"]).collect()
+    }
+    few = cut()
+    monkeypatch.setattr(ordering, "FEW_ROWS", 1)
+    monkeypatch.setattr(ordering, "few_rows", lambda *a, **k: False)
+    assert cut() == few
+
+
+def test_cuts_at_the_ends_and_with_ties(spark):
+    df = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "id bigint, v double")
+    cuts = spark.createDataFrame([(0, 10, 30, 99)], "a bigint, b bigint, c bigint, d bigint")
+    got = {r.id: r.slot for r in cut_slots(linear_bucket(df, [], "v"), [], ["v", "id"], cuts, list("abcd")).collect()}
+    assert got == {i: 1 if i % 3 == 0 else 2 for i in range(30)}
+    empty = df.limit(0)
+    assert cut_slots(linear_bucket(empty, [], "v"), [], ["v", "id"], cuts, list("abcd")).count() == 0
