@@ -6,10 +6,13 @@ import base64
 import binascii
 import bz2
 import gzip
+import mmap
 import re
+import tempfile
 import zlib
 from collections import deque
 from hashlib import blake2b, sha256
+from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -20,12 +23,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 
-_ESCAPES = re.compile(
-    r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})"
+_ONE_ESCAPE = (
+    r"\\u\{(?P<brace>[0-9A-Fa-f]{1,6})\}|(?P<pair>\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})"
     r"|\\u(?P<four>[0-9A-Fa-f]{4})|\\U(?P<eight>[0-9A-Fa-f]{8})|\\x(?P<two>[0-9A-Fa-f]{2})|&#x(?P<hex>[0-9A-Fa-f]{1,6});|&#(?P<dec>[0-9]{1,7});"
 )
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{22,}={0,2}")  # the shortest secret, 16 bytes, takes 22 characters
-MAX_UNPACKED = 64 << 20  # bytes that one compressed layer may grow to in memory
+_ESCAPES = re.compile(r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|" + _ONE_ESCAPE)
+_ESCAPED_BYTES = re.compile((r"(?P<url>(?:%[0-9A-Fa-f]{2}){1,4096})|" + _ONE_ESCAPE).encode())
+LEAST_RUN = 22  # the shortest secret, 16 bytes, takes 22 characters
+_RUNS = (
+    r"[A-Za-z0-9+/_-]{22,}+={0,2}",
+)
+_BASE64 = [re.compile(r) for r in _RUNS]
+_BASE64_BYTES = [re.compile(r.encode()) for r in _RUNS]
+_PLAIN_BYTES = {"assign": re.compile(ASSIGN.pattern.encode(), re.I), "access": re.compile(ACCESS.pattern.encode()), "hex": re.compile(HEX.pattern.encode())}
+_LEAST = {"assign": LEAST_ASSIGN, "access": LEAST_ACCESS, "hex": 0}
+_PACKED = re.compile(
+    rb"(?P<gzip>\x1f\x8b\x08[\x00-\x1f])|(?P<bzip2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<zstd>\x28\xb5\x2f\xfd)|(?P<zlib>x[\x01\x5e\x9c\xda])",
+    re.S,
+)
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+IN_MEMORY = 32 << 20  # bytes of one layer that are held in memory; longer ones lie in an unnamed file
+STEP = 1 << 20  # bytes that are read or unpacked at a time
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -106,61 +124,210 @@ def _unescaped(layer: Layer) -> Layer | None:
     return Layer("".join(out), starts, ends)
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """The bytes inside gzip, zlib, bzip2 or zstandard data; None if it is none of them or is broken."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, MAX_UNPACKED)
-        if len(raw) > 2 and raw[0] == 0x78 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            return zlib.decompressobj(15).decompress(raw, MAX_UNPACKED)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, MAX_UNPACKED)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(raw) as reader:
-                return reader.read(MAX_UNPACKED)
-    except Exception:  # noqa: BLE001  broken data is no layer, whichever library says so
-        return None
-    return None
+class Spool:
+    """Bytes of any length, written piece by piece: short ones in memory, longer ones in an unnamed file."""
+
+    def __init__(self):
+        self.parts, self.size, self.file = [], 0, None
+
+    def write(self, part: bytes) -> None:
+        self.size += len(part)
+        if self.file is None:
+            self.parts.append(part)
+            if self.size <= IN_MEMORY:
+                return
+            self.file, part, self.parts = tempfile.TemporaryFile(), b"".join(self.parts), []
+        self.file.write(part)
+
+    def done(self):
+        if self.file is None:
+            return b"".join(self.parts)
+        self.file.flush()
+        with self.file as f:
+            return mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
+
+
+def _unpacked(kind: str, data, at: int, write) -> tuple[int, bool, bool]:
+    """Write what the member, stream or frame at `at` holds: (its end, whether it ended, whether it broke)."""
+    if kind == "zstd":
+        import zstandard
+
+        unpacker, errors, step = zstandard.ZstdDecompressor(max_window_size=1 << 31).decompressobj(), zstandard.ZstdError, 1 << 10
+    elif kind == "bzip2":
+        unpacker, errors, step = bz2.BZ2Decompressor(), (OSError, ValueError), 1 << 16
+    else:
+        unpacker, errors, step = zlib.decompressobj(31 if kind == "gzip" else 15), zlib.error, 1 << 16
+    while at < len(data) and not unpacker.eof:
+        part, more = data[at : at + step], True
+        at += len(part)
+        while more:
+            try:
+                got = unpacker.decompress(part) if kind == "zstd" else unpacker.decompress(part, STEP)
+            except errors:
+                return at, False, True
+            write(got)
+            part = getattr(unpacker, "unconsumed_tail", b"")
+            more = kind != "zstd" and not unpacker.eof and (bool(got) or bool(part))
+            if kind == "bzip2" and unpacker.needs_input:
+                more = False
+    return at - len(unpacker.unused_data), unpacker.eof, False
+
+
+def _packed(data):
+    """(start, end, content) of compressed stretches of `data`, wherever they begin.
+
+    Members, streams or frames that follow one another are one content, so nothing is lost where one ends
+    (skippable frames and zero bytes between them are passed over). What came out before data ends or breaks
+    off counts. Only the two bytes of zlib's head are too weak a sign for that: away from the start of `data`,
+    such a stream counts if it is whole and its checksum right.
+    """
+    at = 0
+    while (m := _PACKED.search(data, at)) is not None:
+        kind, end = m.lastgroup, m.start()
+        spool = Spool()
+        while True:
+            begin = end
+            part = Spool() if kind == "zlib" else spool
+            end, whole, broke = _unpacked(kind, data, begin, part.write)
+            if kind == "zlib" and (whole or begin == 0 and not broke):
+                content = part.done()
+                for i in range(0, len(content), STEP):
+                    spool.write(content[i : i + STEP])
+            if not whole:
+                break
+            after = end
+            while kind == "gzip" and data[after : after + 1] == b"\0":
+                after += 1
+            while kind == "zstd" and data[after + 1 : after + 4] == b"\x2a\x4d\x18" and data[after] >> 4 == 5:
+                after += 8 + int.from_bytes(data[after + 4 : after + 8], "little")
+            follows = _PACKED.match(data, after)
+            if follows is None or follows.lastgroup != kind:
+                break
+            end = after
+        at = max(begin + 1, m.end()) if broke or kind == "zlib" and not whole else max(end, m.end())
+        if spool.size:
+            yield m.start(), end, spool.done()
+
+
+def _decoded(data, start: int, end: int, skip: int):
+    """Bytes of a base64 run, without its first `skip` characters, in pieces."""
+    left = b""
+    for at in range(start, end, STEP):
+        part = data[at : min(at + STEP, end)].translate(_STANDARD, b" \t\r\n=")
+        part, skip = left + part[skip:], max(0, skip - len(part))
+        whole = len(part) // 4 * 4
+        yield binascii.a2b_base64(part[:whole])
+        left = part[whole:]
+    if len(left) > 1:
+        yield binascii.a2b_base64(left + b"=" * (4 - len(left)))
+
+
+def _without_escapes(data):
+    """The bytes with escapes decoded, in pieces."""
+    at = 0
+    for m in _ESCAPED_BYTES.finditer(data):
+        kind = m.lastgroup
+        if kind == "url":
+            new = bytes.fromhex(m[0].decode().replace("%", ""))
+        elif kind == "pair":
+            value = m[0].decode()
+            new = bytes.fromhex(value[2:6] + value[8:12]).decode("utf-16-be").encode()
+        else:
+            code = int(m[kind], 10 if kind == "dec" else 16)
+            if code > 0x10FFFF or 0xD800 <= code < 0xE000:
+                continue
+            new = chr(code).encode()
+        for i in range(at, m.start(), STEP):
+            yield data[i : min(i + STEP, m.start())]
+        yield new
+        at = m.end()
+    for i in range(at, len(data), STEP):
+        yield data[i : i + STEP]
+
+
+def _gathered(parts):
+    spool = Spool()
+    for part in parts:
+        spool.write(part)
+    return spool.done()
+
+
+def _plain_kinds(data) -> set[str]:
+    """Kinds of secrets that stand in the bytes as they are."""
+    return {
+        kind
+        for kind, pattern in _PLAIN_BYTES.items()
+        if any(len(m[m.lastindex or 0]) >= _LEAST[kind] for m in pattern.finditer(data))
+    }
+
+
+def _contents(data):
+    """What is wrapped in bytes: compressed stretches, base64 runs, escapes."""
+    for _, _, inner in _packed(data):
+        yield inner
+    for pattern in _BASE64_BYTES:
+        for m in pattern.finditer(data):
+            for skip in range(1):
+                yield _gathered(_decoded(data, m.start(), m.end(), skip))
+    if _ESCAPED_BYTES.search(data):
+        last = [_gathered(_without_escapes(data))]
+        del data  # of a chain of escapes, one layer is held
+        yield last.pop()
+
+
+def _kinds_inside(data) -> set[str]:
+    """Kinds of secrets in unpacked bytes, however deep. Their place is that of the compressed data.
+
+    Goes down one branch at a time and stops when all kinds were found or nothing is new.
+    """
+    found, seen, branch = set(), set(), [iter([data])]
+    del data
+    while branch and len(found) < len(KINDS):
+        inner = next(branch[-1], None)
+        if inner is None:
+            branch.pop()
+            continue
+        mark = blake2b(inner, digest_size=16).digest()
+        if mark in seen:
+            continue
+        seen.add(mark)
+        found |= _plain_kinds(inner)
+        branch.append(_contents(inner))
+        del inner
+    return found
 
 
-def _printable(s: str) -> bool:
-    odd = sum(1 for c in s if c < " " and c not in "\t\n\r" or c in "\x7f�")
-    return odd * 20 <= len(s)
+def _holds_more(raw: bytes) -> bool:
+    """Whether a secret, an escape or a base64 run stands in the bytes."""
+    return bool(_plain_kinds(raw) or _ESCAPED_BYTES.search(raw) or any(r.search(raw) for r in _BASE64_BYTES))
 
 
 def _unwrapped(layer: Layer):
-    """Layers inside base64 runs, and inside compressed data in them."""
-    for m in _BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        packed, depth = raw, 0
-        while (inner := _inflate(packed)) is not None and depth < 64:
-            packed, depth = inner, depth + 1
-        try:
-            text = packed.decode("utf-8")
-        except UnicodeDecodeError:
-            continue
-        if not text or not _printable(text):
-            continue
-        if depth:
-            a, b = layer.origin(m.start(), m.end())
-            yield Layer(text, [a] * len(text), [b] * len(text))
-            continue
-        starts, ends, at = [], [], 0
-        for c in text:
-            n = len(c.encode())
-            a, b = layer.origin(m.start() + at // 3 * 4, min(m.start() + (at + n - 1) // 3 * 4 + 4, m.end()))
-            starts.append(a)
-            ends.append(b)
-            at += n
-        yield Layer(text, starts, ends)
+    """Layers inside base64 runs, and (start, end, content) of compressed data in them.
+
+    Bytes are read one by one (latin-1): secrets and encodings are ASCII, so it does not matter what else there is.
+    """
+    for pattern in _BASE64:
+        for m in pattern.finditer(layer.text):
+            run = m[0].encode()
+            if b"\n" in run:
+                places = [m.start() + i for i, c in enumerate(run) if c not in b" \t\r\n="]
+            else:
+                places = range(m.start(), m.start() + len(run.rstrip(b"=")))
+            if len(places) < LEAST_RUN:
+                continue
+            for skip in range(1):
+                raw = b"".join(_decoded(run, 0, len(run), skip))
+
+                def origin(first: int, last: int, skip=skip, places=places, end=m.end()) -> tuple[int, int]:
+                    stop = skip + last // 3 * 4 + 4
+                    return layer.origin(places[skip + first // 3 * 4], places[stop - 1] + 1 if stop <= len(places) else end)
+
+                for first, after, content in _packed(raw):
+                    yield (*origin(first, min(after, len(raw)) - 1), content)
+                if _holds_more(raw):
+                    starts, ends = zip(*(origin(i, i) for i in range(len(raw))), strict=True)
+                    yield Layer(raw.decode("latin-1"), starts, ends)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -169,7 +336,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     A worklist holds layers still to be looked into. Each layer is scanned, its escapes are decoded as a
     whole and its base64 runs one by one; what comes out goes on the list unless the same text over the same
     place has been there, so the list ends. Spans of inner layers are those of the document's characters
-    that they were decoded from.
+    that they were decoded from; compressed data is one place, and all that is inside has its span.
     """
     text = text or ""
     base = base_spans(text)
@@ -177,7 +344,14 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
     todo, seen = deque([Layer(text)]), set()
     while todo:
         layer = todo.popleft()
-        for inner in [*filter(None, [_unescaped(layer)]), *_unwrapped(layer)]:
+        for inner in chain(filter(None, [_unescaped(layer)]), _unwrapped(layer)):
+            if isinstance(inner, tuple):
+                start, end, content = inner
+                mark = (start, end), blake2b(content, digest_size=16).digest()
+                if mark not in seen:
+                    seen.add(mark)
+                    every.update((start, end, kind) for kind in _kinds_inside(content))
+                continue
             where = (inner.starts[0], inner.ends[-1]) if inner.text else (0, 0)
             mark = (where, blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
             if not inner.text or mark in seen:
@@ -195,7 +369,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 def secret_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; null text is empty.
 
-    One pass over the texts, no shuffle; a layer is held in memory, as the text is.
+    One pass over the texts, no shuffle. Layers that a text spells out are held in memory, as the text is;
+    unpacked ones beyond IN_MEMORY lie in unnamed files of the worker's temp folder.
     """
     import pyarrow as pa
 
