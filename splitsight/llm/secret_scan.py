@@ -30,8 +30,10 @@ _ONE_ESCAPE = (
 _ESCAPES = re.compile(r"(?P<url>(?:%[0-9A-Fa-f]{2})+)|" + _ONE_ESCAPE)
 _ESCAPED_BYTES = re.compile((r"(?P<url>(?:%[0-9A-Fa-f]{2}){1,4096})|" + _ONE_ESCAPE).encode())
 LEAST_RUN = 22  # the shortest secret, 16 bytes, takes 22 characters
+# Runs on one line, and runs that go on over line breaks (with blanks around them) without a gap.
 _RUNS = (
     r"[A-Za-z0-9+/_-]{22,}+={0,2}",
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}",
 )
 _BASE64 = [re.compile(r) for r in _RUNS]
 _BASE64_BYTES = [re.compile(r.encode()) for r in _RUNS]
@@ -262,12 +264,12 @@ def _plain_kinds(data) -> set[str]:
 
 
 def _contents(data):
-    """What is wrapped in bytes: compressed stretches, base64 runs, escapes."""
+    """What is wrapped in bytes: compressed stretches, base64 runs in four alignments, escapes."""
     for _, _, inner in _packed(data):
         yield inner
     for pattern in _BASE64_BYTES:
         for m in pattern.finditer(data):
-            for skip in range(1):
+            for skip in range(4):
                 yield _gathered(_decoded(data, m.start(), m.end(), skip))
     if _ESCAPED_BYTES.search(data):
         last = [_gathered(_without_escapes(data))]
@@ -305,7 +307,8 @@ def _holds_more(raw: bytes) -> bool:
 def _unwrapped(layer: Layer):
     """Layers inside base64 runs, and (start, end, content) of compressed data in them.
 
-    Bytes are read one by one (latin-1): secrets and encodings are ASCII, so it does not matter what else there is.
+    A run is read in four alignments, since what stands right before it looks like a part of it. Bytes are
+    read one by one (latin-1): secrets and encodings are ASCII, so it does not matter what else there is.
     """
     for pattern in _BASE64:
         for m in pattern.finditer(layer.text):
@@ -316,7 +319,7 @@ def _unwrapped(layer: Layer):
                 places = range(m.start(), m.start() + len(run.rstrip(b"=")))
             if len(places) < LEAST_RUN:
                 continue
-            for skip in range(1):
+            for skip in range(4):
                 raw = b"".join(_decoded(run, 0, len(run), skip))
 
                 def origin(first: int, last: int, skip=skip, places=places, end=m.end()) -> tuple[int, int]:

@@ -316,6 +316,27 @@ def test_secret_behind_64_mb_of_a_layer():
     assert {k for _, _, k in secret_scan.scan(base64.b64encode(packed).decode())[1]} == {"access"}
 
 
+@pytest.mark.parametrize("before", ["", "a", "ab/", "http://h/cb/", "some-slug_"])
+def test_secrets_in_runs_that_start_elsewhere(before):
+    for payload in (b"zz password=abcdefghijkl z", b"caf\xe9 \xff\0\0\0 password=abcdefghijkl z", gzip.compress(b"password=abcdefghijkl", mtime=0)):
+        text = before + base64.b64encode(payload).decode()
+        assert {k for _, _, k in secret_scan.scan(text)[1]} == {"assign"}
+
+
+@pytest.mark.parametrize("width, end", [(64, "\n"), (76, "\r\n"), (76, "\n    ")])
+def test_secrets_in_wrapped_runs(width, end):
+    noise = random.Random(1).randbytes(200)
+    secret = b"password=abcdefghijkl "
+    for at in range(30, 60):
+        flat = base64.b64encode(b"." * at + secret).decode()
+        text = end.join(flat[i : i + width] for i in range(0, len(flat), width))
+        got = [text[a:b].replace(end, "") for a, b, k in secret_scan.scan(text)[1] if k == "assign"]
+        assert any(secret.strip() in base64.b64decode(g + "=" * (-len(g) % 4)) for g in got)
+    flat = base64.b64encode(gzip.compress(noise + secret, mtime=0)).decode()
+    text = "key:\n" + end.join(flat[i : i + width] for i in range(0, len(flat), width)) + "\nend"
+    assert "assign" in {k for _, _, k in secret_scan.scan(text)[1]}
+
+
 def test_scan_ends_on_self_similar_text():
     assert secret_scan.scan("%25" * 2000 + base64.b64encode(b"A" * 3000).decode())[1] == []
 
