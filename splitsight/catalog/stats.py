@@ -22,8 +22,8 @@ def register(name, fn, sql=None):
         ORACLES[name] = sql
 
 
-SMALL_REPS = 20  # bootstrap; README says why
-HALVES = 20
+REPS = 2000  # bootstrap
+HALVES = 1000
 CONTRASTS = [("first", "m0", "m1"), ("first", "m2", "m0"), ("second", "m3", "m2")]
 CATALOGUE = [(i, f"m{i}", f"Arm {i}", f"tag{i}" if i else "") for i in range(5)]
 CURVE_OF = {"m0": "click", "m1": "error", "m2": "view"}
@@ -181,7 +181,7 @@ BOOT = f"""place AS (
          count(*) OVER (PARTITION BY role) AS n_role FROM photo),
 drawn AS (
   SELECT rep, role, ('0x' || substr(md5(concat_ws('|', 'draw', rep, role, pos)), 1, 15))::BIGINT % n_role AS pos
-  FROM place CROSS JOIN (SELECT i AS rep FROM range(0, {SMALL_REPS}) t(i))),
+  FROM place CROSS JOIN (SELECT i AS rep FROM range(0, {REPS}) t(i))),
 sample AS (
   SELECT rep, i.arm, i.role, i.max_conf AS score
   FROM drawn JOIN place p USING (role, pos) JOIN img i USING (image_id)),
@@ -199,7 +199,7 @@ roc AS (
   WINDOW w AS (PARTITION BY arm, rep ORDER BY score DESC RANGE UNBOUNDED PRECEDING))"""
 register(
     "A8_area_bootstrap",
-    lambda s, d: B.area_bootstrap(images(s, d), SMALL_REPS).select(
+    lambda s, d: B.area_bootstrap(images(s, d), REPS).select(
         "arm", "reps", round_to("low", 9).alias("low"), round_to("high", 9).alias("high")
     ),
     with_(IMAGES, BOOT, AREA.format(keys="arm, rep"))

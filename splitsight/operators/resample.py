@@ -32,13 +32,15 @@ def bootstrap_levels(images: DataFrame, reps: int) -> DataFrame:
     )
     sizes = placed.groupBy("role").agg(F.count(F.lit(1)).alias("n_role"))
     every = F.sequence(F.lit(0), F.lit(reps - 1))
-    drawn = (
+    draws = (
         spread(placed.select("role", "pos"), "pos")
         .join(F.broadcast(sizes), "role")  # one row per role
         .withColumn("rep", F.explode(every))
         .withColumn("pos", hash60(F.lit("draw"), "rep", "role", "pos") % F.col("n_role"))
-        .groupBy("rep", "role", "pos")
-        .agg(F.count(F.lit(1)).alias("w"))
+    )
+    # dealt once by photograph, for the count of its draws and for its scores
+    drawn = spread(draws.select("rep", "role", "pos"), "role", "pos").groupBy("rep", "role", "pos").agg(
+        F.count(F.lit(1)).alias("w")
     )
     pos, neg = F.col("role") == POS, F.col("role") == NEG
     return (
