@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -18,10 +19,11 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str):
-    """text -> ids of a byte-level BPE file; strings of special tokens are ordinary text.
+    """text -> ids of a byte-level BPE file, as its tokenizer gives them without adding any of its own.
 
     The merges of such a file are in the order of their ids, so the quicker ranked encoder gives the same
-    ids; it is used if it does so on a probe, and texts that it refuses go to the slower one.
+    ids; it is used if it does so on a probe. It knows no added tokens: texts that hold the string of one,
+    such as <|endoftext|>, and texts that it refuses go to the slower one.
     """
     import public_tokenizers
     import tiktoken
@@ -29,7 +31,6 @@ def encoder(vocabulary: str):
 
     path = public_tokenizers.path(vocabulary)
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
 
     def plain(text: str) -> list[int]:
         return slow.encode(text, add_special_tokens=False).ids
@@ -40,13 +41,16 @@ def encoder(vocabulary: str):
     others = [b for b in range(256) if b not in set(shown)]
     byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(others)}
     special = {t["content"] for t in spec["added_tokens"]}
+    added = re.compile("|".join(map(re.escape, sorted(special))) or "(?!)")
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     quick = tiktoken.Encoding("ranked", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    probe = "It's 1,024 naïve   tests:\n\n\tÜber 東京 🙂 don't \r\n x=3.14; <|endoftext|> aaaaaaaaaaaa  "
+    probe = "It's 1,024 naïve   tests:\n\n\tÜber 東京 🙂 don't \r\n x=3.14; <|endof aaaaaaaaaaaa  "
     if quick.encode_ordinary(probe) != plain(probe):
         return plain
 
     def encode(text: str) -> list[int]:
+        if added.search(text):
+            return plain(text)
         try:
             return quick.encode_ordinary(text)
         except BaseException as stopped:  # the ranked encoder panics on runs that its pattern cannot match

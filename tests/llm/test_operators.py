@@ -130,6 +130,21 @@ def test_packing(odd, none):
     assert packing.packing_report(none).count() == 0
 
 
+def test_packing_keeps_added_tokens(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path(packing.VOCABULARY))
+    encode = packing.encoder(packing.VOCABULARY)
+    assert encode("a <|endoftext|> b") == [64, 220, 50256, 275]
+    texts = ["<|endoftext|>", "x  <|endoftext|><|endoftext|>  y\n", "<|endoftext|", "<|ENDOFTEXT|> 東京<|endoftext|>don't"]
+    rows = packing.packing_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        ids = [*plain.encode(texts[r.doc_id], add_special_tokens=False).ids, 1]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert len(rows) == len(texts)
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(1)
     lengths = [rng.randrange(1, 2049) for _ in range(2000)]
