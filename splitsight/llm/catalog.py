@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, fingerprint, lines, mixing, near_dedup, packing, quality, secret_scan, suffix_dedup, topk
+from . import chat, fingerprint, lines, mixing, near_dedup, packing, quality, runs, secret_scan, suffix_dedup, topk, trie, warc
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_quality": lambda s, d: quality.quality_report(table(s, d, "documents"), table(s, d, "labels")),
     "op9_secret_scan": lambda s, d: secret_scan.secret_report(table(s, d, "documents")),
     "op10_mixing": lambda s, d: mixing.mixing_report(table(s, d, "documents")),
+    "op11_warc": warc.warc_report,
+    "op12_trie": trie.trie_report,
+    "op13_runs": lambda s, d: runs.runs_report(table(s, d, "documents")),
 }
 
-ORACLES = {"op5_topk": topk.SQL, "op6_chat": chat.SQL, "op7_line_dedup": lines.SQL}
+ORACLES = {"op5_topk": topk.SQL, "op6_chat": chat.SQL, "op7_line_dedup": lines.SQL, "op11_warc": warc.SQL, "op12_trie": trie.SQL}
