@@ -9,7 +9,7 @@ from ..operators import boxes as X, fusion as W, thresholds as T
 from ..plans.ensemble import evaluate_ensemble
 from ..sources import testdata as td
 from .stats import CAT_SQL, arm_totals, catalogue
-from .thresholds import FINE_GRID, POINTS, counts_sql, fine_sweep, sweep_sql
+from .thresholds import CARRIED, FINE_GRID, POINTS, counts_sql, fine_sweep, sweep_sql
 from .views import ARM, BOX, IMAGES, TRUTH, h, rnd, unit, with_
 
 QUERIES, ORACLES = {}, {}
@@ -134,16 +134,17 @@ def weights(s, d) -> DataFrame:
     )
 
 
+MEMBERS = (
+    IMAGES, FINE_GRID, counts_sql(), sweep_sql(), POINTS,
+    "raw AS (SELECT arm, f1, pow(f1 / avg(f1) OVER (), 2.0::DOUBLE) AS raw FROM best)",
+    "wt AS (SELECT arm, f1, raw * count(*) OVER () / sum(raw) OVER () AS weight FROM raw)",
+)
 register(
     "B6_member_weights",
     lambda s, d: W.member_weights(members(s, d), 2.0).select(
         "arm", "f1", round_to("weight", 9).alias("weight"), round_to("spread", 9).alias("spread")
     ),
-    with_(
-        IMAGES, FINE_GRID, counts_sql(), sweep_sql(), POINTS,
-        "raw AS (SELECT arm, f1, pow(f1 / avg(f1) OVER (), 2.0::DOUBLE) AS raw FROM best)",
-        "wt AS (SELECT arm, f1, raw * count(*) OVER () / sum(raw) OVER () AS weight FROM raw)",
-    )
+    with_(*MEMBERS)
     + f"SELECT arm, f1, {rnd('weight', 9)} AS weight, {rnd('max(weight) OVER () / min(weight) OVER ()', 9)} AS spread FROM wt",
 )
 
@@ -169,9 +170,63 @@ def rounded(df: DataFrame, cols) -> DataFrame:
     return df.select(*[c for c in df.columns if c not in cols], *[round_to(c, 6).alias(c) for c in cols])
 
 
+def fused_sql(floor: float) -> str:
+    """Fusion as a recursion over the boxes of each crowd in order, all crowds at once.
+
+    A row carries the crowd's clusters with all their boxes, so every step weighs them anew.
+    """
+    inter = "greatest(0, least(c.box[3], b[3]) - greatest(c.box[1], b[1])) * greatest(0, least(c.box[4], b[4]) - greatest(c.box[2], b[2]))"
+    area = lambda x: f"({x}[3] - {x}[1]) * ({x}[4] - {x}[2])"
+    say = "r.w / len(list_filter(rows, lambda q: q.ord = r.ord)) * r.c"
+    return f"""fb AS (
+  SELECT image_id, arm, substr(arm, 2, 1)::INT AS ord, box_id, conf, [x0, y0, x1, y1]::DOUBLE[] AS b, weight
+  FROM box JOIN wt USING (arm) WHERE conf >= {floor}::DOUBLE),
+strips AS (
+  SELECT DISTINCT image_id, unnest(range(floor(b[1] / 32)::BIGINT, floor(b[3] / 32)::BIGINT + 1)) AS strip FROM fb),
+islands AS (
+  SELECT image_id, strip, max(CASE WHEN gap THEN strip END) OVER (PARTITION BY image_id ORDER BY strip) AS crowd
+  FROM (SELECT *, strip - coalesce(lag(strip) OVER (PARTITION BY image_id ORDER BY strip), -2) > 1 AS gap FROM strips)),
+placed AS (
+  SELECT fb.*, crowd, struct_pack(ord := ord, w := weight, c := conf, b := b) AS me,
+         row_number() OVER (PARTITION BY fb.image_id, crowd ORDER BY conf DESC, ord, box_id) AS nth
+  FROM fb JOIN islands i ON i.image_id = fb.image_id AND i.strip = floor(b[1] / 32)::BIGINT),
+walk AS (
+  SELECT image_id, crowd, nth, 1::BIGINT AS k, [struct_pack(box := b, rows := [me])] AS clusters FROM placed WHERE nth = 1
+  UNION ALL
+  SELECT image_id, crowd, nth, k,
+         CASE WHEN k > len(clusters) THEN list_append(clusters, struct_pack(box := b, rows := rows))
+              ELSE list_transform(clusters, lambda c, i: CASE WHEN i = k THEN struct_pack(
+                box := list_transform([1, 2, 3, 4], lambda j: list_sum(list_transform(rows, lambda r: {say} * r.b[j]))
+                                                   / list_sum(list_transform(rows, lambda r: {say}))),
+                rows := rows) ELSE c END) END
+  FROM (
+    SELECT *, CASE WHEN k > len(clusters) THEN [me] ELSE list_append(clusters[k].rows, me) END AS rows FROM (
+      SELECT *, CASE WHEN list_max(likes) >= {W.FUSE_IOU}::DOUBLE
+                  THEN list_max(list_transform(likes, lambda x, i: CASE WHEN x = list_max(likes) THEN i END))
+                  ELSE len(clusters) + 1 END AS k FROM (
+        SELECT p.image_id, p.crowd, p.nth, b, me, clusters,
+               list_transform(clusters, lambda c: {inter} / ({area('c.box')} + {area('b')} - {inter})) AS likes
+        FROM walk w JOIN placed p ON p.image_id = w.image_id AND p.crowd = w.crowd AND p.nth = w.nth + 1)))),
+opinion AS (
+  SELECT image_id, crowd, k - 1 AS cluster, arm, any_value(weight) AS w, count(*) AS n, avg(conf) AS c,
+         {", ".join(f"sum(conf * b[{j}]) / sum(conf) AS v{j}" for j in (1, 2, 3, 4))}
+  FROM walk JOIN placed USING (image_id, crowd, nth) GROUP BY ALL),
+fused AS (
+  SELECT image_id, crowd, cluster, sum(w * c) / (SELECT sum(weight) FROM wt) AS conf,
+         {", ".join(f"sum(w * c * v{j}) / sum(w * c) AS {x}" for j, x in zip((1, 2, 3, 4), X.XYXY))},
+         count(*) AS n_members, sum(n)::BIGINT AS n_boxes
+  FROM opinion GROUP BY ALL)"""
+
+
+def recursive(*ctes: str) -> str:
+    return with_(*ctes).replace("WITH", "WITH RECURSIVE", 1)
+
+
 register(
     "B7_weighted_box_fusion",
     lambda s, d: rounded(W.fuse(fusion_boxes(s, d), weights(s, d)), ["conf", *X.XYXY]),
+    recursive(*MEMBERS, fused_sql(0.0))
+    + f"SELECT image_id, crowd, cluster, n_members, n_boxes, {', '.join(f'{rnd(c, 6)} AS {c}' for c in ('conf', *X.XYXY))} FROM fused",
 )
 
 
@@ -185,6 +240,9 @@ register(
         F.count("conf").alias("n_fused"), F.coalesce(F.sum("n_boxes"), F.lit(0)).alias("n_boxes"),
         round_to(F.max("conf"), 6).alias("max_conf"),
     ),
+    recursive(*MEMBERS, fused_sql(W.FUSE_FLOOR))
+    + f"""SELECT image_id, role, count(conf) AS n_fused, coalesce(sum(n_boxes), 0)::BIGINT AS n_boxes, {rnd('max(conf)', 6)} AS max_conf
+FROM photo LEFT JOIN fused USING (image_id) GROUP BY ALL""",
 )
 
 
@@ -192,7 +250,35 @@ def ensemble_threshold(s, d) -> DataFrame:
     return evaluate_ensemble(td.photos(s, d), fusion_boxes(s, d), weights(s, d), td.truths(s, d))["headline"]
 
 
-register("B9_ensemble_threshold", ensemble_threshold)
+# fused boxes of the labelled photographs against their one truth, then the sweep of all photographs
+ENSEMBLE = f"""ens AS (SELECT 'ensemble' AS arm, f.*, role FROM fused f JOIN photo USING (image_id)),
+reach AS (
+  SELECT b.image_id, crowd, cluster,
+         row_number() OVER (PARTITION BY b.image_id ORDER BY conf DESC, crowd::VARCHAR || '-' || cluster::VARCHAR DESC) = 1 AS tp
+  FROM ens b JOIN truth t USING (image_id) WHERE {iou_sql('b', 't')} >= 0.5::DOUBLE),
+judged AS (
+  SELECT e.conf, coalesce(tp, false) AS tp FROM ens e JOIN truth USING (image_id) LEFT JOIN reach USING (image_id, crowd, cluster)),
+peak AS (
+  SELECT confidence AS threshold, f1 AS box_f1 FROM (
+    SELECT confidence, CASE WHEN p + r = 0 THEN 0.0::DOUBLE ELSE 2 * p * r / (p + r) END AS f1 FROM (
+      SELECT confidence, CASE WHEN n = 0 THEN 0.0::DOUBLE ELSE hits::DOUBLE / n::DOUBLE END AS p,
+             hits::DOUBLE / (SELECT count(*) FROM truth)::DOUBLE AS r
+      FROM (SELECT confidence, count(*) FILTER (tp AND conf >= confidence) AS hits, count(*) FILTER (conf >= confidence) AS n
+            FROM judged CROSS JOIN grid GROUP BY ALL)))
+  ORDER BY f1 DESC, confidence LIMIT 1)"""
+OF_ENSEMBLE = with_(
+    "box AS (SELECT arm, image_id, role, conf FROM ens)",
+    """img AS (
+  SELECT 'ensemble' AS arm, p.image_id, role, max(conf) AS top FROM photo p
+  LEFT JOIN (SELECT image_id, conf FROM ens) USING (image_id) GROUP BY ALL)""",
+    counts_sql(), sweep_sql(), "ext AS (SELECT 'ensemble' AS arm, threshold FROM peak)", CARRIED,
+)
+register(
+    "B9_ensemble_threshold",
+    ensemble_threshold,
+    recursive(*MEMBERS, TRUTH, fused_sql(W.FUSE_FLOOR), ENSEMBLE)
+    + f"SELECT * FROM ({OF_ENSEMBLE} SELECT carried.*, {rnd('box_f1', 9)} AS box_f1 FROM carried CROSS JOIN peak)",
+)
 register(
     "B10_ensemble_cost",
     lambda s, d: W.ensemble_cost(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import mcnemar_exact, paired_difference, round_to, stars
-from ..operators import report as R, resample as B, stats as S, thresholds as T
+from ..operators import counted as C, report as R, resample as B, stats as S, thresholds as T
 from ..sources import testdata as td
 from .thresholds import (
     BUDGET, CARRIED, EXTERNAL, FINE_GRID, LEVELS, POINTS, counts_sql, external_thresholds,
@@ -207,6 +207,14 @@ register(
   {rnd('quantile_cont(area, 0.975)', 9)} AS high FROM area GROUP BY arm""",
 )
 
+# the same interval from counts at score levels: no photograph is drawn, so no other engine can follow
+register(
+    "A8_counted_bootstrap",
+    lambda s, d: C.area_bootstrap(images(s, d), REPS).select(
+        "arm", "reps", round_to("low", 9).alias("low"), round_to("high", 9).alias("high")
+    ),
+)
+
 
 def halves_sql(reps: int) -> str:
     return f"""half AS (
@@ -254,6 +262,16 @@ def conformal_beside_query(s, d):
     return out.select("arm", "target", *[round_to(c, 9).alias(c) for c in out.columns[2:]])
 
 
+def conformal_counted(s, d, beside: bool):
+    img = images(s, d)
+    rates = C.conformal_rates(img, HALVES)
+    out = B.conformal_beside_matched(rates, img) if beside else B.conformal_summary(rates)
+    return out.select("arm", "target", *[round_to(c, 9).alias(c) for c in out.columns[2:]])
+
+
+register("A10_counted_repeats", lambda s, d: conformal_counted(s, d, False))
+register("A10_counted_beside_matched", lambda s, d: conformal_counted(s, d, True))
+
 # alerts of every split counted once for each cut: held-out scores and positives by score level, not by photograph
 JUDGED = """poslv AS (
   SELECT arm, coalesce(max_conf, -1.0::DOUBLE) AS score, count(*) AS n FROM img WHERE role = 'pos_test' GROUP BY ALL),

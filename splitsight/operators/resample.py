@@ -1,6 +1,7 @@
-"""Bootstrap intervals and repeated split-conformal calibration.
+"""Bootstrap intervals and repeated split-conformal calibration with draws that can be replayed.
 
-Draws come from md5 of (stage, repetition, slot), so they replay in any engine. A resample is
+`counted` has the same estimates at a fraction of the work; here every photograph is dealt with, so that
+another engine can follow draw by draw, and single splits name their photographs. Draws come from md5 of (stage, repetition, slot), so they replay in any engine. A resample is
 built from rows, never from an index array: every photograph is one draw slot per repetition.
 """
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import mcnemar_exact
-from ..operators import resample as B, stats as S, thresholds as T
+from ..operators import counted as C, resample as B, stats as S, thresholds as T
 from ..session import checkpointed
 
 
@@ -27,10 +27,10 @@ def compare_arms(
         "matched": matched,
         "roc": S.roc_curve(levels, ["arm"]),
         "area": S.partial_area(levels, ["arm"]),
-        "area_interval": B.area_bootstrap(images, bootstrap_reps),
+        "area_interval": C.area_bootstrap(images, bootstrap_reps),
         "pairs": tests,
         "matrix": S.difference_matrix(tests, matched.filter(F.col("budget") == F.lit(budget))),
         "ablation": S.ablation(counts, contrasts, n_pos),
         "categories": S.category_hits(hits),
-        "conformal": B.conformal_summary(B.conformal_rates(images, calibration_reps)),
+        "conformal": B.conformal_summary(C.conformal_rates(images, calibration_reps)),
     }

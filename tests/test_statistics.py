@@ -10,7 +10,7 @@ from splitsight.catalog import stats as catalog
 from splitsight.functions.expressions import (
     fixed, ln_gamma, mcnemar_exact, name_category, round_to, run_name, wilson,
 )
-from splitsight.operators import resample as B, stats as S, thresholds as T
+from splitsight.operators import counted as C, resample as B, stats as S, thresholds as T
 
 
 def one(spark, **cols):
@@ -183,8 +183,9 @@ def test_bootstrap_keeps_role_sizes(spark):
 
 
 def test_registered_repetitions_are_the_operators():
-    reps = {f.__name__: inspect.signature(f).parameters["reps"].default for f in (B.area_bootstrap, B.conformal_rates)}
-    assert reps == {"area_bootstrap": catalog.REPS, "conformal_rates": catalog.HALVES} == {"area_bootstrap": 2000, "conformal_rates": 1000}
+    for m in (B, C):
+        reps = {f.__name__: inspect.signature(f).parameters["reps"].default for f in (m.area_bootstrap, m.conformal_rates)}
+        assert reps == {"area_bootstrap": catalog.REPS, "conformal_rates": catalog.HALVES} == {"area_bootstrap": 2000, "conformal_rates": 1000}
 
 
 def test_published_latency(spark):
