@@ -19,15 +19,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def meet(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], salts: int = 64) -> DataFrame:
-    """`many` left-joined with `one`, which has one row for each value of `keys`; a key may hold most of `many`.
-
-    The rows of a key are dealt over `salts` parts by a hash of the columns `by`; `one` is copied only to the
-    parts that ask for it. `many` is read twice, so it should be cheap or written down. Null keys find nothing.
-    """
-    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)))
-    asked = dealt.filter(F.col(keys[0]).isNotNull()).groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n")).drop("_n")
-    return dealt.join(asked.join(one, keys), [*keys, "_salt"], "left").drop("_salt")
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names behind so many underscores that no column has one of them."""
+    taken, bar = {c.lower() for c in columns}, "_"
+    while any((bar + n).lower() in taken for n in names):
+        bar += "_"
+    return [bar + n for n in names]
 
 
 def word_count(text: Column) -> Column:

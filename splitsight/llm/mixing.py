@@ -5,10 +5,10 @@ from __future__ import annotations
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import checkpointed
-from .common import word_count
+from .common import fresh, word_count
 
 WEIGHTS = (3, 1, 2)  # by order of the source, repeating
 SHARE = 1.5  # words of the mix for each word of the input
@@ -87,10 +87,16 @@ def _rounding(last: bool):
     return of_group
 
 
+def _row(docs: DataFrame) -> Column:
+    """One number for all that decides on a row: what is null counts too, since the hash passes over it."""
+    read = [docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"].cast("string")]
+    return F.xxhash64(*[x for c in read for x in (c.isNull(), c)])
+
+
 def mix(
     docs: DataFrame, weights=WEIGHTS, share=SHARE, most=MOST, leaf: int = LEAF, seed: int = 42
 ) -> DataFrame:
-    """(row, doc_id, source, size, source_size, target, copies, taken) of every row of `docs`.
+    """(row, nth, doc_id, source, size, source_size, target, copies, taken) of every row of `docs`.
 
     A document's expected number of copies is target / source_size; the whole part is taken and the rest
     is rounded: leaves of about `leaf` documents of one source round by themselves and leave one open
@@ -99,13 +105,13 @@ def mix(
     document. Leaves and seeds come from hashes of the document, so reruns agree.
 
     Reads doc_id, source and text only. Null text has no words; such documents are drawn by their hash and
-    add nothing. Null sources are one source. Equal rows are rounded each for itself; they get equal `row`
-    numbers, so add up their copies. Empty input gives no rows.
+    add nothing. Null sources are one source. Rows equal in the three columns are rounded each for itself;
+    they get equal `row` numbers and are told apart by `nth` (from 1). Empty input gives no rows.
     """
     spark = docs.sparkSession
     sized = checkpointed(
         docs.select(
-            F.xxhash64("doc_id", "text").alias("row"),
+            _row(docs).alias("row"),
             F.col("doc_id").cast("long").alias("doc_id"),
             F.col("source").cast("string").alias("source"),
             word_count(F.col("text")).alias("size"),
@@ -151,22 +157,28 @@ def mix(
         .withColumn("nth", nth)
         .withColumn("copies", F.col("whole") + (F.col("nth") <= F.coalesce("extra", F.lit(0))).cast("long"))
         .select(
-            "row", "doc_id", "source", "size", "source_size", "target", "copies",
+            "row", "nth", "doc_id", "source", "size", "source_size", "target", "copies",
             (F.col("copies") * F.col("size")).alias("taken"),
         )
     )
 
 
 def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every row of `docs` as often as it is taken, all its columns."""
-    copies = mix(docs, **options).groupBy("row").agg(F.sum("copies").alias("_copies"))
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))
-    tagged = docs.withColumn("_row", F.xxhash64(docs["doc_id"], docs["text"])).withColumn("_nth", nth)
-    times = F.when(F.col("_nth") == 1, F.col("_copies")).otherwise(F.lit(0)).cast("int")
+    """The mix itself: every row of `docs` as often as it is taken, all its columns, whatever their names.
+
+    Rows equal in doc_id, source and text are taken in the order of a hash of all their columns, so it does
+    not depend on partitioning which of them goes in once more.
+    """
+    row, nth, order, times, copy = fresh(docs.columns, "row", "nth", "order", "times", "copy")
+    copies = mix(docs, **options).select(F.col("row").alias(row), F.col("nth").alias(nth), F.col("copies").cast("int").alias(times))
+    whole = F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
+    tagged = docs.withColumns({row: _row(docs), order: whole})
+    tagged = tagged.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(order)))
+    every = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        tagged.join(copies, tagged["_row"] == copies["row"])
-        .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times)))
-        .select(*docs.columns)
+        tagged.join(copies, [row, nth])
+        .withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times))))
+        .select(*every)
     )
 
 

@@ -9,8 +9,10 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..functions.ordering import meet
+from ..operators.graph import components
 from ..session import checkpointed
-from .common import mix64, partitions, row_chunks, shingle_sets, text_buffer
+from .common import fresh, mix64, partitions, row_chunks, shingle_sets, text_buffer
 
 BASE = 1.01  # registers hold exponents of minima to this base
 RATE = 20.0  # rate of the exponential variates
@@ -20,6 +22,7 @@ PERCENT = 75  # 100 * intersection >= PERCENT * union
 SURE = 14.0  # log likelihood by which a pair must fall short to be left out before the full sets decide
 BLOCK = 2048  # members of a bucket that one task compares with as many others
 SET_BLOCK = 2_000_000  # shingles of a family that one task holds
+HUB_PART = 512  # members of a family that are confirmed beside one copy of its hub's set
 CHUNK = 2_000_000  # bytes of text hashed at a time
 
 _numbers = np.arange(1, 2 * REGISTERS + 1, dtype=np.uint64)
@@ -75,7 +78,7 @@ def plausible(a: np.ndarray, b: np.ndarray, size_a, size_b) -> tuple[np.ndarray,
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_hash, registers) of whole texts; sets without shingles have null hashes."""
+    """(doc_id, text_hash, n_shingles, set_hash, registers) of whole texts; sets without shingles have null set hashes."""
     import pyarrow as pa
 
     def sketch(batches):
@@ -88,16 +91,22 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(raw[part[0] : part[-1]], part - part[0])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first),
+                        batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "set_hash", "registers"],
+                    ["doc_id", "text_hash", "n_shingles", "set_hash", "registers"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        sketch, "doc_id long, n_shingles long, set_hash binary, registers binary"
+    return _texts(docs).mapInArrow(sketch, "doc_id long, text_hash long, n_shingles long, set_hash binary, registers binary")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, text_hash); an id and a hash name a text, also where an id has several."""
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64(F.col("text").cast("string")).alias("text_hash"),
     )
 
 
@@ -112,40 +121,6 @@ def _full_set(texts: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over links (a, b); nodes without links are left out.
-
-    Alternates large and small stars, each an aggregate and a join on rows of two numbers, until the edges
-    stay the same. Stars at a node with very many links are combined before they are shuffled.
-    """
-    edges = checkpointed(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    )
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter((F.col("v") > F.col("u")) & (F.col("v") != F.col("m"))).select(
-            F.col("v").alias("u"), F.col("m").alias("v")
-        ).distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(lows, "u")
-            .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e"))
-            .select("e.u", "e.v")
-            .filter(F.col("u") != F.col("v"))
-            .distinct()
-        )
-        edges = checkpointed(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == tuple(now):
-            break
-        seen = tuple(now)
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return checkpointed(nodes.unionByName(roots))
-
-
 def _clusters(regs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Number of the cluster of each sketch: connected through plausible pairs, found breadth first."""
     cluster = np.full(len(regs), -1)
@@ -262,14 +237,22 @@ def near_components(docs: DataFrame) -> DataFrame:
     confirmation a member besides its loners, and no link that the likelihood lets through is lost.
 
     Reads doc_id and text. Null and empty texts have no shingles and stay alone; a null doc_id stays alone
-    with a null component and is kept. Rows with equal doc_id and text are one node.
+    with a null component and is kept. Rows with equal doc_id and text are one node. Rows of one doc_id with
+    different texts are nodes of their own: each is linked, named and kept by its own text.
     """
+    return _judged(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """What near_components gives, with text_hash."""
     spark = docs.sparkSession
     rows = checkpointed(sketches(docs))
-    classes = (
+    least = F.min(F.struct("doc_id", "text_hash")).alias("least")
+    classes = checkpointed(
         rows.filter(F.col("set_hash").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("set_hash")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        .agg(least, F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        .select("set_hash", "least.*", "n_shingles", "registers", F.monotonically_increasing_id().alias("rep"))
     )
     keys = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)),
@@ -295,24 +278,29 @@ def near_components(docs: DataFrame) -> DataFrame:
         .mapInArrow(_bucket_edges, "a long, b long")
     )
     company = members.groupBy("rep").agg(F.sum(F.col("members") - 1).alias("company"))
-    family = (
+    family = checkpointed(
         components(edges).withColumnRenamed("node", "rep").withColumnRenamed("component", "family")
         .join(company, "rep").join(classes.select("rep", "n_shingles"), "rep")
     )
     hubs = family.groupBy("family").agg(
-        F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"), F.sum("n_shingles").alias("shingles_of_family")
+        F.max_by("rep", F.struct("company", -F.col("rep"))).alias("hub"), F.sum("n_shingles").alias("shingles_of_family"),
+        F.ceil(F.count(F.lit(1)) / HUB_PART).cast("int").alias("hub_parts"),
     )
-    family = checkpointed(family.select("rep", "family").join(hubs, "family"))
+    named = classes.select("rep", "doc_id", "text_hash")
+    # a large family is confirmed in parts, each beside its own copy of the hub's set
+    part = F.pmod(F.xxhash64("rep"), F.col("hub_parts")).cast("int").alias("hub_part")
+    family = checkpointed(meet(family.select("rep", "family"), hubs, ["family"], ["rep"]).select("*", part).join(named, "rep"))
     sets = (
-        docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-        .join(family, "rep")
-        .select("family", "rep", "hub", "shingles_of_family", _full_set("text").alias("shingles"))
+        _texts(docs).join(family, ["doc_id", "text_hash"])
+        .select("family", "rep", "hub", "shingles_of_family", "hub_parts", "hub_part", _full_set("text").alias("shingles"))
         .persist(StorageLevel.DISK_ONLY)
     )
-    hub_sets = sets.filter("rep = hub").select("family", F.col("shingles").alias("hub_shingles"))
+    hub_sets = sets.filter("rep = hub").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("hub_parts") - 1)).alias("hub_part"), F.col("shingles").alias("hub_shingles")
+    )
     common = F.size(F.array_intersect("shingles", "hub_shingles"))
     reach = 100 * common >= PERCENT * (F.size("shingles") + F.size("hub_shingles") - common)
-    judged = checkpointed(sets.join(hub_sets, "family").select("family", "rep", "hub", (~reach).alias("loner")))
+    judged = checkpointed(sets.join(hub_sets, ["family", "hub_part"]).select("family", "rep", "hub", (~reach).alias("loner")))
     to_hub = judged.filter("not loner and rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
 
     lonely = judged.groupBy("family").agg(F.count_if("loner").alias("loners")).filter("loners > 0")
@@ -342,16 +330,21 @@ def near_components(docs: DataFrame) -> DataFrame:
     found = components(to_hub.unionByName(by_loners))
     sets.unpersist()
 
-    reps = classes.select(F.col("set_hash").alias("_hash"), F.col("rep").alias("_rep"))
-    known = rows.join(reps, rows["set_hash"] == reps["_hash"], "left")
-    joined = known.join(found, known["_rep"] == found["node"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "_rep", "doc_id"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
+    of_class = checkpointed(
+        classes.select("set_hash", "rep", F.col("doc_id").alias("own")).join(found, F.col("rep") == F.col("node"), "left")
+        .select("set_hash", "rep", "own", "component")
+    )
+    first = of_class.filter("component is not null").groupBy("component").agg(F.min("own").alias("first"))
+    by_set = meet(of_class, first, ["component"], ["rep"]).select("set_hash", F.coalesce("first", "own").alias("named"))
+    joined = meet(rows.drop("registers"), by_set, ["set_hash"], ["doc_id", "text_hash"])
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("named", "doc_id"))
+    return joined.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of `docs` whose document is kept: one document of every component, and all loners."""
-    gone = near_components(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    doc, text = fresh(docs.columns, "doc", "text")
+    gone = _judged(docs).filter(~F.col("kept")).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
+    return docs.join(gone, (docs["doc_id"].cast("long") == gone[doc]) & (F.xxhash64(docs["text"].cast("string")) == gone[text]), "left_anti")

@@ -59,7 +59,10 @@ class CompressionModel:
 
 
 def _dictionary(texts: list[str]) -> bytes:
-    """A trained dictionary, or the texts themselves where there are too few to train on."""
+    """A trained dictionary, or the texts themselves where there are too few to train on.
+
+    Of more than DICTIONARY bytes that cannot be trained on, evenly spaced pieces are the dictionary.
+    """
     import zstandard as zstd
 
     pieces = [
@@ -70,7 +73,7 @@ def _dictionary(texts: list[str]) -> bytes:
     try:
         return zstd.train_dictionary(DICTIONARY, pieces, level=LEVEL).as_bytes()
     except zstd.ZstdError:
-        return b"".join(pieces)[-DICTIONARY:]
+        return b"".join(pieces[:: max(1, math.ceil(sum(map(len, pieces)) / DICTIONARY))])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, share: dict[int, float]) -> tuple[float, float, float]:
@@ -111,13 +114,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, pieces:
     """Fit on at most `per_class` labelled rows of each class.
 
     The sample is the first rows in hash order, so it does not depend on partitioning. Every other row
-    of it builds the dictionaries, from whole texts or, where
-    they are longer, `pieces` stretches spread over them. The rest
+    of it builds the dictionaries, from whole texts or, where they are longer, `pieces` stretches spread over
+    them. A doc_id with several labels has the least of them, one with several texts the least text. The rest
     calibrates: the executors measure those texts whole, as they will be scored, and send two numbers a
     row. What comes to the driver or is broadcast is bounded by 2 * per_class rows. With no row of a
     class the score is 0.5 throughout. Class shares are counted over all rows.
     """
-    rows = training_rows(labels).dropDuplicates(["doc_id"])
+    rows = training_rows(labels).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     order = F.xxhash64(F.lit("quality"), "doc_id")
     counts = {r.quality: r["count"] for r in rows.groupBy("quality").count().collect()}
     if len(counts) < 2:

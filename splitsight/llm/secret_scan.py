@@ -10,8 +10,11 @@ import mmap
 import re
 import tempfile
 import zlib
+from array import array
+from bisect import bisect_right
 from collections import deque
 from hashlib import blake2b, sha256
+from io import StringIO
 from itertools import chain
 
 from pyspark.sql import DataFrame, functions as F
@@ -36,6 +39,7 @@ _RUNS = (
     r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)++={0,2}",
 )
 _BASE64 = [re.compile(r) for r in _RUNS]
+_STRETCH = re.compile(rb"[A-Za-z0-9+/_-]+")
 _BASE64_BYTES = [re.compile(r.encode()) for r in _RUNS]
 _PLAIN_BYTES = {"assign": re.compile(ASSIGN.pattern.encode(), re.I), "access": re.compile(ACCESS.pattern.encode()), "hex": re.compile(HEX.pattern.encode())}
 _LEAST = {"assign": LEAST_ASSIGN, "access": LEAST_ACCESS, "hex": 0}
@@ -43,6 +47,8 @@ _PACKED = re.compile(
     rb"(?P<gzip>\x1f\x8b\x08[\x00-\x1f])|(?P<bzip2>BZh[1-9](?:1AY&SY|\x17rE8P\x90))|(?P<zstd>\x28\xb5\x2f\xfd)|(?P<zlib>x[\x01\x5e\x9c\xda])",
     re.S,
 )
+SHORT = 4096  # shorter bytes are looked at once, for anything at all
+_SOLID = re.compile(rb"[A-Za-z0-9+/_-]{16}")  # stands in every access key, hex secret and one-line run
 _STANDARD = bytes.maketrans(b"-_", b"+/")
 IN_MEMORY = 32 << 20  # bytes of one layer that are held in memory; longer ones lie in an unnamed file
 STEP = 1 << 20  # bytes that are read or unpacked at a time
@@ -60,18 +66,62 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
+class _Escapes:
+    """Where the characters of unescaped text stood: `size` of them from `at` on came from [start, end) each.
+
+    Between two such pieces characters stand as they stood, so the map grows with the escapes alone.
+    """
+
+    __slots__ = ("at", "ends", "sizes", "starts")
+
+    def __init__(self):
+        self.at, self.sizes, self.starts, self.ends = array("q"), array("b"), array("q"), array("q")
+
+    def put(self, at: int, size: int, start: int, end: int) -> None:
+        for column, value in zip((self.at, self.sizes, self.starts, self.ends), (at, size, start, end), strict=True):
+            column.append(value)
+
+    def _one(self, x: int) -> tuple[int, int]:
+        k = bisect_right(self.at, x) - 1
+        if k < 0:
+            return x, x + 1
+        past = x - self.at[k] - self.sizes[k]
+        return (self.starts[k], self.ends[k]) if past < 0 else (self.ends[k] + past, self.ends[k] + past + 1)
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        return self._one(start)[0], self._one(end - 1)[1]
+
+
+class _Run:
+    """Where the bytes of a base64 run stood: three of them in four characters, those in unbroken stretches."""
+
+    __slots__ = ("before", "end", "n", "skip", "starts")
+
+    def __init__(self, before, starts, n: int, end: int, skip: int):
+        self.before, self.starts, self.n, self.end, self.skip = before, starts, n, end, skip
+
+    def _place(self, i: int) -> int:
+        k = bisect_right(self.before, i) - 1
+        return self.starts[k] + i - self.before[k]
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        stop = self.skip + (end - 1) // 3 * 4 + 4
+        return self._place(self.skip + start // 3 * 4), self._place(stop - 1) + 1 if stop <= self.n else self.end
+
+
 class Layer:
-    """A decoded text and, for each of its characters, the stretch of the document that it came from."""
+    """A decoded text and how its characters lead back to the document: a chain of maps, without their texts."""
 
-    __slots__ = ("ends", "starts", "text")
+    __slots__ = ("maps", "text")
 
-    def __init__(self, text: str, starts=None, ends=None):
-        self.text, self.starts, self.ends = text, starts, ends
+    def __init__(self, text: str, maps: tuple = ()):
+        self.text, self.maps = text, maps
 
     def origin(self, start: int, end: int) -> tuple[int, int]:
-        if self.starts is None:
-            return start, end
-        return min(self.starts[start:end]), max(self.ends[start:end])
+        """The stretch of the document that a stretch of the layer came from."""
+        for step in reversed(self.maps):
+            start, end = step.span(start, end)
+        return start, end
 
 
 def _unescaped(layer: Layer) -> Layer | None:
@@ -79,23 +129,7 @@ def _unescaped(layer: Layer) -> Layer | None:
     text = layer.text
     if "%" not in text and "\\" not in text and "&#" not in text:
         return None
-    out, starts, ends, at, changed = [], [], [], 0, False
-
-    def put(s: str, a: int, b: int) -> None:
-        a, b = layer.origin(a, b)
-        out.append(s)
-        starts.extend([a] * len(s))
-        ends.extend([b] * len(s))
-
-    def keep(a: int, b: int) -> None:
-        out.append(text[a:b])
-        if layer.starts is None:
-            starts.extend(range(a, b))
-            ends.extend(range(a + 1, b + 1))
-        else:
-            starts.extend(layer.starts[a:b])
-            ends.extend(layer.ends[a:b])
-
+    out, places, size, at = StringIO(), _Escapes(), 0, 0
     for m in _ESCAPES.finditer(text):
         kind, value = m.lastgroup, m[m.lastgroup]
         pieces = []  # decoded character, place
@@ -116,14 +150,15 @@ def _unescaped(layer: Layer) -> Layer | None:
             if code > 0x10FFFF or 0xD800 <= code < 0xE000:
                 continue
             pieces.append((chr(code), m.start(), m.end()))
-        keep(at, m.start())
+        size += out.write(text[at : m.start()])
         for s, a, b in pieces:
-            put(s, a, b)
-        at, changed = m.end(), True
-    if not changed:
+            places.put(size, len(s), a, b)
+            size += out.write(s)
+        at = m.end()
+    if not places.at:
         return None
-    keep(at, len(text))
-    return Layer("".join(out), starts, ends)
+    out.write(text[at:])
+    return Layer(out.getvalue(), (*layer.maps, places))
 
 
 class Spool:
@@ -184,6 +219,8 @@ def _packed(data):
     such a stream counts if it is whole and its checksum right.
     """
     at = 0
+    if not _may_pack(data):
+        return
     while (m := _PACKED.search(data, at)) is not None:
         kind, end = m.lastgroup, m.start()
         spool = Spool()
@@ -224,6 +261,42 @@ def _decoded(data, start: int, end: int, skip: int):
         yield binascii.a2b_base64(left + b"=" * (4 - len(left)))
 
 
+def _may_pack(data) -> bool:
+    """False only if _PACKED finds nothing; literal bytes are found many times faster than patterns."""
+    return (
+        not isinstance(data, bytes) or b"\x1f\x8b\x08" in data or b"BZh" in data or b"\x28\xb5\x2f\xfd" in data
+        or b"x\x01" in data or b"x^" in data or b"x\x9c" in data or b"x\xda" in data
+    )
+
+
+def _may_escape(data) -> bool:
+    return not isinstance(data, bytes) or b"%" in data or b"\\" in data or b"&#" in data
+
+
+def _may_assign(data) -> bool:
+    """Every key of ASSIGN holds one of these."""
+    if not isinstance(data, bytes):
+        return True
+    low = data.lower()
+    return b"passw" in low or b"secret" in low or b"token" in low or b"api" in low
+
+
+def _may_hold(raw: bytes) -> bool:
+    """False only if there is neither a secret in the bytes nor anything that they could wrap."""
+    return (
+        _SOLID.search(raw) is not None or _may_assign(raw) and _PLAIN_BYTES["assign"].search(raw) is not None
+        or _may_escape(raw) or _may_pack(raw) or b"\n" in raw and _BASE64_BYTES[1].search(raw) is not None
+    )
+
+
+def _aligned(clean: bytes, skip: int) -> bytes:
+    """Bytes of base64 characters without their first `skip`; a lone last character says nothing."""
+    part = clean[skip:]
+    if len(part) % 4 == 1:
+        part = part[:-1]
+    return binascii.a2b_base64(part + b"=" * (-len(part) % 4))
+
+
 def _without_escapes(data):
     """The bytes with escapes decoded, in pieces."""
     at = 0
@@ -259,7 +332,7 @@ def _plain_kinds(data) -> set[str]:
     return {
         kind
         for kind, pattern in _PLAIN_BYTES.items()
-        if any(len(m[m.lastindex or 0]) >= _LEAST[kind] for m in pattern.finditer(data))
+        if (kind != "assign" or _may_assign(data)) and any(len(m[m.lastindex or 0]) >= _LEAST[kind] for m in pattern.finditer(data))
     }
 
 
@@ -270,8 +343,10 @@ def _contents(data):
     for pattern in _BASE64_BYTES:
         for m in pattern.finditer(data):
             for skip in range(4):
-                yield _gathered(_decoded(data, m.start(), m.end(), skip))
-    if _ESCAPED_BYTES.search(data):
+                inner = _gathered(_decoded(data, m.start(), m.end(), skip))
+                if len(inner) > SHORT or _may_hold(inner):
+                    yield inner
+    if _may_escape(data) and _ESCAPED_BYTES.search(data):
         last = [_gathered(_without_escapes(data))]
         del data  # of a chain of escapes, one layer is held
         yield last.pop()
@@ -299,9 +374,16 @@ def _kinds_inside(data) -> set[str]:
     return found
 
 
+def _mark(text: str) -> bytes:
+    digest = blake2b(digest_size=16)
+    for i in range(0, len(text), STEP):
+        digest.update(text[i : i + STEP].encode("utf-8", "surrogatepass"))
+    return digest.digest()
+
+
 def _holds_more(raw: bytes) -> bool:
     """Whether a secret, an escape or a base64 run stands in the bytes."""
-    return bool(_plain_kinds(raw) or _ESCAPED_BYTES.search(raw) or any(r.search(raw) for r in _BASE64_BYTES))
+    return bool(_plain_kinds(raw) or _may_escape(raw) and _ESCAPED_BYTES.search(raw) or any(r.search(raw) for r in _BASE64_BYTES))
 
 
 def _unwrapped(layer: Layer):
@@ -313,24 +395,30 @@ def _unwrapped(layer: Layer):
     for pattern in _BASE64:
         for m in pattern.finditer(layer.text):
             run = m[0].encode()
-            if b"\n" in run:
-                places = [m.start() + i for i, c in enumerate(run) if c not in b" \t\r\n="]
-            else:
-                places = range(m.start(), m.start() + len(run.rstrip(b"=")))
-            if len(places) < LEAST_RUN:
+            clean = run.translate(_STANDARD, b" \t\r\n=")
+            if len(clean) < LEAST_RUN:
                 continue
+            lines = None
             for skip in range(4):
-                raw = b"".join(_decoded(run, 0, len(run), skip))
-
-                def origin(first: int, last: int, skip=skip, places=places, end=m.end()) -> tuple[int, int]:
-                    stop = skip + last // 3 * 4 + 4
-                    return layer.origin(places[skip + first // 3 * 4], places[stop - 1] + 1 if stop <= len(places) else end)
-
+                raw = _aligned(clean, skip)
+                if len(raw) <= SHORT and not _may_hold(raw):
+                    continue
+                lines = lines or _lines_of(run, m.start())
+                place = _Run(*lines, len(clean), m.end(), skip)
                 for first, after, content in _packed(raw):
-                    yield (*origin(first, min(after, len(raw)) - 1), content)
+                    yield (*layer.origin(*place.span(first, min(after, len(raw)))), content)
                 if _holds_more(raw):
-                    starts, ends = zip(*(origin(i, i) for i in range(len(raw))), strict=True)
-                    yield Layer(raw.decode("latin-1"), starts, ends)
+                    yield Layer(raw.decode("latin-1"), (*layer.maps, place))
+
+
+def _lines_of(run: bytes, start: int) -> tuple[array, array]:
+    """(characters before each unbroken stretch of a run, where the stretch stands)."""
+    before, starts, n = array("q"), array("q"), 0
+    for stretch in _STRETCH.finditer(run):
+        before.append(n)
+        starts.append(start + stretch.start())
+        n += stretch.end() - stretch.start()
+    return before, starts
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
@@ -355,9 +443,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
                     seen.add(mark)
                     every.update((start, end, kind) for kind in _kinds_inside(content))
                 continue
-            where = (inner.starts[0], inner.ends[-1]) if inner.text else (0, 0)
-            mark = (where, blake2b(inner.text.encode("utf-8", "surrogatepass"), digest_size=16).digest())
-            if not inner.text or mark in seen:
+            if not inner.text:
+                continue
+            mark = inner.origin(0, len(inner.text)), _mark(inner.text)
+            if mark in seen:
                 continue
             seen.add(mark)
             every.update((*inner.origin(a, b), kind) for a, b, kind in base_spans(inner.text))
@@ -372,8 +461,10 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str]], list[tuple[int,
 def secret_report(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row; null text is empty.
 
-    One pass over the texts, no shuffle. Layers that a text spells out are held in memory, as the text is;
-    unpacked ones beyond IN_MEMORY lie in unnamed files of the worker's temp folder.
+    One pass over the texts, no shuffle. Held in memory, next to the text: the layers that it spells out (at
+    most a few are open at a time, each no longer than the text), 25 bytes for each escape of a layer and 16 for
+    each line of a base64 run, to lead spans back. Unpacked layers beyond IN_MEMORY lie in unnamed files of the
+    worker's temp folder.
     """
     import pyarrow as pa
 

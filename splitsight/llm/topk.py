@@ -5,13 +5,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import table
+from ..session import checkpointed
+from .common import partitions, table
 
 SCALE = 64
 EVERY = 20  # rows whose id this divides are queries
 K = 20
 SHARD = 8192  # rows of a tree
-QUERIES = 1024  # queries that walk a tree together
+QUERIES = 1024  # queries that walk a tree together, at least
 LEAF = 64
 _NONE = -(2**62)
 
@@ -26,13 +27,19 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & F.coalesce(finite, F.lit(False))
 
 
-def _matrix(column, width: int) -> np.ndarray:
-    """Rows of an Arrow list column, zeros behind shorter ones; whole numbers as floats if sums stay exact."""
-    column = column.combine_chunks()
+def _matrix(column, width: int | None = None) -> np.ndarray:
+    """Rows of an Arrow list column, `width` wide: zeros behind shorter ones, longer ones cut."""
+    import pyarrow as pa
+
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
     sizes = np.diff(column.offsets.to_numpy())
+    width = int(sizes.max(initial=0)) if width is None else width
     flat = column.flatten().to_numpy()
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     out = np.zeros((len(sizes), width), np.int64)
-    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    out[row[place < width], place[place < width]] = flat[place < width]
     return out
 
 
@@ -114,64 +121,98 @@ class BallTree:
         return scores, found
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def _walks(k: int):
+    """Rows sorted by shard and kind: a shard's rows grow one tree, its queries then stream through it."""
+    import pyarrow as pa
+
+    kinds = [pa.int64()] * 4
+
+    def walk(tree: BallTree, part) -> pa.RecordBatch:
+        names = part["vec_id"].to_numpy()
+        floors = (part[c].to_numpy().copy() for c in ("floor", "floor_id"))
+        scores, ids = tree.search(_matrix(part["v"], tree.rows.shape[1]), names, k, *floors)
+        row, place = np.nonzero(scores != _NONE)
+        columns = (part["number"].to_numpy()[row], names[row], ids[row, place], scores[row, place])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["number", "query_id", "vec_id", "score"])
+
+    def run(batches):
+        shard, rows, tree, waiting, waits = None, [], None, [], 0
+
+        for batch in batches:
+            at, kind = batch["shard"].to_numpy(), batch["kind"].to_numpy()
+            turn = np.flatnonzero((at[1:] != at[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *turn], [*turn, batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a)
+                if at[a] != shard:
+                    if waiting:
+                        yield walk(tree, pa.Table.from_batches(waiting).combine_chunks())
+                    shard, rows, tree, waiting, waits = at[a], [], None, [], 0
+                if kind[a] == 0:
+                    rows.append(part.select(["vec_id", "v"]))
+                    continue
+                if tree is None and rows:
+                    held = pa.Table.from_batches(rows).combine_chunks()
+                    tree, rows = BallTree(_matrix(held["v"]), held["vec_id"].to_numpy()), []
+                if tree is not None:
+                    waiting.append(part)
+                    waits += part.num_rows
+                    if waits >= QUERIES:
+                        yield walk(tree, pa.Table.from_batches(waiting).combine_chunks())
+                        waiting, waits = [], 0
+        if waiting:
+            yield walk(tree, pa.Table.from_batches(waiting).combine_chunks())
+
+    return run
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = K, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of whole-number vectors, ties to small ids.
 
-    `rows` (vec_id, v array<long>) are dealt by hash to shards with a ball tree each, `queries` (the same
-    columns) to blocks, and each block walks each tree. First every query walks one tree; the k-th score it
-    finds there is the floor with which it walks all others. A query does not find the row of its own id.
-    Vectors of unequal length meet as if the shorter ended in zeros. Every pair of shard and block is a task
-    of bounded size, which is the work that an exact search over a stated query set takes; trees cut it.
-    """
-    import pyarrow as pa
+    `rows` (vec_id, v array<long>) are dealt to shards of about `shard` rows, which grow a ball tree each;
+    `queries` (the same columns) stream through the trees. In a first wave every query walks one tree; the
+    k-th score that it finds there is the floor with which it walks all others in the second. So rows are
+    shuffled twice, whatever the number of queries, and a query goes once to every shard, which is the work of
+    an exact search over a stated query set; floors and bounds cut what is done there.
 
-    shards = max(1, -(-rows.count() // shard))
-    blocks = max(1, -(-queries.count() // block))
-    base = rows.select(
-        "vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"),
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"),
-    )
-    asked = queries.select(
-        F.col("vec_id").alias("query_id"), F.col("v").alias("q"),
-        F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int").alias("block"),
-        F.pmod(F.xxhash64(F.lit("home"), "vec_id"), F.lit(shards)).alias("home"),
+    A query does not find rows of its own id. Several queries of one id get a list each (equal ones, so their
+    rows repeat). Rows that repeat are found as often. A null id or a null vector takes no part on either side.
+    Vectors of unequal length meet as if the shorter ended in zeros. No rows or no queries, no result.
+    """
+    known = F.col("vec_id").isNotNull() & F.col("v").isNotNull()
+    number = F.monotonically_increasing_id()  # written down at once, so it stays
+    base = checkpointed(rows.filter(known).select(F.col("vec_id").cast("long").alias("vec_id"), "v", number.alias("number")))
+    asked = checkpointed(queries.filter(known).select(F.col("vec_id").cast("long").alias("vec_id"), "v", number.alias("number")))
+    shards = max(1, -(-base.count() // shard))
+    n = partitions(rows.sparkSession)
+    none, last = F.lit(_NONE).cast("long"), F.lit(2**63 - 1).cast("long")
+    dealt = base.select(
+        F.pmod(F.xxhash64("number"), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "number", "vec_id", "v",
+        none.alias("floor"), last.alias("floor_id"),
     )
-    found = "query_id long, vec_id long, score long"
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-
-    def walk(left, right):
-        if not left.num_rows or not right.num_rows:
-            return empty
-        # The longest vector of the two sides is the width of both.
-        width = max(int(np.diff(t.combine_chunks().offsets.to_numpy()).max(initial=0)) for t in (left["v"], right["q"]))
-        tree = BallTree(_matrix(left["v"], width), left["vec_id"].to_numpy())
-        names = right["query_id"].to_numpy()
-        scores, ids = tree.search(_matrix(right["q"], width), names, k, right["floor"].to_numpy().copy(), right["floor_id"].to_numpy().copy())
-        row, place = np.nonzero(scores != _NONE)
-        return pa.table({"query_id": names[row], "vec_id": ids[row, place], "score": scores[row, place]})
+    home = F.pmod(F.xxhash64(F.lit("home"), "number"), F.lit(shards))
 
     def wave(part: DataFrame) -> DataFrame:
-        part = part.select("shard", "block", "query_id", "q", "floor", "floor_id")
-        return base.groupBy("shard", "block").cogroup(part.groupBy("shard", "block")).applyInArrow(walk, found)
+        both = dealt.unionByName(part.withColumn("kind", F.lit(1)).select(*dealt.columns))
+        return both.repartition(n, "shard").sortWithinPartitions("shard", "kind").mapInArrow(
+            _walks(k), "number long, query_id long, vec_id long, score long"
+        )
 
-    first = wave(
-        asked.select("*", F.col("home").alias("shard"), F.lit(_NONE).cast("long").alias("floor"), F.lit(2**63 - 1).cast("long").alias("floor_id"))
-    )
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    first = checkpointed(wave(asked.select("number", "vec_id", "v", home.alias("shard"), none.alias("floor"), last.alias("floor_id"))))
+    best = Window.partitionBy("number").orderBy(F.col("score").desc(), "vec_id")
     floors = first.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") == k).select(
-        F.col("query_id").alias("_q"), F.col("score").alias("floor"), F.col("vec_id").alias("floor_id")
+        "number", F.col("score").alias("floor"), F.col("vec_id").alias("floor_id")
     )
-    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != F.col("home"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != home)
     second = wave(
-        asked.join(floors, asked["query_id"] == floors["_q"], "left").select(
-            "block", "query_id", "q",
-            F.coalesce("floor", F.lit(_NONE)).cast("long").alias("floor"),
-            F.coalesce("floor_id", F.lit(2**63 - 1)).cast("long").alias("floor_id"),
+        asked.join(floors, "number", "left").select(
+            "number", "vec_id", "v", F.coalesce("floor", none).alias("floor"), F.coalesce("floor_id", last).alias("floor_id"),
             F.explode(others).alias("shard"),
         )
     )
     return (
-        first.unionByName(second)
+        (first.unionByName(second) if shards > 1 else first)
         .withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -7,8 +7,9 @@ from hashlib import sha256
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.ordering import meet
 from ..session import checkpointed
-from .common import meet, mix64, partitions, table
+from .common import mix64, partitions, table
 
 SHARD_CONVS = 2048  # bits of a bitmap
 SHARD_TURNS = 1 << 16
