@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from splitsight.llm import lines, mixing, near_dedup, packing, quality
-from splitsight.llm.common import table
+from splitsight.llm.common import fresh, table
 from splitsight.session import scratch_path
 
 
 def screen_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from labels of the documents given."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").filter(F.col("_score") >= 0.5).drop("_score")
+    (score,) = fresh(docs.columns, "score")
+    return quality.score(docs, model, out=score).filter(F.col(score) >= 0.5).drop(score)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines they keep; n_chars follows the text."""
-    kept = lines.drop_lines(docs).drop("_n_lines", "_n_dropped")
+    kept = lines.drop_lines(docs)
     if "n_chars" not in docs.columns:
         return kept
     return kept.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
