@@ -97,6 +97,38 @@ register(
     with_(BOX, TRUTH, MATCH)
     + f"SELECT arm, image_id, pred_id, truth_id, {rnd('iou', 9)} AS iou FROM matched",
 )
+
+
+def crowded(s, d) -> DataFrame:
+    """The boxes of two arms against those of the other two: several truths a photograph."""
+    p = preds(s, d)
+    truth = p.filter("arm in ('m0', 'm1')").select("image_id", F.concat_ws("/", "arm", "pred_id").alias("truth_id"), *X.XYXY)
+    other = p.filter("arm in ('m2', 'm3')")
+    return X.greedy_match(other, truth.withColumn("arm", F.explode(F.array(F.lit("m2"), F.lit("m3")))), KEYS)
+
+
+# a walk over the predictions of each photograph and arm in order, all photographs at once
+CROWDED = f"""option AS (
+  SELECT b.arm, image_id, b.box_id AS pred_id, b.conf, t.arm || '/' || t.box_id AS truth_id, {iou_sql('b', 't')} AS iou
+  FROM box b JOIN box t USING (image_id)
+  WHERE b.role = 'pos_test' AND b.arm IN ('m2', 'm3') AND t.arm IN ('m0', 'm1') AND {iou_sql('b', 't')} >= 0.5::DOUBLE),
+turn AS (
+  SELECT arm, image_id, pred_id, list(struct_pack(iou := iou, truth_id := truth_id) ORDER BY iou DESC, truth_id DESC) AS options,
+         row_number() OVER (PARTITION BY arm, image_id ORDER BY conf DESC, pred_id DESC) AS nth
+  FROM option GROUP BY arm, image_id, pred_id, conf),
+walk AS (
+  SELECT arm, image_id, pred_id, nth, options[1] AS took, [options[1].truth_id] AS taken FROM turn WHERE nth = 1
+  UNION ALL
+  SELECT arm, image_id, pred_id, nth, free[1],
+         CASE WHEN len(free) = 0 THEN taken ELSE list_append(taken, free[1].truth_id) END
+  FROM (SELECT t.*, taken, list_filter(options, lambda o: NOT list_contains(taken, o.truth_id)) AS free
+        FROM walk w JOIN turn t ON t.arm = w.arm AND t.image_id = w.image_id AND t.nth = w.nth + 1))"""
+register(
+    "B3_greedy_match_crowded",
+    lambda s, d: crowded(s, d).withColumn("iou", round_to("iou", 9)),
+    with_(BOX, CROWDED).replace("WITH", "WITH RECURSIVE", 1)
+    + f"SELECT arm, image_id, pred_id, took.truth_id AS truth_id, {rnd('took.iou', 9)} AS iou FROM walk WHERE took IS NOT NULL",
+)
 register(
     "B4_box_counts",
     lambda s, d: X.box_counts(flagged(s, d), arm_truths(s, d), KEYS, 0.25),

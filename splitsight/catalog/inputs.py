@@ -8,8 +8,9 @@ from ..functions.expressions import hash32, normalised_path, round_to, run_name,
 from ..session import scratch_path
 from ..sources import readers as I, sinks as K, testdata as td
 from .splits import MESSY_MAN, NORM, messy
-from .thresholds import fine_sweep, images
-from .views import CURVE, IMAGES, MANIFEST, TRUTH, h, rnd, with_
+from .screening import ATTEMPTS, CONTENT, SLOG, extraction, log
+from .thresholds import COARSE_GRID, FINE_GRID, coarse_sweep, counts_sql, fine_sweep, images, sweep_sql
+from .views import CURVE, IMAGES, MANIFEST, SCREEN, TRUTH, h, rnd, with_
 
 QUERIES, ORACLES = {}, {}
 
@@ -241,6 +242,71 @@ UNION ALL SELECT 'f1_curve', 159 * count(DISTINCT l_suppkey % 4) FROM lineitem U
 )
 
 
+def sinks_read_back(s, d) -> DataFrame:
+    """Every sink written, read again with the table's own types, and compared."""
+    per_image = images(s, d).select(
+        "role", "category", F.concat_ws("/", "arm", F.col("image_id").cast("string")).alias("path"), "n_boxes", "max_conf"
+    )
+    sweep = fine_sweep(s, d)
+    screened = log(s, d).select(
+        "item", "category", round_to("solid", 4).alias("solid"), round_to("haze", 4).alias("haze"), "person",
+        "n_devices", "dominant", "verdict", "reason",
+    )
+    table = lambda rows, path: s.read.csv(path, schema=rows.schema, header=True, nullValue="", emptyValue="")
+    tables = {
+        "extraction log": extraction(s, d), "screening log": screened, "coarse sweep": coarse_sweep(s, d),
+        "fine sweep": sweep, "per image": per_image,
+    }
+    sinks = [(name, rows, K.write_table, table) for name, rows in tables.items()]
+    sinks += [
+        ("manifest", td.manifest(s, d).select("role", "category", "path"), K.write_manifest, lambda rows, path: I.read_manifest(s, path)),
+        ("f1 curve", sweep.select("confidence", "f1"), K.write_f1_curve, table),
+        ("summary", K.split_summary(td.manifest(s, d), 0), K.write_summary, lambda rows, path: s.read.schema(rows.schema).json(path)),
+    ]
+    out = None
+    for name, rows, write, read in sinks:
+        path = scratch_path(s, "sink")
+        got = K.read_back(rows, lambda r: write(r, path), lambda: read(rows, path)).withColumn("sink", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def digest_sql(sink: str, ctes: str, source: str, columns: list[str], doubles: str = "") -> str:
+    text = lambda c: f"coalesce(printf('%.6f', {rnd(c, 6)}), '')" if c in doubles.split() else f"coalesce(({c})::VARCHAR, '')"
+    hashed = h("row", ", ".join(text(c) for c in columns))
+    return f"SELECT * FROM ({ctes}SELECT '{sink}' AS sink, count(*) AS n, sum({hashed})::BIGINT AS digest, true AS same FROM {source})"
+
+
+_RATES = "confidence fa_rate fa_boxes_per_image detection_rate precision recall f1 detect_low detect_high fa_low fa_high"
+_SWEEP = """arm confidence neg_images_fired neg_boxes fa_rate fa_boxes_per_image pos_images_fired detection_rate precision
+recall f1 detect_low detect_high fa_low fa_high""".split()
+_FINE, _COARSE = (with_(IMAGES, grid, counts_sql(), sweep_sql()) for grid in (FINE_GRID, COARSE_GRID))
+_SUMMARY = """(SELECT 0 AS seed, (SELECT '{' || string_agg('"' || role || '":' || n::VARCHAR, ',' ORDER BY role) || '}'
+    FROM (SELECT role, count(*) AS n FROM man GROUP BY role)) AS counts,
+  (SELECT '[' || string_agg(DISTINCT '"' || category || '"', ',' ORDER BY '"' || category || '"') || ']' FROM man) AS categories)"""
+register(
+    "S12_sinks_read_back",
+    sinks_read_back,
+    " UNION ALL ".join([
+        digest_sql("manifest", with_(MANIFEST), "man", ["role", "category", "path"]),
+        digest_sql("extraction log", with_(ATTEMPTS), "elog", ["role", "category", "source_path", "output", "kept", "reason"]),
+        digest_sql(
+            "screening log", with_(SCREEN, CONTENT, SLOG),
+            f"(SELECT * REPLACE ({rnd('solid', 4)} AS solid, {rnd('haze', 4)} AS haze) FROM vlog)",
+            ["item", "category", "solid", "haze", "person", "n_devices", "dominant", "verdict", "reason"], "solid haze",
+        ),
+        digest_sql("coarse sweep", _COARSE, "sweep", _SWEEP, _RATES),
+        digest_sql("fine sweep", _FINE, "sweep", _SWEEP, _RATES),
+        digest_sql("f1 curve", _FINE, "sweep", ["confidence", "f1"], _RATES),
+        digest_sql(
+            "per image", with_(IMAGES), "(SELECT *, arm || '/' || image_id::VARCHAR AS path FROM img)",
+            ["role", "category", "path", "n_boxes", "max_conf"], "max_conf",
+        ),
+        digest_sql("summary", with_(MANIFEST), _SUMMARY, ["seed", "counts", "categories"]),
+    ]),
+)
+
+
 def runs(s, d) -> DataFrame:
     p = td.table(s, d, "part")
     tag = F.when(F.col("p_size") > 25, F.translate(F.lower("p_brand"), "#", "_"))

@@ -8,7 +8,7 @@ from ..functions.expressions import mcnemar_exact, paired_difference, round_to,
 from ..operators import counted as C, report as R, resample as B, stats as S, thresholds as T
 from ..sources import testdata as td
 from .thresholds import (
-    BUDGET, CARRIED, EXTERNAL, FINE_GRID, LEVELS, POINTS, counts_sql, external_thresholds,
+    BUDGET, CARRIED, EXTERNAL, FINE_GRID, LEVELS, POINTS, RAW_LEVELS, counts_sql, external_thresholds,
     fine_sweep, images, sweep_sql,
 )
 from .views import CURVE, IMAGES, PHOTO, ROUNDS, mcnemar, rnd, with_
@@ -175,6 +175,21 @@ register(
     with_(IMAGES, LEVELS, AREA.format(keys="arm")) + f"SELECT arm, {rnd('area', 9)} AS area FROM area",
 )
 
+register(
+    "A6_roc_curve_raw",
+    lambda s, d: S.roc_curve(S.arm_levels(images(s, d), raw=True), ["arm"], ranged=True),
+    with_(IMAGES, RAW_LEVELS)
+    + """SELECT arm, 0 AS vertex, 0.0::DOUBLE AS fa, 0.0::DOUBLE AS det FROM tot UNION ALL
+SELECT arm, (row_number() OVER (PARTITION BY arm ORDER BY score DESC))::INT, fa, det FROM roc""",
+)
+register(
+    "A7_partial_area_raw",
+    lambda s, d: S.partial_area(S.arm_levels(images(s, d), raw=True), ["arm"], ranged=True).select(
+        "arm", round_to("area", 9).alias("area")
+    ),
+    with_(IMAGES, RAW_LEVELS, AREA.format(keys="arm")) + f"SELECT arm, {rnd('area', 9)} AS area FROM area",
+)
+
 BOOT = f"""place AS (
   SELECT image_id, role, row_number() OVER (PARTITION BY role
            ORDER BY md5(concat_ws('|', 'boot', image_id)), image_id) - 1 AS pos,
@@ -402,9 +417,9 @@ def arm_totals(s, d) -> DataFrame:
 
 
 def summaries(s, d) -> DataFrame:
-    """Nested run summaries; m3 has none and m2 did not record its training time."""
+    """Nested run summaries; m4 has no data, so none, and m2 did not record its training time."""
     n, q = F.col("n").cast("double"), F.col("q").cast("double")
-    return arm_totals(s, d).filter("arm <> 'm3'").select(
+    return arm_totals(s, d).select(
         "arm",
         F.struct(
             (n / (n + 1000.0)).alias("map50"),
@@ -468,7 +483,7 @@ tbl AS (
     coalesce(list_sort(list(CASE budget WHEN 0.05::DOUBLE THEN 'det_fa05' WHEN 0.1::DOUBLE THEN 'det_fa10'
         ELSE 'det_fa15' END) FILTER (censored)), []::VARCHAR[]) AS censored
   FROM cat JOIN st USING (arm) LEFT JOIN matched USING (arm) LEFT JOIN hd USING (arm)
-  LEFT JOIN cv USING (arm) WHERE cat.arm <> 'm3' GROUP BY cat.ord, cat.arm, cat.label)"""
+  LEFT JOIN cv USING (arm) GROUP BY cat.ord, cat.arm, cat.label)"""
 TO_TABLE = (IMAGES, LEVELS, BUDGET, FINE_GRID, counts_sql(), sweep_sql(), POINTS, EXTERNAL, CARRIED,
             CURVE, CAT_SQL, COLLECT)
 _DOUBLES = ["det_fa05", "det_fa10", "det_fa15", "detect_rate", "fa_rate", "f1", "map50", "latency_ms",
@@ -495,7 +510,7 @@ register(
     lambda s, d: R.missing_arms(catalogue(s), summaries(s, d)),
     with_(CAT_SQL)
     + """SELECT ord, arm, label FROM cat WHERE arm NOT IN (
-  SELECT 'm' || (l_suppkey % 4)::VARCHAR FROM lineitem WHERE l_suppkey % 4 <> 3)""",
+  SELECT 'm' || (l_suppkey % 4)::VARCHAR FROM lineitem)""",
 )
 register(
     "A18_display_cells",
@@ -561,10 +576,10 @@ JOIN (SELECT i::INT AS point, (2 * i + 1)::DOUBLE / 12.0::DOUBLE AS q FROM range
 
 
 def listing(s, d) -> DataFrame:
-    """Stored artefact paths: every arm but m3 has weights; arms with an even count a summary."""
+    """Stored artefact paths: every arm with data has weights; arms with an even count a summary."""
     t = arm_totals(s, d).join(catalogue(s), "arm")
     run = F.concat(F.lit("pool54"), F.when(F.col("tag") != "", F.concat(F.lit("_"), "tag")).otherwise(""))
-    return t.filter("arm <> 'm3'").select(
+    return t.select(
         F.concat(F.lit("runs/detect/"), run, F.lit("/weights/best.pt")).alias("path")
     ).unionByName(
         t.filter("n % 2 = 0").select(
@@ -578,8 +593,8 @@ register(
     lambda s, d: R.arm_coverage(catalogue(s), listing(s, d), 54),
     with_(CAT_SQL)
     + """SELECT cat.arm, label, 'pool54' || CASE WHEN tag <> '' THEN '_' || tag ELSE '' END AS run,
-  coalesce(n IS NOT NULL AND cat.arm <> 'm3', false) AS trained, coalesce(n % 2 = 0, false) AS evaluated,
-  NOT coalesce(n IS NOT NULL AND cat.arm <> 'm3', false) AS pending
+  (n IS NOT NULL) AS trained, coalesce(n % 2 = 0, false) AS evaluated,
+  NOT (n IS NOT NULL) AS pending
 FROM cat LEFT JOIN (SELECT 'm' || (l_suppkey % 4)::VARCHAR AS arm, count(*) AS n FROM lineitem GROUP BY 1) USING (arm)""",
 )
 

@@ -247,6 +247,22 @@ FROM img JOIN matched USING (arm) WHERE budget = 0.1::DOUBLE""",
 )
 
 
+# the same on scores as they came, of which there may be as many as photographs
+RAW_LEVELS = LEVELS.replace("max_conf", "top")
+register(
+    "T10_detection_at_budgets_raw",
+    lambda s, d: T.detection_at_budgets(images(s, d), raw=True),
+    with_(IMAGES, RAW_LEVELS, BUDGET) + "SELECT * FROM matched",
+)
+register(
+    "T11_image_hits_raw",
+    lambda s, d: T.image_hits(images(s, d), 0.10, raw=True),
+    with_(IMAGES, RAW_LEVELS, BUDGET)
+    + """SELECT arm, image_id, role, category, coalesce(top >= threshold, false) AS hit
+FROM img JOIN matched USING (arm) WHERE budget = 0.1::DOUBLE""",
+)
+
+
 def curve_peak(s, d):
     rows = T.sweep(grid_counts(s, d, T.FINE, ("arm", "category")), ["arm", "category"])
     return T.best_curve_point(rows.select("arm", "category", "confidence", "f1"), ["arm"])

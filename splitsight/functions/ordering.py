@@ -10,8 +10,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import checkpointed
+
 HASH_DIGITS = 3  # 4,096 buckets per group
 LINEAR_BUCKETS = 1024  # per level, two levels
+ACCURACY = 10_000  # of the sketch that brackets quantiles
+SMALL = 4 * ACCURACY  # groups with fewer values are counted whole
 FEW_ROWS = 100_000  # small tables of up to this many rows may be broadcast; counted before they are
 
 
@@ -105,6 +109,30 @@ def positions(
     )
 
 
+def running_totals(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """Add running sums `out` of columns (`sums` maps out to column) in each group's order, and the group's
+    whole sums `out`_total, without a window over a whole group.
+
+    Two passes: rows are written down in ranges of (by, order); each range sums for itself, and the sums of
+    the ranges before it, one row a range and group, are its offset. Equal rows in `order` must not matter.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = [*by, "_part"]
+    placed = checkpointed(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
+    ranges = placed.groupBy(*part).agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*by)
+    zero = F.lit(0).cast("bigint")
+    offsets = ranges.select(
+        *part, *[F.coalesce(F.sum(f"_{out}").over(before), zero).alias(f"_{out}") for out in sums],
+        *[F.sum(f"_{out}").over(whole).alias(f"{out}_total") for out in sums],
+    )
+    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = placed.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
+    met = summed.join(offsets, part)
+    return met.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop("_part", *[f"_{out}" for out in sums])
+
+
 def cut_slots(
     df: DataFrame,
     by: list[str],
@@ -192,66 +220,71 @@ def rows_at(
     )
 
 
-def exact_quantiles(
-    df: DataFrame, by: list[str], value: str, probs: list[float], buckets: int = LINEAR_BUCKETS
-) -> DataFrame:
-    """(by, prob, quantile): exact, linearly interpolated quantiles of the non-null values.
+def _brackets(vals: DataFrame, g: list[str], probs: list[float]) -> DataFrame:
+    """(g, _total, _want, _bounds): wanted ranks of each group and value ranges that hold them, from one mergeable sketch.
 
-    Equal values are collapsed first, the bucket that holds each wanted rank is found from the
-    bucket counts, and only that bucket's distinct values are sorted.
+    The sketch is off by one rank in ACCURACY at most, so ranges reach two ranks in ACCURACY to either side.
+    Groups of fewer than SMALL values are one range for all ranks.
     """
-    g = _group(by)
-    df = _with_group(df, by)
-    vals = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*g, F.col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    vals = linear_bucket(vals, by, "_v", buckets)
-    hist = bucket_offsets(vals, g, "_bkt", weight="_c").withColumn(
-        "_total", F.sum("_n").over(Window.partitionBy(*g))
+    reach = 2.0 / ACCURACY
+    points = [max(0.0, p - reach) for p in probs] + [min(1.0, p + reach) for p in probs]
+    sketch = vals.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", points, ACCURACY).alias("_at"))
+    small = F.col("_n") < SMALL
+    of = lambda i: F.when(small, F.lit(0)).otherwise(F.lit(i))
+
+    def want(i: int, p: float) -> Column:
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        return F.struct(
+            F.lit(float(p)).alias("prob"), of(i).alias("id"), F.floor(at).alias("lo"), F.ceil(at).alias("hi"), (at - F.floor(at)).alias("frac")
+        )
+
+    def bounds(i: int, lo: Column, hi: Column) -> Column:
+        return F.struct(F.lit(i).alias("id"), lo.alias("from"), hi.alias("to"))
+
+    whole = F.array(bounds(0, F.lit(float("-inf")), F.lit(float("inf"))))
+    each = F.array(*[bounds(i, F.get("_at", F.lit(i)), F.get("_at", F.lit(len(probs) + i))) for i in range(len(probs))])
+    return sketch.select(
+        *g, F.col("_n").alias("_total"), F.array(*[want(i, p) for i, p in enumerate(probs)]).alias("_want"), F.when(small, whole).otherwise(each).alias("_bounds")
     )
 
-    def want(p: float) -> Column:
-        at = (F.col("_total") - 1) * F.lit(float(p))
-        lo = F.floor(at)
-        return F.array(
-            F.struct(F.lit(float(p)).alias("prob"), lo.alias("rank"), (at - lo).alias("frac"),
-                     F.lit(0).alias("side")),
-            F.struct(F.lit(float(p)).alias("prob"), F.ceil(at).alias("rank"),
-                     (at - lo).alias("frac"), F.lit(1).alias("side")),
-        )
 
-    wanted = F.flatten(F.array(*[want(p) for p in probs]))
-    hist = hist.withColumn(
-        "_want",
-        F.filter(
-            wanted,
-            lambda t: (t["rank"] >= F.col("_before"))
-            & (t["rank"] < F.col("_before") + F.col("_n")),
-        ),
-    ).filter(F.size("_want") > 0)
-    upto = (
-        Window.partitionBy(*g, "_bkt").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: list[float], count: str | None = None) -> DataFrame:
+    """(by, prob, quantile): exact, linearly interpolated quantiles of the non-null values, in two scans.
+
+    `count` names a column for the number of values, which the first scan has anyway.
+
+    The first scan sketches every group and brackets the wanted ranks; the second counts what lies below
+    each bracket and the distinct values inside it. Only those are shuffled and sorted, a few in ACCURACY of
+    a large group. A bracket that missed its rank would stop the job, not pass a wrong value.
+    """
+    g = _group(by)
+    vals = _with_group(df, by).filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("_v"))
+    found = checkpointed(_brackets(vals, g, probs))
+    few = not by or found.count() <= FEW_ROWS // len(probs)  # one row for each group
+    held = found.select(*g, "_bounds")
+    beside_its_bounds = vals.join(F.broadcast(held), g) if few else meet(vals, held, g, ["_v"])
+    v = F.col("_v")
+    place = lambda b: F.struct(
+        b["id"].alias("id"), (v < b["from"]).alias("below"), F.when(v >= b["from"], v).alias("v")
     )
-    ranked = (
-        vals.join(hist.select(*g, "_bkt", "_before", "_want"), [*g, "_bkt"])
-        .withColumn("_end", F.col("_before") + F.sum("_c").over(upto))
-        .withColumn(
-            "_hit",
-            F.explode(
-                F.filter(
-                    "_want",
-                    lambda t: (t["rank"] < F.col("_end"))
-                    & (t["rank"] >= F.col("_end") - F.col("_c")),
-                )
-            ),
-        )
+    counted = (
+        beside_its_bounds.select(*g, F.explode(F.transform(F.filter("_bounds", lambda b: v <= b["to"]), place)).alias("_c"))
+        .groupBy(*g, "_c.id", "_c.below", "_c.v").agg(F.count(F.lit(1)).alias("_n"))
     )
-    lo = F.max(F.when(F.col("_hit.side") == 0, F.col("_v")))
-    hi = F.max(F.when(F.col("_hit.side") == 1, F.col("_v")))
+    upto = Window.partitionBy(*g, "id").orderBy(F.desc("below"), "v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumn("_end", F.sum("_n").over(upto)).filter(~F.col("below"))
+    wanted = found.select(*g, "_total", F.explode("_want").alias("_w")).select(*g, "_total", F.col("_w.id").alias("id"), "_w")
+    first = F.col("_end") - F.col("_n")
+    lo = F.max(F.when((F.col("_w.lo") >= first) & (F.col("_w.lo") < F.col("_end")), F.col("v")))
+    hi = F.max(F.when((F.col("_w.hi") >= first) & (F.col("_w.hi") < F.col("_end")), F.col("v")))
+    met = ranked.join(F.broadcast(wanted) if few else wanted, [*g, "id"])
+    quantile = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")
+    missed = F.raise_error(F.lit("a bracket missed its rank")).cast("double")
     return (
-        ranked.groupBy(*g, F.col("_hit.prob").alias("prob"))
-        .agg((lo + (hi - lo) * F.max("_hit.frac")).alias("quantile"))
-        .drop(*([] if by else ["_all"]))
+        met.groupBy(*g, F.col("_w.prob").alias("prob"))
+        .agg(lo.alias("_lo"), hi.alias("_hi"), F.max("_w.frac").alias("_frac"), F.max("_total").alias("_total"))
+        .select(
+            *by, "prob", F.when(quantile.isNull(), missed).otherwise(quantile).alias("quantile"),
+            *([F.col("_total").alias(count)] if count else []),
+        )
     )

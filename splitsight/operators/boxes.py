@@ -1,20 +1,22 @@
 """Box overlap, greedy matching, box-level F1 and saliency localisation.
 
 Overlap candidates come from an equi-join on grid cells of an image, so boxes far apart in a
-crowded image never meet. Greedy matching runs as rounds over the surviving pairs.
+crowded image never meet. Greedy matching takes the certain pairs in a round and walks what is left.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import iou, ratio, round_to
 from ..functions.ordering import beside, exact_quantiles
 from ..session import checkpointed
+from .fusion import crowds
 from .thresholds import FINE_POINTS, fine_index, fine_threshold
 
 CELL = 128
 MATCH_IOU = 0.5
+ROUNDS = 1  # of certain pairs, before the rest is walked
 XYXY = ["x0", "y0", "x1", "y1"]
 
 
@@ -31,10 +33,12 @@ def _cells(df: DataFrame, cell: int) -> DataFrame:
 
 def overlapping_pairs(
     a: DataFrame, b: DataFrame, keys: list[str], keep_a: list[str], keep_b: list[str],
-    cell: int = CELL,
+    cell: int = CELL, extent: bool = False,
 ) -> DataFrame:
     """(keys, keep_a, keep_b, iou) of every pair with IoU above 0: the matrix without its zeros.
 
+    With `extent` also (x0, x1), where the two boxes begin and end.
+
     A pair is reported only in the cell that holds the upper left corner of its intersection, so
     no deduplication is needed.
     """
@@ -47,7 +51,10 @@ def overlapping_pairs(
         pair.filter((F.col("_cx") == corner("x0")) & (F.col("_cy") == corner("y0")))
         .withColumn("iou", value)
         .filter("iou > 0")
-        .select(*keys, *keep_a, *keep_b, "iou")
+        .select(
+            *keys, *keep_a, *keep_b, "iou",
+            *([F.least("_ax0", "_bx0").alias("x0"), F.greatest("_ax1", "_bx1").alias("x1")] if extent else []),
+        )
     )
 
 
@@ -64,16 +71,18 @@ def greedy_match(
     Only pairs at the threshold can be accepted, and a pair is certain once the prediction is the
     first one left for its truth and the truth the best one left for its prediction: earlier
     predictions do not reach that truth and better truths are gone. All certain pairs are taken
-    in one round, their boxes removed, and the rest tried again; the first prediction left is
-    always certain, so the rounds end with the sequential result.
+    in ROUNDS rounds, which settles all but crowded images, and their boxes removed. What is left
+    is cut into crowds that share no box and walked once in order, as a stream.
     """
     order = F.struct("conf", "pred_id")
-    edges = overlapping_pairs(preds, truths, keys, ["pred_id", "conf"], ["truth_id"]).filter(
+    edges = overlapping_pairs(preds, truths, keys, ["pred_id", "conf"], ["truth_id"], extent=True).filter(
         F.col("iou") >= F.lit(iou_thr)
     )
     edges = checkpointed(edges)
-    done = None
-    while not edges.isEmpty():
+    done = []
+    for _ in range(ROUNDS):
+        if edges.isEmpty():
+            break
         first = edges.groupBy(*keys, "truth_id").agg(F.max(order).alias("o")).select(
             *keys, "truth_id", F.col("o.pred_id").alias("pred_id")
         )
@@ -81,15 +90,48 @@ def greedy_match(
             F.max(F.struct("iou", "truth_id")).alias("t")
         ).select(*keys, "pred_id", F.col("t.truth_id").alias("truth_id"), F.col("t.iou").alias("iou"))
         sure = checkpointed(best.join(first, [*keys, "pred_id", "truth_id"]))
-        done = sure if done is None else done.unionByName(sure)
+        done.append(sure.select(*keys, "pred_id", "truth_id", "iou"))
         edges = checkpointed(
             edges.join(sure.select(*keys, "truth_id"), [*keys, "truth_id"], "left_anti").join(
                 sure.select(*keys, "pred_id"), [*keys, "pred_id"], "left_anti"
             )
         )
-    if done is None:
-        done = edges
-    return done.select(*keys, "pred_id", "truth_id", "iou")
+    out = _walked(edges, keys)
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
+
+
+def _walked(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pred_id, truth_id, iou) of the pairs that a walk over the predictions in order takes.
+
+    What is held is the truths taken in one crowd.
+    """
+    kinds = {f.name: f.dataType for f in edges.schema}
+    names = [*keys, "pred_id", "truth_id", "iou"]
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = (
+        crowds(edges, keys=keys).repartition(n, *keys, "crowd")
+        .sortWithinPartitions(*keys, "crowd", F.desc("conf"), F.desc("pred_id"), F.desc("iou"), F.desc("truth_id"))
+        .select(*keys, "crowd", "pred_id", "truth_id", "iou")
+    )
+
+    def walk(batches):
+        group, done, taken = None, None, set()  # the crowd, the last prediction with a truth, truths taken
+        for batch in batches:
+            keep = []
+            for row in batch.itertuples(index=False, name=None):
+                now, pred, truth = row[:-3], row[-3], row[-2]
+                if now != group:
+                    group, done, taken = now, None, set()
+                free = pred != done and truth not in taken
+                if free:
+                    done = pred
+                    taken.add(truth)
+                keep.append(free)
+            yield batch[keep][names]
+
+    return ordered.mapInPandas(walk, T.StructType([T.StructField(c, kinds[c]) for c in names]))
 
 
 def flag_matches(preds: DataFrame, matches: DataFrame, keys: list[str]) -> DataFrame:
@@ -220,6 +262,7 @@ def localisation(cells: DataFrame, boxes: DataFrame, tops: DataFrame, size: int,
 
 def localisation_summary(rows: DataFrame) -> DataFrame:
     """One row: counts, means and median overall, and means where the top location is in a box."""
+    rows = checkpointed(rows)
     share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
     top = F.col("top_in")
     one = rows.agg(

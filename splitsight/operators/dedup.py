@@ -268,7 +268,7 @@ def keep_first(items: DataFrame, keys: list[str]) -> DataFrame:
     edges = checkpointed(near_pairs(todo, keys, "ord").select(*keys, "a", "b"))
     rounds = 0
     while not todo.isEmpty():
-        if rounds and rounds % ROUNDS == 0:
+        if rounds == ROUNDS:
             settled, whole = _walked(edges, keys)
             kept = add(todo.join(settled.filter("stays").select(*keys, "ord"), [*keys, "ord"], "left_semi"))
             todo = checkpointed(todo.join(settled.select(*keys, "ord"), [*keys, "ord"], "left_anti"))

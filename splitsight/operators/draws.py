@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import keyed_hash
-from ..functions.ordering import cut_slots, hash_bucket, linear_bucket
+from ..functions.ordering import beside, cut_slots, hash_bucket, linear_bucket, running_totals
+from ..session import checkpointed
 
+FEW_CATEGORIES = 10_000  # ranked in one window; counted before they are
 VAL_SHARE = 0.2
 GENERATED_VAL_SHARE = 0.15
 
@@ -26,26 +28,29 @@ def largest_remainder(
     """Add `alloc`: n spread over the categories in proportion to their sizes.
 
     Floors first; what is left goes one each to the largest remainders, ties by `tie`. Remainders
-    are exact integers. Asking for more than there is stops the job. The window runs over one row
-    per category.
+    are exact integers. Asking for more than there is stops the job. Sums are one row beside the table;
+    the few categories that there mostly are get their rank in one window, more than FEW_CATEGORIES in
+    ranges of the remainder.
     """
-    every = Window.partitionBy(F.lit(0))
+    sizes = checkpointed(sizes)
     wide = lambda c: c.cast("decimal(19,0)")
-    total = F.sum(size).over(every)
-    exact = wide(F.lit(n)) * wide(F.col(size))
+    total = sizes.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
     checked = F.when(
-        F.lit(n) > total,
-        F.raise_error(F.concat(F.lit(f"asked for {n} items, only "), total.cast("string"), F.lit(" remain"))).cast("bigint"),
-    ).otherwise(total)
-    rows = sizes.withColumn("_total", checked).withColumn("_exact", exact)
+        F.lit(n) > F.col("_total"),
+        F.raise_error(F.concat(F.lit(f"asked for {n} items, only "), F.col("_total").cast("string"), F.lit(" remain"))).cast("bigint"),
+    ).otherwise(F.col("_total"))
+    rows = beside(sizes, total.select(checked.alias("_total"))).withColumn("_exact", wide(F.lit(n)) * wide(F.col(size)))
     rows = rows.withColumn("_floor", F.expr("_exact div cast(_total as decimal(19,0))")).withColumn(
         "_rem", F.expr("_exact % cast(_total as decimal(19,0))")
     )
-    rank = F.row_number().over(every.orderBy(F.desc("_rem"), tie))
-    left = F.lit(n).cast("bigint") - F.sum("_floor").over(every)
+    left = rows.agg((F.lit(n).cast("bigint") - F.coalesce(F.sum("_floor"), F.lit(0))).alias("_left"))
+    order = [F.desc("_rem"), F.asc(tie)]
+    if sizes.count() <= FEW_CATEGORIES:
+        ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    else:
+        ranked = running_totals(rows.withColumn("_one", F.lit(1)), [], order, {"_rank": "_one"}).drop("_one", "_rank_total")
     return (
-        rows.withColumn("_rank", rank)
-        .withColumn("_left", left)
+        beside(ranked, left)
         .withColumn(out, F.col("_floor") + (F.col("_rank") <= F.col("_left")).cast("bigint"))
         .drop("_total", "_exact", "_floor", "_rem", "_rank", "_left")
     )
@@ -106,11 +111,10 @@ def stratified_select(kept: DataFrame, n: int, order: str) -> DataFrame:
     sizes = rows.groupBy("category").agg(
         F.count(F.lit(1)).alias("size"), F.min(order).alias("first")
     )
-    total = F.sum("size").over(Window.partitionBy(F.lit(0)))
-    room = sizes.withColumn("_total", total)
-    some = largest_remainder(room.filter(F.col("_total") > n), n, tie="first")
-    every = room.filter(F.col("_total") <= n).withColumn("alloc", F.col("size"))
-    cuts = some.select("category", "alloc").unionByName(every.select("category", "alloc"))
+    sizes = checkpointed(sizes)
+    # asked for more than there are, all are taken
+    enough = (sizes.agg(F.sum("size")).first()[0] or 0) <= n
+    cuts = sizes.select("category", F.col("size").alias("alloc")) if enough else largest_remainder(sizes, n, tie="first").select("category", "alloc")
     placed = linear_bucket(rows, ["category"], order)
     return cut_slots(placed, ["category"], [order], cuts, ["alloc"]).filter("slot = 0").drop("slot")
 

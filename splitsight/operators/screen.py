@@ -103,9 +103,14 @@ def reject_histogram(log: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ calibration report
 def calibration_quantiles(items: DataFrame) -> DataFrame:
-    """(measure, prob, quantile) of the solid and haze shares."""
-    one = lambda c, levels: exact_quantiles(items, [], c, levels).withColumn("measure", F.lit(c))
-    return one("solid", SOLID_LEVELS).unionByName(one("haze", HAZE_LEVELS))
+    """(measure, prob, quantile) of the solid and haze shares, both from the same scans."""
+    measures = {"solid": SOLID_LEVELS, "haze": HAZE_LEVELS}
+    cells = F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in measures])
+    both = exact_quantiles(items.select(F.explode(cells).alias("c")).select("c.*"), ["measure"], "v", sorted({*SOLID_LEVELS, *HAZE_LEVELS}))
+    asked = F.lit(False)
+    for c, levels in measures.items():
+        asked = asked | ((F.col("measure") == c) & F.col("prob").isin(*levels))
+    return both.filter(asked)
 
 
 def calibration_rejects(items: DataFrame) -> DataFrame:

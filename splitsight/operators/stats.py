@@ -8,6 +8,7 @@ from ..functions.expressions import (
     mcnemar_exact, paired_difference, ratio, round_to, stars,
 )
 from ..functions.ordering import beside, exact_quantiles, linear_bucket, rows_at
+from ..session import checkpointed
 from .thresholds import NEG, POS, cumulative_curve, falling, score_levels
 
 AREA_LIMIT = 0.15
@@ -117,11 +118,10 @@ def difference_matrix(pairs: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ ROC
-def roc_curve(levels: DataFrame, by: list[str]) -> DataFrame:
+def roc_curve(levels: DataFrame, by: list[str], ranged: bool = False) -> DataFrame:
     """(by, vertex, fa, det) from the origin through every distinct score, highest first."""
-    curve = cumulative_curve(levels, by).select(
-        *by, F.row_number().over(falling(by)).alias("vertex"), "score", "fa", "det"
-    )
+    number = F.col("vertex").cast("int") if ranged else F.row_number().over(falling(by))
+    curve = cumulative_curve(levels, by, ranged).select(*by, number.alias("vertex"), "score", "fa", "det")
     vertex = lambda k, fa, det: F.struct(k.alias("vertex"), fa.alias("fa"), det.alias("det"))
     here = vertex(F.col("vertex"), F.col("fa"), F.col("det"))
     origin = vertex(F.lit(0), F.lit(0.0), F.lit(0.0))
@@ -133,12 +133,11 @@ def roc_curve(levels: DataFrame, by: list[str]) -> DataFrame:
     return curve.select(*by, F.explode(rows).alias("v")).select(*by, "v.*")
 
 
-def partial_area(levels: DataFrame, by: list[str], limit: float = AREA_LIMIT) -> DataFrame:
+def partial_area(levels: DataFrame, by: list[str], limit: float = AREA_LIMIT, ranged: bool = False) -> DataFrame:
     """(by, area): trapezoid area for false alarms up to `limit`, closed there, over `limit`."""
-    down = falling(by)
-    steps = cumulative_curve(levels, by).withColumn(
-        "fa0", F.coalesce(F.lag("fa").over(down), F.lit(0.0))
-    ).withColumn("det0", F.coalesce(F.lag("det").over(down), F.lit(0.0)))
+    steps = cumulative_curve(levels, by, ranged).withColumn(
+        "fa0", ratio(F.col("alarms") - F.col("neg"), "n_neg")
+    ).withColumn("det0", ratio(F.col("hits") - F.col("pos"), "n_pos"))
     kept = F.col("fa") <= F.lit(limit)
     strip = (F.col("fa") - F.col("fa0")) * (F.col("det") + F.col("det0")) / 2
     area = steps.groupBy(*by).agg(
@@ -150,8 +149,8 @@ def partial_area(levels: DataFrame, by: list[str], limit: float = AREA_LIMIT) ->
     return area.select(*by, ((F.coalesce("body", F.lit(0.0)) + closing) / F.lit(limit)).alias("area"))
 
 
-def arm_levels(images: DataFrame) -> DataFrame:
-    return score_levels(images, ["arm"])
+def arm_levels(images: DataFrame, raw: bool = False) -> DataFrame:
+    return score_levels(images, ["arm"], raw)
 
 
 # ------------------------------------------------------------------ categories and examples
@@ -175,35 +174,29 @@ def typical_examples(images: DataFrame, points: DataFrame, n_alarms: int = 6) ->
     images: (arm, image_id, role, category, max_conf); points: (arm, threshold), one row per arm.
     A photograph that never fired counts as 0 here.
     """
-    scored = images.select(
-        "arm", "image_id", "role", "category", F.coalesce("max_conf", F.lit(0.0)).alias("c")
-    ).join(F.broadcast(points), "arm")
-    pos = scored.filter(F.col("role") == POS)
-    hits = pos.filter(F.col("c") >= F.col("threshold"))
-    med = exact_quantiles(hits, ["arm", "category"], "c", [0.5]).select(
+    kind = (
+        F.when(F.col("role") == NEG, F.lit("alarm"))
+        .when(F.col("role") == POS, F.when(F.col("c") >= F.col("threshold"), F.lit("hit")).otherwise(F.lit("miss")))
+    )
+    scored = checkpointed(
+        images.select("arm", "image_id", "role", "category", F.coalesce("max_conf", F.lit(0.0)).alias("c"))
+        .join(F.broadcast(points), "arm").select("arm", "image_id", "category", "c", kind.alias("kind")).filter("kind is not null")
+    )
+    med = exact_quantiles(scored.filter("kind = 'hit'"), ["arm", "category"], "c", [0.5]).select(
         "arm", "category", F.col("quantile").alias("med")
     )
-    group = Window.partitionBy("arm", "category")
-
-    def top(df: DataFrame, w, k: int, kind: str) -> DataFrame:
-        return (
-            df.withColumn("rank", F.row_number().over(w))
-            .filter(F.col("rank") <= k)
-            .select(F.lit(kind).alias("kind"), "arm", "category", "rank", "image_id", "c")
-        )
-
-    near = hits.join(med, ["arm", "category"]).withColumn(
-        "gap", round_to(F.abs(F.col("c") - F.col("med")), 9)
+    # the order within its list: hits by their distance from the median, misses from below, alarms from above
+    order = (
+        F.when(F.col("kind") == "hit", round_to(F.abs(F.col("c") - F.col("med")), 9))
+        .when(F.col("kind") == "miss", F.col("c")).otherwise(-F.col("c"))
     )
-    misses = pos.filter(F.col("c") < F.col("threshold"))
-    alarms = scored.filter(F.col("role") == NEG)
-    return (
-        top(near, group.orderBy("gap", "image_id"), 2, "hit")
-        .unionByName(top(misses, group.orderBy("c", "image_id"), 1, "miss"))
-        .unionByName(
-            top(alarms, Window.partitionBy("arm").orderBy(F.desc("c"), "image_id"), n_alarms, "alarm")
-        )
+    most = F.when(F.col("kind") == "hit", 2).when(F.col("kind") == "miss", 1).otherwise(n_alarms)
+    of = F.when(F.col("kind") != "alarm", F.col("category"))
+    ranked = scored.join(med, ["arm", "category"], "left").select(
+        "kind", "arm", "category", "image_id", "c",
+        F.row_number().over(Window.partitionBy("arm", "kind", of).orderBy(order, "image_id")).alias("rank"),
     )
+    return ranked.filter(F.col("rank") <= most).select("kind", "arm", "category", "rank", "image_id", "c")
 
 
 def evenly_spaced(rows: DataFrame, by: list[str], value: str, key: str, points: int = 6) -> DataFrame:
@@ -279,9 +272,8 @@ def call_time_median(calls: DataFrame, warmup: int = 20) -> DataFrame:
         .select("call_id")
     )
     timed = calls.join(F.broadcast(warm), "call_id", "left_anti")
-    med = exact_quantiles(timed, ["arm"], "ms", [0.5])
-    n = timed.groupBy("arm").agg(F.count(F.lit(1)).alias("n_calls"))
-    return n.join(med, "arm").select(
+    med = exact_quantiles(timed, ["arm"], "ms", [0.5], count="n_calls")
+    return med.select(
         "arm", "n_calls", round_to("quantile", 2).alias("median_ms"),
         round_to(F.lit(1000.0) / F.col("quantile"), 1).alias("fps"),
     )

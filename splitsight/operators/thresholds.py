@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import ratio, round_to, wilson
+from ..functions.ordering import running_totals
 
 # Reporting thresholds, fine grid start, step and end (all in thousandths for the
 # grid), matched false-alarm budgets, and the gap above which a tuned point is flagged.
@@ -267,13 +268,18 @@ def stored(score) -> Column:
     return round_to(score, STORED_DECIMALS)
 
 
-def score_levels(images: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, score, pos, neg): photographs at every distinct stored score.
+def score_of(raw: bool) -> Column:
+    """The stored score, or the score as it came (`top`)."""
+    return F.col("top") if raw else stored("max_conf")
+
+
+def score_levels(images: DataFrame, by: list[str] | None = None, raw: bool = False) -> DataFrame:
+    """(by, score, pos, neg): photographs at every distinct stored score, or at every raw one.
 
     The row with a null score holds the photographs that never fired.
     """
     by = by or ["arm"]
-    return images.groupBy(*by, stored("max_conf").alias("score")).agg(
+    return images.groupBy(*by, score_of(raw).alias("score")).agg(
         F.count(F.when(F.col("role") == POS, 1)).alias("pos"),
         F.count(F.when(F.col("role") == NEG, 1)).alias("neg"),
     )
@@ -284,35 +290,43 @@ def falling(by: list[str]):
     return Window.partitionBy(*by).orderBy(F.col("score").desc_nulls_last())
 
 
-def cumulative_curve(levels: DataFrame, by: list[str] | None = None) -> DataFrame:
+def cumulative_curve(levels: DataFrame, by: list[str] | None = None, ranged: bool = False) -> DataFrame:
     """(by, score, hits, alarms, n_pos, n_neg, det, fa): cumulative from the highest score down.
 
-    Totals and running sums share one sort. The never-fired row stays, with a null det and fa.
+    Totals and running sums share one sort, in one task an arm; stored scores are few enough for that.
+    With `ranged`, levels are summed in ranges (for raw scores, of which there may be as many as
+    photographs) and there is also `vertex`, the level's number. The never-fired row stays, with a null
+    det and fa.
     """
     by = by or ["arm"]
-    upto = falling(by).rowsBetween(Window.unboundedPreceding, 0)
-    whole = falling(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     fired = F.col("score").isNotNull()
-    return (
-        levels.withColumn("hits", F.sum("pos").over(upto))
-        .withColumn("alarms", F.sum("neg").over(upto))
-        .withColumn("n_pos", F.sum("pos").over(whole))
-        .withColumn("n_neg", F.sum("neg").over(whole))
-        .withColumn("det", F.when(fired, ratio("hits", "n_pos")))
-        .withColumn("fa", F.when(fired, ratio("alarms", "n_neg")))
-    )
+    if ranged:
+        sums = {"hits": "pos", "alarms": "neg", "vertex": "_one"}
+        rows = running_totals(levels.withColumn("_one", F.lit(1)), by, [F.col("score").desc_nulls_last()], sums)
+        curve = rows.withColumnsRenamed({"hits_total": "n_pos", "alarms_total": "n_neg"}).drop("_one", "vertex_total")
+    else:
+        upto = falling(by).rowsBetween(Window.unboundedPreceding, 0)
+        whole = falling(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        curve = (
+            levels.withColumn("hits", F.sum("pos").over(upto))
+            .withColumn("alarms", F.sum("neg").over(upto))
+            .withColumn("n_pos", F.sum("pos").over(whole))
+            .withColumn("n_neg", F.sum("neg").over(whole))
+        )
+    return curve.withColumn("det", F.when(fired, ratio("hits", "n_pos"))).withColumn("fa", F.when(fired, ratio("alarms", "n_neg")))
 
 
 def detection_at_budgets(
-    images: DataFrame, budgets: list[float] = BUDGETS, by: list[str] | None = None
+    images: DataFrame, budgets: list[float] = BUDGETS, by: list[str] | None = None, raw: bool = False
 ) -> DataFrame:
     """(by, budget, detection, threshold, censored): exact best detection within each budget.
 
     Threshold is the lowest one that meets the budget, infinity when only firing nowhere does.
-    Censored means that even the lowest stored score stays within the budget.
+    Censored means that even the lowest score stays within the budget. Scores are the stored ones, or with
+    `raw` those of `top`, however many.
     """
     by = by or ["arm"]
-    curve = cumulative_curve(score_levels(images, by), by)
+    curve = cumulative_curve(score_levels(images, by, raw), by, ranged=raw)
     cols = []
     for i, b in enumerate(budgets):
         ok = F.col("fa") <= F.lit(b)
@@ -335,10 +349,10 @@ def detection_at_budgets(
     return best.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
 
 
-def image_hits(images: DataFrame, budget: float) -> DataFrame:
+def image_hits(images: DataFrame, budget: float, raw: bool = False) -> DataFrame:
     """Every photograph with its hit flag at the matched budget; never-fired is never a hit."""
-    points = detection_at_budgets(images, [budget]).select("arm", "threshold")
+    points = detection_at_budgets(images, [budget], raw=raw).select("arm", "threshold")
     return images.join(F.broadcast(points), "arm").select(  # one row per arm
         "arm", "image_id", "role", "category",
-        F.coalesce(stored("max_conf") >= F.col("threshold"), F.lit(False)).alias("hit"),
+        F.coalesce(score_of(raw) >= F.col("threshold"), F.lit(False)).alias("hit"),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.expressions import ratio, round_to
 from ..functions.ordering import beside, exact_quantiles
+from ..session import checkpointed
 
 MIN_VISIBLE = 0.35
 FULLY_VISIBLE = 0.999
@@ -59,6 +60,7 @@ def object_visibility(
 
 def visibility_summary(objects: DataFrame) -> DataFrame:
     """One row: median, mean, p10, p90, shares retained and fully visible, images without a label."""
+    objects = checkpointed(objects.select("image_id", "phi", "labelled"))
     sums = objects.agg(
         F.count(F.lit(1)).alias("n_objects"),
         F.avg("phi").alias("mean"),
