@@ -166,17 +166,19 @@ def mix(
 def take(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row of `docs` as often as it is taken, all its columns, whatever their names.
 
-    Rows equal in doc_id, source and text are taken in the order of a hash of all their columns, so it does
-    not depend on partitioning which of them goes in once more.
+    Rows equal in doc_id, source and text share their copies evenly, in the order of a hash of all their
+    columns, so it does not depend on partitioning which of them goes in once more. Texts are shuffled once.
     """
-    row, nth, order, times, copy = fresh(docs.columns, "row", "nth", "order", "times", "copy")
-    copies = mix(docs, **options).select(F.col("row").alias(row), F.col("nth").alias(nth), F.col("copies").cast("int").alias(times))
+    row, nth, order, total, rows, times, copy = fresh(docs.columns, "row", "nth", "order", "total", "rows", "times", "copy")
+    shares = mix(docs, **options).groupBy(F.col("row").alias(row)).agg(F.sum("copies").alias(total), F.count(F.lit(1)).alias(rows))
     whole = F.xxhash64(F.to_json(F.struct(*[docs[c] for c in docs.columns if c != "text"])))
     tagged = docs.withColumns({row: _row(docs), order: whole})
     tagged = tagged.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(order)))
+    own = F.floor(F.col(total) / F.col(rows)) + (F.col(nth) <= F.col(total) % F.col(rows)).cast("long")
     every = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        tagged.join(copies, [row, nth])
+        tagged.join(shares, row)
+        .withColumn(times, own.cast("int"))
         .withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(times))))
         .select(*every)
     )
