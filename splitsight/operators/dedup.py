@@ -55,7 +55,8 @@ def _banded(df: DataFrame) -> DataFrame:
 def _split(rows: DataFrame, bucket: list[str], name: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of the other buckets, rows of hot buckets once for each other band that lengthens their key)."""
     flagged = meet(rows, hot, bucket, [name])
-    longer = F.filter("_bands", lambda x: x["band"] != F.col("_band"))
+    # a pair counts at the first two bands on which it agrees, so only later bands need to follow
+    longer = F.filter("_bands", lambda x: x["band"] > F.col("_band"))
     hash_of = F.col("hash").alias(f"_{name}_hash")
     return (
         flagged.filter("_hot is null").select(*bucket, F.lit(None).cast("struct<band:int,value:bigint>").alias("_second"), name, hash_of),
@@ -127,7 +128,7 @@ def near_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     """(keys, left_id, right_id, bits) of pairs within the limit, each once.
 
     left: (keys, left_id, hash); right: (keys, right_id, hash). Where more than HOT_BUCKET right
-    rows share a band value, the key is lengthened by each other band in turn: a near pair agrees
+    rows share a band value, the key is lengthened by each later band in turn: a near pair agrees
     on two bands or more, so it still meets, and rows that share only the one value no longer do.
     Rows that share two bands are still compared with one another, in cells of BLOCK by BLOCK rows.
     """

@@ -57,16 +57,16 @@ def test_components_beyond_the_walk_go_on_by_rounds(spark, monkeypatch, bound):
 
 
 def test_hashes_that_share_two_bands_meet_in_cells(spark, monkeypatch):
-    """16,000 hashes with two bands in common: every pair once, and no cell above BLOCK by BLOCK rows."""
+    """4,000 hashes with two bands in common: every pair once, and no cell above BLOCK by BLOCK rows."""
     rng = random.Random(7)
     same = rng.getrandbits(42)  # the two upper bands of the first word
     values = []
-    for i in range(16_000):
+    for i in range(4_000):
         low = rng.getrandbits(214)
         values.append(same << 214 | low)
-        if i % 400 == 0:
+        if i % 100 == 0:
             values.append(values[-1] ^ rng.getrandbits(3))
-    values = list(dict.fromkeys(values))[:16_000]
+    values = list(dict.fromkeys(values))[:4_000]
     rows = spark.createDataFrame([(i, words(v)) for i, v in enumerate(values)], "item bigint, hash array<bigint>")
     cells = []
     real = dedup._triangle
@@ -77,11 +77,11 @@ def test_hashes_that_share_two_bands_meet_in_cells(spark, monkeypatch):
     for i in range(len(values)):
         bits = np.bitwise_count(order[i + 1 :] ^ order[i]).sum(axis=1)
         want |= {(i, i + 1 + int(j)) for j in np.flatnonzero(bits <= 10)}
-    assert got == want and len(want) >= 35
+    assert got == want and len(want) >= 20
     (long, key), = cells
     parts = long.groupBy(*key).agg(dedup._parts(F.count(F.lit(1))).alias("_p")).filter("_p > 1")
     sizes = long.join(parts, key).groupBy(*key, dedup._part("a", "_p")).count().agg(F.max("count"), F.count(F.lit(1))).first()
-    assert sizes[0] <= dedup.BLOCK and sizes[1] >= 2 * (len(values) // dedup.BLOCK)
+    assert sizes[0] <= dedup.BLOCK and sizes[1] >= len(values) // dedup.BLOCK
 
 
 @pytest.mark.parametrize("hot", [1, 10**9])
