@@ -195,7 +195,7 @@ register(
 
 # ------------------------------------------------------------------ visibility
 def objects(s, d) -> DataFrame:
-    return V.object_visibility(td.layer_cells(s, d), min_side=2)
+    return V.run_visibility(td.layer_runs(s, d), min_side=2)
 
 
 VISIBLE = f"""cells AS (

@@ -204,18 +204,18 @@ def screening_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def layer_cells(spark: SparkSession, sf_dir: str, cell: int = 25) -> DataFrame:
-    """(image_id, z, obj, x, y): every box snapped to a cell grid, layers in hashed order."""
+def layer_runs(spark: SparkSession, sf_dir: str, cell: int = 25) -> DataFrame:
+    """(image_id, z, obj, y, x0, x1): every box snapped to a cell grid, a run for each row; layers in hashed order."""
     # the outer form keeps Spark from adding a "not empty" filter that would hash every box again
     b = raw_boxes(spark, sf_dir)
-    span = lambda a, z: F.sequence(F.floor(F.col(a) / cell), F.floor((F.col(z) - 1) / cell))
+    first = lambda c: F.floor(F.col(c) / cell)
+    last = lambda c: F.floor((F.col(c) - 1) / cell)
     return (
         spread(b, "image_id", "box_id").select(
             "image_id", hash60(F.lit("z"), "image_id", "box_id").alias("z"), F.col("box_id").alias("obj"),
-            span("x0", "x1").alias("xs"), span("y0", "y1").alias("ys"),
+            first("x0").alias("x0"), (last("x1") + 1).alias("x1"), F.sequence(first("y0"), last("y1")).alias("ys"),
         )
-        .select("image_id", "z", "obj", "ys", F.explode_outer("xs").alias("x"))
-        .select("image_id", "z", "obj", "x", F.explode_outer("ys").alias("y"))
+        .select("image_id", "z", "obj", F.explode_outer("ys").alias("y"), "x0", "x1")
     )
 
 

@@ -144,6 +144,40 @@ def test_owner_mask(spark):
     assert set(r.obj for r in V.object_visibility(df, min_side=5, min_cells=10).collect()) == {"a"}
 
 
+def test_owner_mask_by_runs_and_by_cells(spark):
+    """Random boxes on a wide grid that starts left of zero, some of them only hiding: every cell by hand."""
+    rng = random.Random(5)
+    runs, shown = [], {}
+    for image in range(6):
+        own = {}
+        layers = rng.sample(range(100), 25)
+        for z in layers:
+            x, y, w, h = rng.randrange(-70, 200), rng.randrange(12), rng.choice([1, 5, 61, 62, 63, 150]), rng.randrange(1, 8)
+            obj = f"o{z}" if rng.random() < 0.8 else None
+            runs += [(image, z, obj, r, x, x + w) for r in range(y, y + h)]
+            shown[image, z] = [obj, w * h, []]
+            for cell in [(c, r) for c in range(x, x + w) for r in range(y, y + h)]:
+                own[cell] = max(own.get(cell, -1), z)
+        for cell, z in own.items():
+            shown[image, z][2].append(cell)
+    want = {}
+    for (image, _), (obj, n, cells) in shown.items():
+        if obj is None:
+            continue
+        box = (None,) * 4
+        if cells and len(cells) / n >= 0.35:
+            xs, ys = [c[0] for c in cells], [c[1] for c in cells]
+            if max(xs) - min(xs) >= 2 and max(ys) - min(ys) >= 2:
+                box = (min(xs), min(ys), max(xs) + 1, max(ys) + 1)
+        want[image, obj] = (n, len(cells), *box)
+    df = spark.createDataFrame(runs, "image_id int, z int, obj string, y int, x0 int, x1 int").repartition(5)
+    cells = df.selectExpr("image_id", "z", "obj", "y", "explode(sequence(x0, x1 - 1)) as x")
+    for got in (V.run_visibility(df, min_side=2), V.object_visibility(cells, min_side=2)):
+        assert {(r.image_id, r.obj): (r.n_cells, r.n_visible, r.x0, r.y0, r.x1, r.y1) for r in got.collect()} == want
+    assert any(v[2] is not None for v in want.values()) and any(v[1] == 0 for v in want.values())
+    assert V.run_visibility(df.limit(0)).count() == 0
+
+
 def test_unit_histogram_edges(spark):
     import numpy as np
 
