@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from hashlib import sha256
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.ordering import linear_bucket
 from .common import mix64, partitions
 
 GRAM = 6  # code points of a k-mer
 BINS = 64  # parts of the hash range, each with a signature of its own
 PICK = 2  # least k-mers of a part whose text order is kept
 PART_BYTES = 32 << 20
+SPLIT = 64  # buckets of ids for each stretch
+MOST = 1024  # buckets a level, two levels
 
 
 def order_minhash(text: str, gram: int = GRAM, bins: int = BINS, pick: int = PICK) -> np.ndarray:
@@ -77,37 +80,38 @@ def with_follower(docs: DataFrame) -> DataFrame:
     """Rows in stretches of ascending doc_id, each stretch followed by the first row of the next one.
 
     (part, follower, doc_id, text): within `part`, sorted, rows with `follower` only show what comes next;
-    the last stretch is followed by the first row of all. Ends of stretches come from an approximate
-    quantile of the ids; only one id a stretch comes to the driver. Null ids come last, equal ids go by the
-    hash of their text.
+    the last stretch is followed by the first row of all. Ids are counted in order-preserving buckets, some
+    SPLIT a stretch and MOST * MOST at most, and a stretch is the buckets whose rows begin within its share.
+    Nothing but the size comes to the driver; what is broadcast has a row a bucket or a stretch. Null ids come
+    last, equal ids go by the hash of their text.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
-    size, low = docs.agg(F.sum(F.octet_length("text").cast("long")), F.min(key)).first()
-    empty = low is None
+    own_id = F.col("doc_id").cast("long")
+    size, rows, high = docs.agg(F.sum(F.octet_length("text").cast("long")), F.count(F.lit(1)), F.max(own_id)).first()
     parts = max(partitions(spark), -(-(size or 0) // PART_BYTES))
-    cuts = [] if empty else docs.agg(F.percentile_approx(key, [i / parts for i in range(1, parts)] or [0.5], 100 * parts)).first()[0]
-    cuts = np.unique(np.array(cuts or [], np.int64))
-    cuts = cuts[cuts > low] if len(cuts) else cuts
-
-    @F.pandas_udf("long")
-    def stretch(keys: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, keys.to_numpy(), "right"))
-
+    buckets = min(MOST, math.ceil(math.sqrt(SPLIT * parts)))
     placed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), key.alias("key")
-    ).withColumn("part", stretch("key"))
-    least = placed.groupBy("part").agg(F.min("key").alias("least")).orderBy("part").collect()
-    before = {r.part: least[i - 1].part for i, r in enumerate(least)}
-    heads = spark.createDataFrame([(r.part, r.least, before[r.part]) for r in least], "at long, least long, before long")
+        own_id.alias("doc_id"), F.col("text").cast("string").alias("text"), F.coalesce(own_id, F.lit(2**63 - 1)).alias("key"),
+        F.coalesce(own_id, F.lit(high or 0)).alias("at"),
+    )
+    placed = linear_bucket(placed, [], "at", buckets, "bucket")
+    counts = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    # A row a bucket, so these windows are bounded as the broadcasts are.
+    before = Window.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.coalesce(F.sum("n").over(before), F.lit(0))
+    dealt = counts.withColumn("part", F.floor(begin * F.lit(parts) / F.lit(max(rows, 1))).cast("long"))
+    every = Window.partitionBy(F.lit(0))
+    heads = dealt.groupBy("part").agg(F.min("least").alias("least")).select(
+        "part", "least", F.coalesce(F.lag("part").over(every.orderBy("part")), F.max("part").over(every)).alias("before")
+    )
+    to_part = F.broadcast(dealt.select("bucket", "part").join(heads, "part"))
     own = F.struct("part", F.lit(False).alias("follower"))
     ahead = F.struct(F.col("before").alias("part"), F.lit(True).alias("follower"))
-    # One row for each stretch, so the broadcast is bounded by the number of partitions.
-    rows = placed.join(F.broadcast(heads), placed["part"] == heads["at"]).select(
+    out = placed.join(to_part, "bucket").select(
         "doc_id", "text", "key", F.explode(F.when(F.col("key") == F.col("least"), F.array(own, ahead)).otherwise(F.array(own))).alias("to")
     )
     return (
-        rows.select("to.part", "to.follower", "doc_id", "text", "key")
+        out.select("to.part", "to.follower", "doc_id", "text", "key")
         .repartition(partitions(spark), "part")
         .sortWithinPartitions("part", "follower", "key", F.xxhash64("text"))
         .select("part", "follower", "doc_id", "text")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 WINDOW = 2048
 END = 1  # id behind every document
-SHARD = 50_000  # documents packed together
+SHARD = 50_000  # pieces packed together, about
 VOCABULARY = "byte_bpe_50k.json"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -135,31 +135,42 @@ class OpenWindows:
 
 
 def best_fit_decreasing(lengths: list[int], window: int = WINDOW) -> tuple[list[int], list[int]]:
-    """(window number, offset) of each length; longest first, ties in order."""
-    where, offset = [0] * len(lengths), [0] * len(lengths)
+    """(window number, offset) of each length; longest first, ties in order. Full ones need no search."""
+    size = np.asarray(lengths, np.int64)
+    where, offset = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
+    full = np.flatnonzero(size == window)
+    where[full] = np.arange(len(full))
     free = OpenWindows(window)
-    opened = 0
-    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
-        found = free.tightest(lengths[i])
+    opened = len(full)
+    order = np.argsort(-size, kind="stable")[len(full) :]
+    for i, need in zip(order.tolist(), size[order].tolist(), strict=True):
+        found = free.tightest(need)
         if found is None:
             found, opened = (window, opened), opened + 1
         capacity, name = found
         where[i], offset[i] = name, window - capacity
-        if capacity > lengths[i]:
-            free.add(capacity - lengths[i], name)
-    return where, offset
+        if capacity > need:
+            free.add(capacity - need, name)
+    return where.tolist(), offset.tolist()
 
 
-def pack(pieces: DataFrame, documents: int, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
+def most_pieces(docs: DataFrame, window: int = WINDOW) -> int:
+    """No fewer pieces than `token_pieces` can give: an id stands for a byte at least, and one ends each document."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()
+    return rows + ((size or 0) + rows) // window
+
+
+def pack(pieces: DataFrame, count: int, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """`pieces` with sequence_id and offset: each sequence holds pieces without gaps, `window` at most.
 
-    Pieces are dealt by hash of document and start to shards of about `shard` documents, each packed by
-    best fit decreasing; a shard leaves a few windows partly open, so padding stays small at any size.
-    Windows of different shards have different ids. Columns besides length are carried along.
+    `count` is a bound on the number of pieces. They are dealt by hash of all that tells them apart to shards
+    of `shard` pieces at most on average, however long the documents are or how many share an id; each is
+    packed by best fit decreasing. A shard leaves a few windows partly open, so padding stays small at any
+    size. Windows of different shards have different ids. Columns besides length are carried along.
     """
     import pyarrow as pa
 
-    shards = max(1, -(-documents // shard))
+    shards = max(1, -(-count // shard))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
 
     def place(table: "pa.Table") -> "pa.Table":
@@ -173,9 +184,9 @@ def pack(pieces: DataFrame, documents: int, window: int = WINDOW, shard: int = S
         )
 
     place.__annotations__ = {}
-    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start"), F.lit(shards)))
+    dealt = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "doc_tokens"), F.lit(shards)))
     return dealt.groupBy("_shard").applyInArrow(place, schema + ", sequence_id long, offset long")
 
 
 def packing_report(docs: DataFrame) -> DataFrame:
-    return pack(token_pieces(docs), docs.count())
+    return pack(token_pieces(docs), most_pieces(docs))
