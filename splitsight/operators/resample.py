@@ -7,15 +7,27 @@ built from rows, never from an index array: every photograph is one draw slot pe
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions.digests import Tails, in_blocks
 from ..functions.expressions import hash60, keyed_hash, ratio
 from ..functions.ordering import FEW_ROWS, cut_slots, hash_bucket, positions
-from ..session import spread
-from .stats import AREA_LIMIT, partial_area
+from ..session import checkpointed, spread
+from .stats import AREA_LIMIT
 from .thresholds import BUDGETS, NEG, POS, detection_at_budgets, stored
 
 SCORE_BUCKETS = 128  # for each unit of score
+REACH = 7.0  # standard deviations that a range reaches to either side of what it is to hold
+SLICE = 65_536  # draw slots of a role whose draws are made together
+CHUNK = 8_192  # photographs of a role whose draws meet their scores together
+BLOCK = 25  # repetitions that are drawn together
+COLUMNS = 1 << 18  # photographs whose draws wait before equal scores become one
 
 
 def arm_scores(images: DataFrame) -> DataFrame:
@@ -55,9 +67,229 @@ def bootstrap_levels(images: DataFrame, reps: int) -> DataFrame:
     )
 
 
+def _tail(*parts) -> Column:
+    """What follows the repetition in the text of a `keyed_hash`, which leaves nulls out."""
+    text = [F.concat(F.lit("|"), p.cast("string")) for p in parts]
+    return F.concat(*[F.coalesce(t, F.lit("")) for t in text]).cast("binary")
+
+
+def _draws(sizes: dict[str, int], reps: int):
+    """Draws of one slice of a role's slots in one block of repetitions, by the photographs they fall on.
+
+    Drawn places are sorted for each repetition, so a chunk's draws are one stretch of it; a row holds those of
+    all the block's repetitions, as counts and places in the chunk.
+    """
+    blocks = -(-reps // BLOCK)
+    jobs = [(role, first, min(n, first + SLICE)) for role, n in sizes.items() for first in range(0, n, SLICE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch.column(0).to_pylist():
+                (role, first, last), block = jobs[job // blocks], job % blocks
+                todo = range(block * BLOCK, min(reps, (block + 1) * BLOCK))
+                drawn = np.empty((len(todo), last - first), np.int64)
+                tails = [f"|{role}|{i}".encode() for i in range(first, last)]
+                for at, some in in_blocks(tails):
+                    for k, rep in enumerate(todo):
+                        drawn[k, at : at + some.n] = (some.heads(b"draw|%d" % rep) >> np.uint64(4)) % np.uint64(sizes[role])
+                drawn.sort(axis=1)
+                edges = np.arange(0, sizes[role] + CHUNK, CHUNK)
+                ends = np.stack([np.searchsorted(row, edges) for row in drawn])
+                places = (drawn % CHUNK).astype("<u2")
+                rows = [[], [], []]
+                for c in np.flatnonzero((ends[:, 1:] > ends[:, :-1]).any(axis=0)):
+                    rows[0].append(int(c))
+                    rows[1].append((ends[:, c + 1] - ends[:, c]).astype("<u4").tobytes())
+                    rows[2].append(b"".join(row[x:y].tobytes() for row, x, y in zip(places, ends[:, c], ends[:, c + 1])))
+                n = len(rows[0])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([role] * n, pa.string()), pa.array(rows[0], pa.int64()), pa.array([block] * n, pa.int32()),
+                     pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
+                    names=["role", "chunk", "block", "counts", "places"],
+                )
+
+    return run, len(jobs) * blocks
+
+
+WEIGHED = "arm string, block int, role string, scores binary, weights binary, drawn binary"
+
+
+def _weigh(reps: int, floors: dict):
+    """How often each photograph of a chunk was drawn, by arm and in the order of its scores from `floors` up."""
+
+    def run(draws: pa.Table, photos: pa.Table) -> pa.Table:
+        out = {name: [] for name in ("arm", "block", "role", "scores", "weights", "drawn")}
+        place, arms, score = _entries(photos.column("scores").combine_chunks())
+        place = photos.column("place").to_numpy()[place]
+        parts = []
+        for arm, of in arms.items():
+            held = of[score[of] >= floors.get(arm, -np.inf)]  # never-fired ones are no number
+            high = held[np.argsort(-score[held], kind="stable")]
+            parts.append((arm, place[of], place[high], score[high].astype("<f8").tobytes()))
+        by_block = {}
+        for block, counts, places in zip(*(draws.column(c).to_pylist() for c in ("block", "counts", "places"))):
+            by_block.setdefault(block, []).append((np.frombuffer(counts, "<u4"), np.frombuffer(places, "<u2")))
+        role = photos.column("role")[0].as_py() if len(photos) else None
+        for block, pieces in by_block.items():
+            todo = min(reps, (block + 1) * BLOCK) - block * BLOCK
+            weight = np.zeros((todo, CHUNK), np.int64)
+            for counts, places in pieces:
+                ends = np.cumsum(counts, dtype=np.int64)
+                for k in range(todo):
+                    weight[k] += np.bincount(places[ends[k] - counts[k] : ends[k]], minlength=CHUNK)
+            small = weight.astype("<u1" if weight.max() < 256 else "<u4")
+            for arm, every, high, scores in parts:
+                out["arm"].append(arm)
+                out["block"].append(block)
+                out["role"].append(role)
+                out["scores"].append(scores)
+                out["weights"].append(small[:, high].tobytes())
+                out["drawn"].append(weight[:, every].sum(axis=1).astype("<i8").tobytes())
+        kinds = {"block": pa.int32(), "scores": pa.binary(), "weights": pa.binary(), "drawn": pa.binary()}
+        return pa.table({c: pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()})
+
+    return run
+
+
+def _merged(score: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores from the highest down, and the sums of the weights (kinds, repetitions, columns) of equal ones."""
+    order = np.argsort(-score, kind="stable")
+    score = score[order]
+    first = np.flatnonzero(np.append(True, score[1:] != score[:-1])[: len(score)])
+    if not len(first):
+        return score, weights
+    return score[first], np.add.reduceat(weights[:, :, order], first, axis=2)
+
+
+def _areas(reps: int, limit: float, floors: dict):
+    """(arm, rep, area, short) of rows of `_weigh`, sorted by arm and block: one curve for each repetition.
+
+    What is held is one count for each score level, role and repetition of a block. `short` says that the curve
+    goes on within the limit below the lowest score that was kept.
+    """
+
+    def area(hits: np.ndarray, alarms: np.ndarray, n_pos: int, n_neg: int) -> tuple[float, bool]:
+        """Levels that were not drawn add nothing: their rates are those of the level above."""
+        det, fa = (np.cumsum(w, dtype=np.int64) / max(1, n) for w, n in ((hits, n_pos), (alarms, n_neg)))
+        top = int(np.searchsorted(fa, limit, side="right"))
+        det, fa = det[:top], fa[:top]
+        if not top:
+            return 0.0, top == len(hits)
+        body = (np.diff(fa, prepend=0.0) * (det + np.append(0.0, det[:-1])) / 2).sum()
+        return (body + (limit - fa[-1]) * det[-1]) / limit, top == len(hits)
+
+    def curves(arm, block: int, weights: np.ndarray, drawn: np.ndarray) -> pd.DataFrame:
+        some = np.flatnonzero(drawn.sum(axis=0))
+        got = [area(weights[0, k], weights[1, k], drawn[0, k], drawn[1, k]) for k in some]
+        return pd.DataFrame({
+            "arm": pd.Series([arm] * len(some), dtype=object), "rep": block * BLOCK + some, "area": np.array([a for a, _ in got], float),
+            "short": np.array([s and arm in floors for _, s in got], bool),
+        })
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, score, weights, drawn, waiting, columns = None, None, None, None, [], 0
+
+        def settle():
+            nonlocal score, weights, waiting, columns
+            if waiting:
+                wide = np.zeros((2, weights.shape[1], columns), np.int32)
+                at = 0
+                for kind, _, w in waiting:
+                    wide[kind, :, at : at + w.shape[1]] = w
+                    at += w.shape[1]
+                every = np.concatenate([score, *[s for _, s, _ in waiting]])
+                score, weights = _merged(every, np.concatenate((weights, wide), axis=2))
+                waiting, columns = [], 0
+
+        for batch in batches:
+            for arm, block, role, scores, part, total in batch.itertuples(index=False, name=None):
+                if key != (arm, block):
+                    if key is not None:
+                        settle()
+                        yield curves(*key, weights, drawn)
+                    key, rows = (arm, block), min(reps, (block + 1) * BLOCK) - block * BLOCK
+                    score, weights, drawn = np.zeros(0), np.zeros((2, rows, 0), np.int32), np.zeros((3, rows), np.int64)
+                kind = {POS: 0, NEG: 1}.get(role, 2)
+                drawn[kind] += np.frombuffer(total, "<i8")
+                levels = np.frombuffer(scores, "<f8")
+                if kind < 2 and len(levels):
+                    w = np.frombuffer(part, "<u1" if len(part) == rows * len(levels) else "<u4")
+                    waiting.append((kind, levels, w.reshape(rows, len(levels))))
+                    columns += len(levels)
+                    if columns > max(COLUMNS, len(score)):
+                        settle()
+        if key is not None:
+            settle()
+            yield curves(*key, weights, drawn)
+
+    return run
+
+
+def _score_levels(photos: DataFrame) -> DataFrame:
+    """(arm, score, n, n_arm, upto): negatives at each score, of the arm, and from the highest score down to here."""
+    levels = photos.select(F.explode("scores").alias("s")).groupBy("s.arm", "s.score").agg(F.count(F.lit(1)).alias("n"))
+    whole = levels.groupBy("arm").agg(F.sum("n").alias("n_arm"))
+    down = Window.partitionBy("arm").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    met = F.col("arm").eqNullSafe(F.col("_arm"))
+    return levels.withColumn("upto", F.sum("n").over(down)).join(
+        F.broadcast(whole.withColumnRenamed("arm", "_arm")), met  # one row per arm
+    ).drop("_arm")
+
+
+def _lowest_scores(photos: DataFrame, limit: float) -> dict:
+    """The score of each arm down to which its negatives outnumber, in any resample, the false alarms in question.
+
+    Arms whose negatives do not have that many scores are left out.
+    """
+    neg = photos.filter(F.col("role") == NEG)
+    most = neg.agg(F.max(_repeats("scores"))).first()[0] or 1
+    alarms = F.lit(limit) * F.col("n_arm")
+    wanted = alarms + F.lit(REACH) * F.sqrt(alarms * F.lit(most)) + 10 * most
+    enough = _score_levels(neg).filter((F.col("upto") >= wanted) & F.col("score").isNotNull())
+    return {r.arm: r.score for r in enough.groupBy("arm").agg(F.max("score").alias("score")).collect()}
+
+
+def _entries(lists: pa.Array) -> tuple[np.ndarray, dict, np.ndarray]:
+    """(row, rows of each arm, score) of the single scores of a column of photographs' scores."""
+    flat = pc.list_flatten(lists)
+    row = pc.list_parent_indices(lists).to_numpy()
+    score = flat.field("score").to_numpy(zero_copy_only=False).astype(float)
+    codes = pc.dictionary_encode(flat.field("arm"), null_encoding="encode")
+    of = codes.indices.to_numpy()
+    return row, {arm: np.flatnonzero(of == k) for k, arm in enumerate(codes.dictionary.to_pylist())}, score
+
+
 def area_bootstrap(images: DataFrame, reps: int = 2000, limit: float = AREA_LIMIT) -> DataFrame:
-    """(arm, reps, low, high): percentile interval of the partial area."""
-    areas = partial_area(bootstrap_levels(images, reps), ["arm", "rep"], limit)
+    """(arm, reps, low, high): percentile interval of the partial area.
+
+    The draws of `bootstrap_levels`, hashed on arrays and shuffled as two bytes each to the photographs they fall
+    on; from there an arm gets one count for each of its photographs and repetition, in the order of scores. Only
+    scores are counted down to which the curve matters; a curve that goes on below has all of them counted anew.
+    """
+    keyed = arm_scores(images).withColumn("_key", keyed_hash(F.lit("boot"), "image_id"))
+    placed = checkpointed(
+        positions(keyed.withColumn("_bkt", hash_bucket(F.col("_key"))), ["role"], ["_key", "image_id"])
+        .filter(F.col("role").isNotNull())
+        .select("role", F.floor(F.col("pos") / CHUNK).alias("chunk"), (F.col("pos") % CHUNK).cast("int").alias("place"), "scores")
+    )
+    spark = images.sparkSession
+    sizes = {r.role: r.n for r in placed.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per role
+    draw, jobs = _draws(sizes, reps)
+    floors = _lowest_scores(placed, limit)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = spark.range(0, jobs, 1, max(1, min(jobs, 16 * n))).mapInArrow(
+        draw, "role string, chunk bigint, block int, counts binary, places binary"
+    )
+    for lowest in (floors, {}):
+        weighed = (
+            spread(drawn, "role", "chunk").groupBy("role", "chunk")
+            .cogroup(spread(placed, "role", "chunk").groupBy("role", "chunk"))
+            .applyInArrow(_weigh(reps, lowest), WEIGHED)
+        )
+        curves = spread(weighed, "arm", "block").sortWithinPartitions("arm", "block")
+        areas = checkpointed(curves.mapInPandas(_areas(reps, limit, lowest), "arm string, rep bigint, area double, short boolean"))
+        if areas.filter("short").isEmpty():
+            break
     return areas.groupBy("arm").agg(
         F.count(F.lit(1)).alias("reps"),
         F.percentile("area", F.lit(0.025)).alias("low"),
@@ -65,6 +297,12 @@ def area_bootstrap(images: DataFrame, reps: int = 2000, limit: float = AREA_LIMI
     )
 
 
+def _repeats(scores: str) -> Column:
+    """At most so many of a photograph's scores are of one arm."""
+    arms = F.transform(scores, lambda s: s["arm"])
+    return F.size(arms) - F.size(F.array_distinct(arms)) + 1
+
+
 def calibration_halves(images: DataFrame, reps: int) -> DataFrame:
     """(rep, image_id, scores, slot): negatives in a random order per repetition, cut in half.
 
@@ -138,6 +376,221 @@ def conformal_cuts(halves: DataFrame, targets: list[float], few: bool = False) -
     )
 
 
+MARKED = "kind int, arm string, k int, score double, rep int, counts binary"
+BELOW, UNSURE, CALIBRATES, LEVEL = range(4)
+
+
+def _mark(reps: int, n_targets: int, low: int, high: int, ranges: dict):
+    """One hash a photograph and repetition: which calibrate, counted by arm and, where a cut can lie, by score.
+
+    A key below `low` is in the calibration half for certain, one above `high` is held out; photographs with a key
+    in between go on as rows. Scores above the range of a target are counted as one infinite score.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, unsure = np.zeros(reps, np.int64), np.zeros(reps, np.int64)
+        sums, kinds = {}, None
+        whole = lambda x: x.astype("<i8").tobytes()
+
+        def table(rows: list[tuple], photos: tuple | None = None) -> pa.RecordBatch:
+            cols = list(zip(*rows)) if rows else [()] * 6
+            types = (pa.int32(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.binary())
+            arrays = [pa.array(c, t) for c, t in zip(cols, types)]
+            more = [pa.nulls(len(rows), t) for t in kinds] if photos is None else list(photos)
+            return pa.RecordBatch.from_arrays([*arrays, *more], names=["kind", "arm", "k", "score", "rep", "counts", "image_id", "scores"])
+
+        for batch in batches:
+            photo, lists = batch.column("image_id"), batch.column("scores")
+            kinds = photo.type, lists.type
+            for first, tails in in_blocks(batch.column("tail").to_pylist()):
+                mark = np.empty((reps, tails.n), bool)
+                for rep in range(reps):
+                    key = tails.heads(b"half|%d" % rep)
+                    mark[rep] = key < low
+                    open_ = np.flatnonzero((key >= low) & (key <= high))
+                    unsure[rep] += len(open_)
+                    if len(open_):
+                        at = pa.array(first + open_)
+                        yield table([(UNSURE, None, None, None, rep, None)] * len(open_), (photo.take(at), lists.take(at)))
+                below += mark.sum(axis=1)
+                row, arms, score = _entries(lists.slice(first, tails.n))
+                count = lambda of: mark @ np.bincount(row[of], minlength=tails.n).astype(np.float32)
+                levels = []
+                for arm, of in arms.items():
+                    sums[arm, None] = sums.get((arm, None), 0) + count(of)
+                    for k in range(n_targets):
+                        top, bottom = ranges[arm][k]
+                        sums[arm, k] = sums.get((arm, k), 0) + count(of[score[of] > top])
+                        inside = of[(score[of] <= top) & (score[of] >= bottom)]
+                        inside = inside[np.argsort(-score[inside], kind="stable")]
+                        held = score[inside]
+                        starts = np.flatnonzero(np.append(True, held[1:] != held[:-1])[: len(held)])
+                        if len(starts):
+                            each = np.add.reduceat(mark[:, row[inside]], starts, axis=1, dtype=np.int64)
+                            levels += [(LEVEL, arm, k, float(held[x]), None, whole(each[:, i])) for i, x in enumerate(starts)]
+                for at in range(0, len(levels), 1000):
+                    yield table(levels[at : at + 1000])
+        if kinds:
+            rows = [(BELOW, None, None, None, None, whole(below)), (UNSURE, None, None, None, None, whole(unsure))]
+            for (arm, k), counts in sums.items():
+                kind = (CALIBRATES, arm, None, None) if k is None else (LEVEL, arm, k, float("inf"))
+                rows.append((*kind, None, whole(counts)))
+            yield table(rows)
+
+    return run
+
+
+def _find_cuts(reps: int, targets: list[float], arms: dict):
+    """(arm, rep, target, cut, held_alerts, n_held): a walk down the levels of every arm and target.
+
+    What is held is a few numbers for each repetition.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key = None
+
+        def begin():
+            nonlocal cal, cuts, alerts, upto, every, found, now, here, total
+            cal, cuts, alerts = np.zeros(reps, np.int64), np.full(reps, np.inf), np.zeros(reps, np.int64)
+            upto, every, found = np.zeros(reps, np.int64), 0, np.zeros(reps, bool)
+            now, here, total = None, np.zeros(reps, np.int64), 0
+
+        def wanted():
+            m = np.floor(targets[key[1]] * (cal + 1).astype(float)) - 1
+            return m, (m >= 0) & (m < cal)
+
+        def level():
+            """Close the level that was being read."""
+            nonlocal upto, every, here, total
+            m, exists = wanted()
+            hit = exists & ~found & (m >= upto) & (m < upto + here)
+            if hit.any() and now == np.inf:
+                raise RuntimeError("a range of scores misses its cut")
+            cuts[hit], alerts[hit], found[hit] = now, every - upto[hit], True
+            upto, every = upto + here, every + total
+            here, total = np.zeros(reps, np.int64), 0
+
+        def done() -> pd.DataFrame:
+            level()
+            if (wanted()[1] & ~found).any():
+                raise RuntimeError("a range of scores misses its cut")
+            return pd.DataFrame({
+                "arm": pd.Series([key[0]] * reps, dtype=object), "rep": np.arange(reps), "target": targets[key[1]], "cut": cuts,
+                "held_alerts": alerts, "n_held": arms[key[0]] - cal,
+            })
+
+        cal = cuts = alerts = upto = every = found = now = here = total = None
+        for batch in batches:
+            for arm, k, kind, score, n, counts, which, many in batch.itertuples(index=False, name=None):
+                if key != (arm, k):
+                    if key is not None:
+                        yield done()
+                    key = arm, k
+                    begin()
+                got = np.zeros(reps, np.int64) if counts is None else np.frombuffer(counts, "<i8").copy()
+                if which is not None and len(which):
+                    got[which] += many
+                if kind == CALIBRATES:
+                    cal += got
+                    continue
+                if now is not None and score != now:
+                    level()
+                now, here, total = score, here + got, total + n
+        if key is not None:
+            yield done()
+
+    return run
+
+
+def split_cuts(images: DataFrame, reps: int, targets: list[float]) -> DataFrame:
+    """`conformal_cuts(calibration_halves(images, reps), targets)` by one hash for each negative and repetition.
+
+    With n negatives the key that ends the calibration half lies near the half of all keys, and a cut near its
+    rank among all scores, both by a few square roots of n. So keys and scores are compared with ranges, counted,
+    and only the few in a range are looked at one by one. A range that misses is seen by its counts, and the
+    halves are then sorted after all.
+    """
+    spark = images.sparkSession
+    photos = arm_scores(images.filter(F.col("role") == NEG)).select(
+        "image_id", _tail(F.col("image_id")).alias("tail"),
+        F.transform("scores", lambda s: F.struct(s["arm"].alias("arm"), F.coalesce(s["score"], F.lit(-1.0)).alias("score"))).alias("scores"),
+    )
+    photos = checkpointed(photos)
+    n, most = photos.agg(F.count(F.lit(1)), F.max(_repeats("scores"))).first()
+    schema = "arm string, rep bigint, target double, cut double, held_alerts bigint, n_held bigint"
+    if not n:
+        return spark.createDataFrame([], schema)
+    levels = checkpointed(_score_levels(photos))
+    ends = []
+    for k, t in enumerate(targets):
+        at = F.lit(float(t)) * F.col("n_arm")
+        margin = F.lit(REACH) * F.sqrt(F.greatest(at, F.lit(0.0)) * F.lit(most)) + 10 * most
+        ends += [
+            F.max(F.when(F.col("upto") > at - margin, F.col("score"))).alias(f"top{k}"),
+            F.min(F.when(F.col("upto") - F.col("n") < at + margin, F.col("score"))).alias(f"bottom{k}"),
+        ]
+    inf = float("inf")
+    known = levels.groupBy("arm").agg(F.max("n_arm").alias("n_arm"), *ends).collect()  # one row per arm
+    ranges = {
+        r.arm: [tuple(x if x is not None else inf for x in (r[f"top{k}"], r[f"bottom{k}"])) for k in range(len(targets))] for r in known
+    }
+    half = n // 2
+    width = REACH / 2 / n**0.5 + 4 / n
+    low, high = (int(max(0.0, min(1.0, half / n + side)) * 2**64) for side in (-width, width))
+    low, high = min(low, 2**64 - 1), min(high, 2**64 - 1)
+    kinds = {f.name: f.dataType.simpleString() for f in photos.schema}
+    made = checkpointed(spread(photos, "image_id").mapInArrow(
+        _mark(reps, len(targets), low, high, ranges), f"{MARKED}, image_id {kinds['image_id']}, scores {kinds['scores']}"
+    ))
+    # one row a task, with a number for each repetition
+    counted = made.filter(F.col("counts").isNotNull() & F.col("kind").isin(BELOW, UNSURE)).select("kind", "counts").collect()
+    below, unsure = (sum((np.frombuffer(r.counts, "<i8") for r in counted if r.kind == kind), np.zeros(reps, np.int64)) for kind in (BELOW, UNSURE))
+    need = half - below
+    if (need < 0).any() or (need > unsure).any():
+        return conformal_cuts(calibration_halves(images, reps), targets)
+    needs = F.broadcast(spark.createDataFrame([(rep, int(x)) for rep, x in enumerate(need)], "rep int, need bigint"))  # one row per repetition
+    order = Window.partitionBy("rep").orderBy(keyed_hash(F.lit("half"), "rep", "image_id"), "image_id")
+    between = (
+        made.filter((F.col("kind") == UNSURE) & F.col("counts").isNull()).select("rep", "image_id", "scores")
+        .withColumn("_nth", F.row_number().over(order)).join(needs, "rep").filter("_nth <= need")
+        .select("rep", F.explode("scores").alias("s")).select("s.arm", "rep", "s.score")
+    )
+    spans = spark.createDataFrame(
+        [(arm, k, *span) for arm, of in ranges.items() for k, span in enumerate(of)], "_arm string, k int, top double, bottom double"
+    )
+
+    def in_range(rows: DataFrame) -> DataFrame:
+        met = F.col("arm").eqNullSafe(F.col("_arm"))
+        asked = rows.join(F.broadcast(spans), met).filter("score >= least(bottom, top)")  # one row per arm and target
+        return asked.withColumn("score", F.when(F.col("score") > F.col("top"), F.lit(inf)).otherwise(F.col("score"))).drop("_arm", "top", "bottom")
+
+    def listed(rows: DataFrame, keys: list[str]) -> DataFrame:
+        each = rows.groupBy(*keys, "rep").agg(F.count(F.lit(1)).alias("n"))
+        return each.groupBy(*keys).agg(F.collect_list(F.struct("rep", "n")).alias("got"))
+
+    empty = {"score": "double", "n": "bigint", "counts": "binary", "which": "array<int>", "many": "array<bigint>"}
+
+    def rows(df: DataFrame, kind: int) -> DataFrame:
+        missing = [F.lit(0 if c == "n" else None).cast(t).alias(c) for c, t in empty.items() if c not in df.columns]
+        return df.select("*", F.lit(kind).alias("kind"), *missing).select("arm", "k", "kind", *empty)
+
+    unlisted = lambda df: df.withColumns({"which": F.col("got.rep"), "many": F.col("got.n")}).drop("got")
+    each_target = F.explode(F.sequence(F.lit(0), F.lit(len(targets) - 1))).alias("k")
+    certain = made.filter(F.col("kind") == CALIBRATES).select("arm", each_target, "counts")
+    parts = [
+        rows(certain, CALIBRATES),
+        rows(unlisted(listed(between, ["arm"])).select("arm", each_target, "which", "many"), CALIBRATES),
+        rows(made.filter(F.col("kind") == LEVEL).select("arm", "k", "score", "counts"), LEVEL),
+        rows(unlisted(listed(in_range(between), ["arm", "k", "score"])), LEVEL),
+        rows(in_range(levels.select("arm", "score", "n")).groupBy("arm", "k", "score").agg(F.sum("n").alias("n")), LEVEL),
+    ]
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    walked = spread(every, "arm", "k").sortWithinPartitions("arm", "k", "kind", F.desc("score"))
+    return walked.mapInPandas(_find_cuts(reps, list(targets), {r.arm: r.n_arm for r in known}), schema)
+
+
 def conformal_alerts(images: DataFrame, halves: DataFrame, target: float) -> DataFrame:
     """(arm, image_id, role, alert) for every positive and every held-out negative, one split."""
     cuts = conformal_cuts(halves, [target]).select("arm", "cut")
@@ -159,7 +612,7 @@ def conformal_rates(
     Positives above each cut are counted by merging the cuts into the arm's distinct positive
     scores and summing once from the top, so no cut is compared with a photograph.
     """
-    cuts = conformal_cuts(calibration_halves(images, reps), targets, few=reps * len(targets) <= 10_000)
+    cuts = split_cuts(images, reps, targets)
     zero = F.lit(0).cast("bigint")
     pos = (
         images.filter(F.col("role") == POS)
