@@ -6,7 +6,7 @@ crowded image never meet. Greedy matching takes the certain pairs in a round and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions.expressions import iou, ratio, round_to
 from ..functions.ordering import beside, exact_quantiles
@@ -191,73 +191,57 @@ def best_box_f1(flagged: DataFrame, n_truth: DataFrame, by: list[str]) -> DataFr
 
 
 # ------------------------------------------------------------------ localisation
-TILE = 8
+def gathered(cells: DataFrame) -> DataFrame:
+    """(image_id, grid) of cells (image_id, y, x, v): the cells of an image in one array."""
+    return cells.groupBy("image_id").agg(F.collect_list(F.struct("y", "x", "v")).alias("grid"))
 
 
-def _inside(points: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Points (image_id, y, x, ...) that lie in at least one box of their image.
-
-    Boxes are whole-cell ranges [cx0, cx1) x [cy0, cy1), spread over coarse tiles so the range
-    test is only made inside a tile.
-    """
-    span = lambda a, b: F.sequence(F.floor(F.col(a) / TILE), F.floor((F.col(b) - 1) / TILE))
-    tiles = boxes.filter("cx1 > cx0 and cy1 > cy0").withColumn("_tx", F.explode_outer(span("cx0", "cx1"))).withColumn(
-        "_ty", F.explode_outer(span("cy0", "cy1"))
-    )
-    p = points.withColumn("_tx", F.floor(F.col("x") / TILE)).withColumn(
-        "_ty", F.floor(F.col("y") / TILE)
-    ).alias("p")
-    t = tiles.alias("t")
-    cond = (
-        (F.col("p.image_id") == F.col("t.image_id"))
-        & (F.col("p._tx") == F.col("t._tx"))
-        & (F.col("p._ty") == F.col("t._ty"))
-        & (F.col("p.x") >= F.col("cx0")) & (F.col("p.x") < F.col("cx1"))
-        & (F.col("p.y") >= F.col("cy0")) & (F.col("p.y") < F.col("cy1"))
-    )
-    return p.join(t, cond, "left_semi").drop("_tx", "_ty")
-
-
-def localisation(cells: DataFrame, boxes: DataFrame, tops: DataFrame, size: int, step: float = 1.0) -> DataFrame:
+def localisation(grids: DataFrame, boxes: DataFrame, tops: DataFrame, size: int, step: float = 1.0) -> DataFrame:
     """(image_id, area, energy, peak_in, top_in) for every image that has a box.
 
-    cells: (image_id, y, x, v) saliency of a size x size grid whose cells are `step` pixels wide;
-    boxes: pixel boxes; tops: (image_id, cy, cx) the top location in pixels.
+    grids: (image_id, grid) with the saliency cells (y, x, v) of an image in one array, or in several; a grid has
+    size x size cells that are `step` pixels wide. boxes: pixel boxes; tops: (image_id, cy, cx) the top location
+    in pixels.
+
+    Boxes and tops go to their image's row, where each cell is compared with the boxes: no cell is shuffled or
+    sorted, and grids that were dealt by image_id stay where they are.
     """
-    lo = lambda c: F.floor(F.col(c) / F.lit(step))
-    hi = lambda c: F.ceil(F.col(c) / F.lit(step))
-    ranges = boxes.select(
-        "image_id", lo("x0").alias("cx0"), hi("x1").alias("cx1"), lo("y0").alias("cy0"), hi("y1").alias("cy1")
-    )
-    whole = cells.groupBy("image_id").agg(
-        F.sum("v").alias("all_v"),
-        F.count(F.lit(1)).alias("all_n"),
-        F.max(F.struct("v", (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx"))).alias("peak"),
-    )
-    labelled = whole.join(ranges.select("image_id").distinct(), "image_id", "left_semi")
-    inner = _inside(cells, ranges).groupBy("image_id").agg(
-        F.sum("v").alias("in_v"), F.count(F.lit(1)).alias("in_n")
-    )
-    peaks = _inside(
-        labelled.select("image_id", (-F.col("peak.ny")).alias("y"), (-F.col("peak.nx")).alias("x")), ranges
-    ).select("image_id", F.lit(True).alias("peak_hit"))
+    lo = lambda c: F.floor(F.col(c) / F.lit(step)).alias(f"c{c}")
+    hi = lambda c: F.ceil(F.col(c) / F.lit(step)).alias(f"c{c}")
     clip = lambda c: F.least(F.floor(F.col(c) / F.lit(step)), F.lit(size - 1))
-    top = _inside(
-        tops.select("image_id", clip("cy").alias("y"), clip("cx").alias("x")), ranges
-    ).select("image_id", F.lit(True).alias("top_hit"))
-    lit = F.col("all_v") > 0
-    return (
-        labelled.join(inner, "image_id", "left")
-        .join(peaks, "image_id", "left")
-        .join(top, "image_id", "left")
+    images = boxes.groupBy("image_id").agg(F.collect_list(F.struct(lo("x0"), hi("x1"), lo("y0"), hi("y1"))).alias("ranges"))
+    at = tops.groupBy("image_id").agg(F.collect_list(F.struct(clip("cy").alias("y"), clip("cx").alias("x"))).alias("tops"))
+
+    def inside(cell: Column) -> Column:
+        reached = F.exists(
+            "ranges",
+            lambda r: (cell["x"] >= r["cx0"]) & (cell["x"] < r["cx1"]) & (cell["y"] >= r["cy0"]) & (cell["y"] < r["cy1"]),
+        )
+        return F.coalesce(reached, F.lit(False))
+
+    total = lambda cells: F.aggregate(cells, F.lit(0.0), lambda acc, c: acc + F.coalesce(c["v"], F.lit(0.0)))
+    peak = F.array_max(F.transform("grid", lambda c: F.struct(c["v"].alias("v"), (-c["y"]).alias("ny"), (-c["x"]).alias("nx"))))
+    rows = (
+        grids.join(images.join(at, "image_id", "left").hint("shuffle_hash"), "image_id")
+        .select("image_id", "ranges", "tops", "grid", F.filter("grid", inside).alias("inner"))
         .select(
-            "image_id",
-            ratio(F.coalesce("in_n", F.lit(0)), "all_n").alias("area"),
-            F.when(lit, F.coalesce("in_v", F.lit(0.0)) / F.col("all_v")).otherwise(0.0).alias("energy"),
-            (lit & F.coalesce("peak_hit", F.lit(False))).alias("peak_in"),
-            F.coalesce("top_hit", F.lit(False)).alias("top_in"),
+            "image_id", "ranges", "tops", peak.alias("peak"), F.size("grid").alias("all_n"), F.size("inner").alias("in_n"),
+            total(F.col("grid")).alias("all_v"), total(F.col("inner")).alias("in_v"),
+        )
+        .groupBy("image_id").agg(
+            F.sum("all_n").alias("all_n"), F.sum("in_n").alias("in_n"), F.sum("all_v").alias("all_v"), F.sum("in_v").alias("in_v"),
+            F.max("peak").alias("peak"), F.first("ranges").alias("ranges"), F.first("tops").alias("tops"),
         )
     )
+    lit = F.col("all_v") > 0
+    peak_in = inside(F.struct((-F.col("peak.ny")).alias("y"), (-F.col("peak.nx")).alias("x")))
+    return rows.select(
+        "image_id",
+        ratio("in_n", "all_n").alias("area"),
+        F.when(lit, F.col("in_v") / F.col("all_v")).otherwise(0.0).alias("energy"),
+        (lit & peak_in).alias("peak_in"),
+        F.coalesce(F.exists("tops", inside), F.lit(False)).alias("top_in"),
+    )
 
 
 def localisation_summary(rows: DataFrame) -> DataFrame:
