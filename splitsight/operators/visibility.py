@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import ratio, round_to
 from ..functions.ordering import beside, exact_quantiles
-from ..session import checkpointed
+from ..session import checkpointed, spread
 
 MIN_VISIBLE = 0.35
 FULLY_VISIBLE = 0.999
 BINS = 40
 WIDTH = 62  # cells of a row in one number, its sign left out
+BAND = 32  # rows of an image that are dealt together
 
 
 def _bit(at: Column) -> Column:
@@ -28,12 +29,13 @@ def cell_masks(cells: DataFrame) -> DataFrame:
 def run_masks(runs: DataFrame) -> DataFrame:
     """The same of row runs (image_id, z, obj, y, x0, x1), x1 exclusive; runs of one object do not overlap.
 
-    No cell is listed: a run is one row for every WIDTH cells that it reaches.
+    No cell is listed: a run is one row for every WIDTH cells that it reaches. A column `band` is kept.
     """
+    band = [c for c in runs.columns if c == "band"]
     tiles = F.sequence(F.floor(F.col("x0") / WIDTH), F.floor((F.col("x1") - 1) / WIDTH))
     cut = runs.filter("x1 > x0").withColumn("tile", F.explode(tiles))
     inside = lambda c: F.least(F.greatest(F.col(c) - F.col("tile") * WIDTH, F.lit(0)), F.lit(WIDTH))
-    return cut.select("image_id", "z", "obj", "y", "tile", (_bit(inside("x1")) - _bit(inside("x0"))).alias("mask"))
+    return cut.select(*band, "image_id", "z", "obj", "y", "tile", (_bit(inside("x1")) - _bit(inside("x0"))).alias("mask"))
 
 
 def _highest(mask: Column) -> Column:
@@ -55,8 +57,11 @@ def mask_visibility(
 
     Layers of a stretch of a row go from the top: what a mask shows is itself without all masks
     above it, one running bitwise or. The stack on a stretch is a sorted stream that spills, so a
-    crowded image is spread over its rows and tiles, and sums are combined before they are shuffled.
+    crowded image is spread over its bands of rows, and sums are combined before they are shuffled. Rows that
+    come dealt by image and `band`, the number of their BAND rows, are not shuffled again.
     """
+    if "band" not in masks.columns:
+        masks = spread(masks.withColumn("band", F.floor(F.col("y") / BAND)), "image_id", "band")
     if min_cells > 1:
         placed = (
             masks.filter("obj is not null").groupBy("image_id", "z").agg(F.sum(F.bit_count("mask")).alias("_n"))
@@ -66,7 +71,7 @@ def mask_visibility(
             masks.filter("obj is not null").join(placed, ["image_id", "z"], "left_semi").select(*masks.columns)
         )
     above = (
-        Window.partitionBy("image_id", "y", "tile").orderBy(F.desc("z"), "obj").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("image_id", "band", "y", "tile").orderBy(F.desc("z"), "obj").rowsBetween(Window.unboundedPreceding, -1)
     )
     hidden = F.coalesce(F.bit_or("mask").over(above), F.lit(0).cast("bigint"))
     seen = F.col("seen")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import HASH_SIDE, difference_hash, hash32, hash60
+from ..operators.visibility import BAND
 from ..session import spread
 
 ARMS = ["m0", "m1", "m2", "m3"]
@@ -205,27 +206,35 @@ def screening_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def layer_runs(spark: SparkSession, sf_dir: str, cell: int = 25) -> DataFrame:
-    """(image_id, z, obj, y, x0, x1): every box snapped to a cell grid, a run for each row; layers in hashed order."""
+    """(image_id, band, z, obj, y, x0, x1): every box snapped to a cell grid, a run for each row; layers in hashed order.
+
+    Boxes are dealt by image and band of rows, once for each band that they reach, before their runs are listed.
+    """
     # the outer form keeps Spark from adding a "not empty" filter that would hash every box again
     b = raw_boxes(spark, sf_dir)
     first = lambda c: F.floor(F.col(c) / cell)
     last = lambda c: F.floor((F.col(c) - 1) / cell)
+    snapped = b.select(
+        "image_id", F.col("box_id").alias("obj"), first("x0").alias("x0"), (last("x1") + 1).alias("x1"),
+        first("y0").alias("y0"), last("y1").alias("y1"),
+    )
+    bands = F.sequence(F.floor(F.col("y0") / BAND), F.floor(F.col("y1") / BAND))
+    ys = F.sequence(F.greatest("y0", F.col("band") * BAND), F.least("y1", F.col("band") * BAND + (BAND - 1)))
     return (
-        spread(b, "image_id", "box_id").select(
-            "image_id", hash60(F.lit("z"), "image_id", "box_id").alias("z"), F.col("box_id").alias("obj"),
-            first("x0").alias("x0"), (last("x1") + 1).alias("x1"), F.sequence(first("y0"), last("y1")).alias("ys"),
-        )
-        .select("image_id", "z", "obj", F.explode_outer("ys").alias("y"), "x0", "x1")
+        spread(snapped.withColumn("band", F.explode_outer(bands)), "image_id", "band")
+        .select("image_id", "band", hash60(F.lit("z"), "image_id", "obj").alias("z"), "obj", "x0", "x1", ys.alias("ys"))
+        .select("image_id", "band", "z", "obj", F.explode_outer("ys").alias("y"), "x0", "x1")
     )
 
 
 def saliency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, y, x, v): a 10 x 10 grid per positive photograph, one cell is 64 pixels."""
-    ten = F.sequence(F.lit(0), F.lit(9))
-    return (
-        photo_roles(spark, sf_dir)
-        .filter("role = 'pos_test'")
-        .select("image_id", F.explode(ten).alias("y"))
-        .select("image_id", "y", F.explode(ten).alias("x"))
-        .withColumn("v", unit(F.lit("sal"), "image_id", "x", "y"))
+    """(image_id, grid): a 10 x 10 grid of (y, x, v) per positive photograph, one cell is 64 pixels.
+
+    Photographs are dealt before their cells are made, so that no cell is shuffled.
+    """
+    photos = spread(photo_roles(spark, sf_dir).filter("role = 'pos_test'").select("image_id"), "image_id")
+    cells = F.array(*[F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in range(10) for x in range(10)])
+    value = lambda c: unit(F.lit("sal"), F.col("image_id"), c["x"], c["y"])
+    return photos.select(
+        "image_id", F.transform(cells, lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"), value(c).alias("v"))).alias("grid")
     )

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from splitsight.operators import audit as U, dedup as Q, draws as D, visibility as V
+from splitsight.sources import testdata as td
 
 
 def items(spark, sizes):
@@ -185,3 +186,15 @@ def test_unit_histogram_edges(spark):
     df = spark.createDataFrame([(v,) for v in vals], "phi double")
     got = [r.n for r in V.unit_histogram(df, "phi").orderBy("bin").collect()]
     assert got == list(np.histogram(vals, bins=np.linspace(0, 1, 41))[0])
+
+
+def test_runs_are_dealt_once_and_bands_change_nothing(spark, monkeypatch):
+    """Boxes are shuffled before their runs are listed; what is shuffled after is one row for each object and band."""
+    sf = "/root/testdata/sf0.001"
+    objects = V.run_visibility(td.layer_runs(spark, sf), min_side=2)
+    assert objects._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    want = sorted(map(str, objects.collect()))
+    for module in (V, td):
+        monkeypatch.setattr(module, "BAND", 2)
+    for runs in (td.layer_runs(spark, sf), td.layer_runs(spark, sf).drop("band")):
+        assert sorted(map(str, V.run_visibility(runs, min_side=2).collect())) == want
