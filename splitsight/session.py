@@ -58,3 +58,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     before the rows multiply; hashing by key keeps retried tasks deterministic.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+TASK_ROWS = 250_000  # rows that a task sorts and combines at once
+
+
+def spread_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """Hash a table of about `rows` rows over parts of about TASK_ROWS, where it has more of these than cores.
+
+    Adaptive execution merges partitions up to 64 MB as shuffled, and a session may have few of them; sorted and
+    combined, these rows take twenty times as much. Here what a task holds does not grow with the table. Smaller
+    tables are left to adaptive execution, which gives every core a part.
+    """
+    parts = -(-rows // TASK_ROWS)
+    return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df

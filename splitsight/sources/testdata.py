@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.expressions import HASH_SIDE, difference_hash, hash32, hash60
 from ..operators.visibility import BAND
-from ..session import spread
+from ..session import spread, spread_rows
 
 ARMS = ["m0", "m1", "m2", "m3"]
 ROLES = ["pos_test", "neg_test"]
@@ -81,7 +81,10 @@ def confidence_of(u: Column, role: Column) -> Column:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(image_id, arm, role, conf) only: the columns the threshold operators read."""
+    """(image_id, arm, role, conf) only: the columns the threshold operators read.
+
+    Dealt by image_id in parts of bounded size, which the rollup to photographs keeps.
+    """
     li = table(spark, sf_dir, "lineitem").select(*LINE_KEY)
     u = unit(F.lit("conf"), *LINE_KEY)
     rows = li.select(
@@ -89,7 +92,7 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("m"), (F.col("l_suppkey") % 4).cast("string")).alias("arm"),
         u.alias("u"),
     )
-    return rows.join(photo_roles(spark, sf_dir), "image_id").select(
+    return spread_rows(rows, li.count(), "image_id").join(photo_roles(spark, sf_dir), "image_id").select(
         "image_id", "arm", "role", confidence_of(F.col("u"), F.col("role")).alias("conf")
     )
 

@@ -61,3 +61,31 @@ def test_split_summary(spark):
     df = spark.createDataFrame([("bg", "a", "1"), ("bg", "b", "2"), ("pool", "a", "3")], "role string, category string, path string")
     r = K.split_summary(df, 0).first()
     assert r.counts == {"bg": 2, "pool": 1} and r.categories == ["a", "b"]
+
+
+def test_scored_rows_come_in_parts_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However few partitions the session has; the rollup to photographs keeps the parts, and the rows are the same."""
+    from pyspark.sql import functions as F
+
+    from splitsight import session
+    from splitsight.operators import thresholds as T
+    from splitsight.sources import testdata as td
+
+    n = 4000
+    lines = spark.range(n).select(
+        F.floor(F.col("id") / 2).alias("l_orderkey"), (F.col("id") % 50).alias("l_partkey"),
+        (F.col("id") % 7).alias("l_suppkey"), (F.col("id") % 2).cast("int").alias("l_linenumber"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(n // 2).select(
+        F.col("id").alias("o_orderkey"), F.lit(1).cast("bigint").alias("o_custkey"),
+        F.when(F.col("id") % 3 == 0, "F").otherwise("O").alias("o_orderstatus"),
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(1, "A")], "c_custkey bigint, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    rolled = lambda: T.per_image(td.photos(spark, str(tmp_path)), td.scored(spark, str(tmp_path)), td.ARMS)
+    plain = sorted(map(str, rolled().collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    part = F.spark_partition_id()
+    assert td.scored(spark, str(tmp_path)).groupBy(part).count().agg(F.max("count")).first()[0] <= 200
+    assert rolled().groupBy(part).count().agg(F.max("count")).first()[0] <= 200 // 2 * len(td.ARMS)
+    assert sorted(map(str, rolled().collect())) == plain and len(plain) == n // 2 * len(td.ARMS)
