@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import normalised_path
 from ..functions.ordering import beside
+from ..session import checkpointed
 from .dedup import content_hash, near_duplicate_table
 
 
@@ -125,11 +126,16 @@ def reconcile_copies(copies: DataFrame, items: DataFrame, role: str) -> DataFram
 
 
 # ------------------------------------------------------------------ report
-def _rows(df: DataFrame, check: str, a, b, n) -> DataFrame:
+def _each(one: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """(a, n): a row for each named count of a table of one row."""
+    return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), n.alias("n")) for a, n in counts.items()])).alias("c")).select("c.*")
+
+
+def _rows(df: DataFrame, check: str | Column, a, b, n) -> DataFrame:
     n = F.col(n) if isinstance(n, str) else n
     text = lambda x: F.col(x) if isinstance(x, str) else x
     return df.select(
-        F.lit(check).alias("check"), text(a).alias("a"), text(b).alias("b"), n.cast("bigint").alias("n"),
+        (F.lit(check) if isinstance(check, str) else check).alias("check"), text(a).alias("a"), text(b).alias("b"), n.cast("bigint").alias("n"),
         F.when(n == 0, "ok").otherwise("FAIL").alias("status"),
     )
 
@@ -138,17 +144,23 @@ def audit_report(
     items: DataFrame, hashes: DataFrame, roles: list[str], train: list[str],
     log: DataFrame | None = None, copies: DataFrame | None = None, copy_role: str = "bg",
 ) -> DataFrame:
-    """(check, a, b, n, status) of every check. A missing log or copy folder is skipped, not passed."""
+    """(check, a, b, n, status) of every check. A missing log or copy folder is skipped, not passed.
+
+    What two checks need is made once: tables of a few rows, and one row for each role and content.
+    """
     blank = F.lit("")
-    paths = role_masks(items, normalised_path("path"), roles)
+    paths = checkpointed(role_masks(items, normalised_path("path"), roles))
     near = near_duplicate_table(hashes, roles)
+    within_role = F.col("role_a") == F.col("role_b")
     spark = items.sparkSession
     skipped = lambda check: spark.createDataFrame(
         [(check, "", "", None, "skipped")], "check string, a string, b string, n bigint, status string"
     )
-    within = items.groupBy("role", content_hash("content").alias("_h")).agg(
-        F.countDistinct("path").alias("_n")
-    ).groupBy("role").agg(F.count(F.when(F.col("_n") > 1, 1)).alias("n"))
+    contents = checkpointed(items.groupBy("role", content_hash("content").alias("_h")).agg(
+        (F.min("path") < F.max("path")).alias("_more")  # under two paths or more
+    ))
+    within = contents.groupBy("role").agg(F.count(F.when(F.col("_more"), 1)).alias("n"))
+    by_pair = pair_overlap(role_masks(contents, F.col("_h"), roles), roles)
     parts = [
         _rows(pair_overlap(paths, roles), "1 paths by pair", "role_a", "role_b", "n_shared"),
         _rows(union_overlap(paths, roles, train), "2 train and eval unions", blank, blank, "n_shared"),
@@ -157,24 +169,24 @@ def audit_report(
         parts.append(skipped("3 lineage"))
     else:
         counts = lineage_counts(consumed_paths(log, items, train))
-        parts += [
-            _rows(counts, "3 lineage", F.lit("unauthorised"), blank, "n_unauthorised"),
-            _rows(counts, "3 lineage", F.lit("leaked"), blank, "n_leaked"),
-        ]
+        parts.append(_rows(
+            _each(counts, {"unauthorised": F.col("n_unauthorised"), "leaked": F.col("n_leaked")}), "3 lineage", "a", blank, "n"
+        ))
     if copies is None:
         parts.append(skipped("4 copies"))
     else:
         copied = reconcile_copies(copies, items, copy_role)
-        parts += [
-            _rows(copied, "4 copies", F.lit("count difference"), blank,
-                  F.abs(F.col("n_disk") - F.col("n_manifest"))),
-            _rows(copied, "4 copies", F.lit("train and val"), blank, "n_shared"),
-        ]
+        difference = F.abs(F.col("n_disk") - F.col("n_manifest"))
+        parts.append(_rows(
+            _each(copied, {"count difference": difference, "train and val": F.col("n_shared")}), "4 copies", "a", blank, "n"
+        ))
     parts += [
         _rows(within, "5 content within", "role", blank, "n"),
-        _rows(content_overlap(items, roles), "5 content by pair", "role_a", "role_b", "n_shared"),
-        _rows(near.filter("role_a = role_b"), "6 near copies within", "role_a", blank, "n_pairs"),
-        _rows(near.filter("role_a <> role_b"), "6 near copies by pair", "role_a", "role_b", "n_pairs"),
+        _rows(by_pair, "5 content by pair", "role_a", "role_b", "n_shared"),
+        _rows(
+            near, F.when(within_role, "6 near copies within").otherwise("6 near copies by pair"), "role_a",
+            F.when(within_role, "").otherwise(F.col("role_b")), "n_pairs",
+        ),
     ]
     return reduce(DataFrame.unionByName, parts)
 

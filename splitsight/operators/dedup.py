@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.expressions import HASH_WORDS, NEAR_DUPLICATE_BITS, hamming
 from ..functions.ordering import meet
-from ..session import checkpointed
+from ..session import checkpointed, spread
 from .graph import components
 
 # Three bands of 21, 21 and 22 bits in each 64-bit word, as (shift, width).
@@ -170,13 +170,15 @@ def near_duplicate_table(items: DataFrame, roles: list[str]) -> DataFrame:
     """(role_a, role_b, n_pairs) for every role with itself and with every later role.
 
     items: (item_id, role, hash). Pairs are found between distinct hashes and weighted by how
-    many items of each role carry them; copies of one hash are counted, never listed.
+    many items of each role carry them; copies of one hash are counted, never listed. Distinct hashes
+    are written down: they are read six times, and hashing is the longest part.
     """
     wide = lambda c: F.col(c).cast("decimal(18,0)")
     uniq = items.groupBy("hash").agg(
         F.min("item_id").alias("first"),
         *[F.count(F.when(F.col("role") == r, 1)).alias(f"n{i}") for i, r in enumerate(roles)],
     )
+    uniq = checkpointed(spread(uniq, "first"))  # a row becomes twelve, and these become pairs
     pairs = near_pairs(uniq, [], "first")
     counts = uniq.drop("hash")
     side = lambda s: counts.select(

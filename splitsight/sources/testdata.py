@@ -146,7 +146,8 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
             lambda c: F.element_at("embedding", ((2 * r + 1) * c % 64 + 1).cast("int")),
         ),
     )
-    base = table(spark, sf_dir, "embeddings").select("vec_id", difference_hash(grid).alias("hash"))
+    vectors = spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "vec_id")  # few bytes, much to compute
+    base = vectors.select("vec_id", difference_hash(grid).alias("hash"))
     flip = F.expr("shiftleft(1L, cast(vec_id % 13 as int)) - 1L")
     copy = F.array(
         *[F.element_at("hash", k) for k in (1, 2, 3)], F.element_at("hash", 4).bitwiseXOR(flip)

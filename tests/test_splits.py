@@ -198,3 +198,35 @@ def test_runs_are_dealt_once_and_bands_change_nothing(spark, monkeypatch):
         monkeypatch.setattr(module, "BAND", 2)
     for runs in (td.layer_runs(spark, sf), td.layer_runs(spark, sf).drop("band")):
         assert sorted(map(str, V.run_visibility(runs, min_side=2).collect())) == want
+
+
+def test_audit_report_makes_its_tables_once(spark):
+    """Hashes are made once, and documents read once for their paths and once for their contents."""
+    made = {"items": spark.sparkContext.accumulator(0), "hashes": spark.sparkContext.accumulator(0)}
+
+    def counted(df, name):
+        def each(batches):
+            for batch in batches:
+                made[name].add(len(batch))
+                yield batch
+
+        return df.mapInPandas(each, df.schema)
+
+    # each text under two paths of a role, or twice under one, or in both roles, or null
+    texts = [("a", "p1", "x"), ("a", "p2", "x"), ("a", "p3", "y"), ("a", "p3", "y"), ("b", "q1", "y"), ("b", "P1", "z"), ("b", "q2", None), ("b", "q3", None)]
+    items = spark.createDataFrame(texts, "role string, path string, content string")
+    hashes = spark.createDataFrame(
+        [(0, "a", [0, 0, 0, 0]), (1, "a", [0, 0, 0, 7]), (2, "b", [0, 0, 0, 0]), (3, "b", [-1, -1, -1, -1])], "item_id bigint, role string, hash array<bigint>"
+    )
+    rows = U.audit_report(counted(items, "items"), counted(hashes, "hashes"), ["a", "b"], ["a"]).collect()
+    got = {(r.check, r.a, r.b): (r.n, r.status) for r in rows}
+    assert len(got) == len(rows)
+    assert got == {
+        ("1 paths by pair", "a", "b"): (1, "FAIL"), ("2 train and eval unions", "", ""): (1, "FAIL"),
+        ("3 lineage", "", ""): (None, "skipped"), ("4 copies", "", ""): (None, "skipped"),
+        ("5 content within", "a", ""): (1, "FAIL"), ("5 content within", "b", ""): (1, "FAIL"),
+        ("5 content by pair", "a", "b"): (1, "FAIL"),
+        ("6 near copies within", "a", ""): (1, "FAIL"), ("6 near copies within", "b", ""): (0, "ok"),
+        ("6 near copies by pair", "a", "b"): (2, "FAIL"),
+    }
+    assert {k: v.value for k, v in made.items()} == {"items": 2 * len(texts), "hashes": 4}
