@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expressions import (
     mcnemar_exact, paired_difference, ratio, round_to, stars,
 )
-from ..functions.ordering import beside, exact_quantiles, linear_bucket, rows_at
+from ..functions.ordering import FEW_ROWS, beside, exact_quantiles, linear_bucket, meet, rows_at
 from ..session import checkpointed
 from .thresholds import NEG, POS, cumulative_curve, falling, score_levels
 
@@ -172,7 +172,8 @@ def typical_examples(images: DataFrame, points: DataFrame, n_alarms: int = 6) ->
     """Per arm: two hits nearest their category's median, each category's lowest miss, top alarms.
 
     images: (arm, image_id, role, category, max_conf); points: (arm, threshold), one row per arm.
-    A photograph that never fired counts as 0 here.
+    A photograph that never fired counts as 0 here. Every task keeps only the first rows of each list before they
+    are shuffled, so no list is sorted whole.
     """
     kind = (
         F.when(F.col("role") == NEG, F.lit("alarm"))
@@ -182,9 +183,13 @@ def typical_examples(images: DataFrame, points: DataFrame, n_alarms: int = 6) ->
         images.select("arm", "image_id", "role", "category", F.coalesce("max_conf", F.lit(0.0)).alias("c"))
         .join(F.broadcast(points), "arm").select("arm", "image_id", "category", "c", kind.alias("kind")).filter("kind is not null")
     )
-    med = exact_quantiles(scored.filter("kind = 'hit'"), ["arm", "category"], "c", [0.5]).select(
-        "arm", "category", F.col("quantile").alias("med")
+    med = checkpointed(
+        exact_quantiles(scored.filter("kind = 'hit'"), ["arm", "category"], "c", [0.5])
+        .select("arm", "category", F.col("quantile").alias("med"))
     )
+    few = med.count() <= FEW_ROWS  # one row for each arm and category
+    keys = ["arm", "category"]
+    placed = scored.join(F.broadcast(med), keys, "left") if few else meet(scored, med, keys, ["image_id"])
     # the order within its list: hits by their distance from the median, misses from below, alarms from above
     order = (
         F.when(F.col("kind") == "hit", round_to(F.abs(F.col("c") - F.col("med")), 9))
@@ -192,11 +197,12 @@ def typical_examples(images: DataFrame, points: DataFrame, n_alarms: int = 6) ->
     )
     most = F.when(F.col("kind") == "hit", 2).when(F.col("kind") == "miss", 1).otherwise(n_alarms)
     of = F.when(F.col("kind") != "alarm", F.col("category"))
-    ranked = scored.join(med, ["arm", "category"], "left").select(
+    ranked = placed.select(
         "kind", "arm", "category", "image_id", "c",
         F.row_number().over(Window.partitionBy("arm", "kind", of).orderBy(order, "image_id")).alias("rank"),
     )
-    return ranked.filter(F.col("rank") <= most).select("kind", "arm", "category", "rank", "image_id", "c")
+    longest = max(2, n_alarms)  # a number, by which Spark cuts the lists in every task before it shuffles them
+    return ranked.filter(F.col("rank") <= longest).filter(F.col("rank") <= most).select("kind", "arm", "category", "rank", "image_id", "c")
 
 
 def evenly_spaced(rows: DataFrame, by: list[str], value: str, key: str, points: int = 6) -> DataFrame:

@@ -215,3 +215,32 @@ def test_names(spark):
 def test_fixed_text_ties_to_even(spark):
     r = one(spark, a=fixed(F.lit(0.125), 2), b=fixed(F.lit(0.375), 2), c=round_to(F.lit(2.5), 0), d=fixed(F.lit(1e7), 1))
     assert (r.a, r.b, r.c, r.d) == ("0.12", "0.38", 2.0, "10000000.0")
+
+
+def test_typical_examples_cut_their_lists_in_every_task(spark, monkeypatch):
+    """The first rows of each list as by a plain walk; only those are shuffled, and medians may be too many to broadcast."""
+    rows = [
+        (arm, i, ["pos_test", "neg_test"][i % 2], [None, "A", "B"][i % 3], None if i % 7 == 0 else (i * 37 % 101) / 100)
+        for arm in ("m0", "m1") for i in range(300)
+    ]
+    images = spark.createDataFrame(rows, "arm string, image_id bigint, role string, category string, max_conf double")
+    points = spark.createDataFrame([("m0", 0.5), ("m1", 0.9)], "arm string, threshold double")
+    want = set()
+    for arm, limit in (("m0", 0.5), ("m1", 0.9)):
+        mine = [(i, role, cat, c or 0.0) for a, i, role, cat, c in rows if a == arm]
+        alarms = sorted((-c, i, cat) for i, role, cat, c in mine if role == "neg_test")[:4]
+        want |= {("alarm", arm, cat, k + 1, i, -c) for k, (c, i, cat) in enumerate(alarms)}
+        for cat in (None, "A", "B"):
+            pos = [(i, c) for i, role, ct, c in mine if role == "pos_test" and ct == cat]
+            fired = sorted(c for _, c in pos if c >= limit)
+            mid = (fired[(len(fired) - 1) // 2] + fired[len(fired) // 2]) / 2
+            by = (lambda i, c: (0.0, i)) if cat is None else (lambda i, c: (round(abs(c - mid), 9), i))
+            hits = sorted((*by(i, c), c) for i, c in pos if c >= limit)[:2]
+            want |= {("hit", arm, cat, k + 1, i, c) for k, (_, i, c) in enumerate(hits)}
+            _, c, i = min((0, c, i) for i, c in pos if c < limit)
+            want.add(("miss", arm, cat, 1, i, c))
+    got = S.typical_examples(images, points, 4)
+    assert {tuple(r) for r in got.collect()} == want
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(S, "FEW_ROWS", 0)
+    assert {tuple(r) for r in S.typical_examples(images, points, 4).collect()} == want
