@@ -9,7 +9,7 @@ from ..operators import counted as C, report as R, resample as B, stats as S, th
 from ..sources import testdata as td
 from .thresholds import (
     BUDGET, CARRIED, EXTERNAL, FINE_GRID, LEVELS, POINTS, RAW_LEVELS, counts_sql, external_thresholds,
-    fine_sweep, images, sweep_sql,
+    fine_sweep, image_rows, images, sweep_sql,
 )
 from .views import CURVE, IMAGES, PHOTO, ROUNDS, mcnemar, rnd, with_
 
@@ -177,14 +177,14 @@ register(
 
 register(
     "A6_roc_curve_raw",
-    lambda s, d: S.roc_curve(S.arm_levels(images(s, d), raw=True), ["arm"], ranged=True),
+    lambda s, d: S.roc_curve(S.arm_levels(images(s, d), raw=True, rows=image_rows(s, d)), ["arm"], ranged=True),
     with_(IMAGES, RAW_LEVELS)
     + """SELECT arm, 0 AS vertex, 0.0::DOUBLE AS fa, 0.0::DOUBLE AS det FROM tot UNION ALL
 SELECT arm, (row_number() OVER (PARTITION BY arm ORDER BY score DESC))::INT, fa, det FROM roc""",
 )
 register(
     "A7_partial_area_raw",
-    lambda s, d: S.partial_area(S.arm_levels(images(s, d), raw=True), ["arm"], ranged=True).select(
+    lambda s, d: S.partial_area(S.arm_levels(images(s, d), raw=True, rows=image_rows(s, d)), ["arm"], ranged=True).select(
         "arm", round_to("area", 9).alias("area")
     ),
     with_(IMAGES, RAW_LEVELS, AREA.format(keys="arm")) + f"SELECT arm, {rnd('area', 9)} AS area FROM area",

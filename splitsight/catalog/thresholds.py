@@ -14,6 +14,11 @@ def images(spark, d) -> DataFrame:
     return T.per_image(td.photos(spark, d), td.scored(spark, d), td.ARMS)
 
 
+def image_rows(spark, d) -> int:
+    """About how many rows `images` has."""
+    return len(td.ARMS) * td.table(spark, d, "orders").count()
+
+
 def external_thresholds(spark, d) -> DataFrame:
     """A validation threshold per arm, from its number of detections; the last arm has none."""
     n = td.table(spark, d, "lineitem").groupBy(
@@ -251,12 +256,12 @@ FROM img JOIN matched USING (arm) WHERE budget = 0.1::DOUBLE""",
 RAW_LEVELS = LEVELS.replace("max_conf", "top")
 register(
     "T10_detection_at_budgets_raw",
-    lambda s, d: T.detection_at_budgets(images(s, d), raw=True),
+    lambda s, d: T.detection_at_budgets(images(s, d), raw=True, rows=image_rows(s, d)),
     with_(IMAGES, RAW_LEVELS, BUDGET) + "SELECT * FROM matched",
 )
 register(
     "T11_image_hits_raw",
-    lambda s, d: T.image_hits(images(s, d), 0.10, raw=True),
+    lambda s, d: T.image_hits(images(s, d), 0.10, raw=True, rows=image_rows(s, d)),
     with_(IMAGES, RAW_LEVELS, BUDGET)
     + """SELECT arm, image_id, role, category, coalesce(top >= threshold, false) AS hit
 FROM img JOIN matched USING (arm) WHERE budget = 0.1::DOUBLE""",

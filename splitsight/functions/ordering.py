@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import checkpointed
+from ..session import checkpointed, task_parts
 
 HASH_DIGITS = 3  # 4,096 buckets per group
 LINEAR_BUCKETS = 1024  # per level, two levels
@@ -109,14 +109,18 @@ def positions(
     )
 
 
-def running_totals(rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
+def running_totals(
+    rows: DataFrame, by: list[str], order: list[Column], sums: dict[str, str], count: int = 0
+) -> DataFrame:
     """Add running sums `out` of columns (`sums` maps out to column) in each group's order, and the group's
     whole sums `out`_total, without a window over a whole group.
 
     Two passes: rows are written down in ranges of (by, order); each range sums for itself, and the sums of
     the ranges before it, one row a range and group, are its offset. Equal rows in `order` must not matter.
+    Where `count`, the number of rows, asks for more ranges than the session has partitions, so many are made.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(session, task_parts(count))
     part = [*by, "_part"]
     placed = checkpointed(rows.repartitionByRange(n, *by, *order).withColumn("_part", F.spark_partition_id()))
     ranges = placed.groupBy(*part).agg(*[F.sum(c).alias(f"_{out}") for out, c in sums.items()])
@@ -128,7 +132,8 @@ def running_totals(rows: DataFrame, by: list[str], order: list[Column], sums: di
         *[F.sum(f"_{out}").over(whole).alias(f"{out}_total") for out in sums],
     )
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
+    dealt = placed.repartition(n, *part) if n > session else placed
+    summed = dealt.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
     met = summed.join(offsets, part)
     return met.withColumns({out: F.col(out) + F.col(f"_{out}") for out in sums}).drop("_part", *[f"_{out}" for out in sums])
 

@@ -149,8 +149,8 @@ def partial_area(levels: DataFrame, by: list[str], limit: float = AREA_LIMIT, ra
     return area.select(*by, ((F.coalesce("body", F.lit(0.0)) + closing) / F.lit(limit)).alias("area"))
 
 
-def arm_levels(images: DataFrame, raw: bool = False) -> DataFrame:
-    return score_levels(images, ["arm"], raw)
+def arm_levels(images: DataFrame, raw: bool = False, rows: int | None = None) -> DataFrame:
+    return score_levels(images, ["arm"], raw, rows)
 
 
 # ------------------------------------------------------------------ categories and examples

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expressions import ratio, round_to, wilson
 from ..functions.ordering import running_totals
+from ..session import checkpointed, spread_rows, task_parts
 
 # Reporting thresholds, fine grid start, step and end (all in thousandths for the
 # grid), matched false-alarm budgets, and the gap above which a tuned point is flagged.
@@ -273,16 +274,31 @@ def score_of(raw: bool) -> Column:
     return F.col("top") if raw else stored("max_conf")
 
 
-def score_levels(images: DataFrame, by: list[str] | None = None, raw: bool = False) -> DataFrame:
+SALTS = 64  # parts of the photographs that share a raw score
+
+
+def score_levels(
+    images: DataFrame, by: list[str] | None = None, raw: bool = False, rows: int | None = None
+) -> DataFrame:
     """(by, score, pos, neg): photographs at every distinct stored score, or at every raw one.
 
-    The row with a null score holds the photographs that never fired.
+    The row with a null score holds the photographs that never fired. Raw scores, of which there may be as many
+    as photographs, are counted in parts of bounded size; `rows` says about how many rows `images` has, which
+    are counted otherwise. They are salted first, so that a score that many share fills no part of its own.
     """
     by = by or ["arm"]
-    return images.groupBy(*by, score_of(raw).alias("score")).agg(
+    level = [*by, score_of(raw).alias("score")]
+    counts = [
         F.count(F.when(F.col("role") == POS, 1)).alias("pos"),
         F.count(F.when(F.col("role") == NEG, 1)).alias("neg"),
-    )
+    ]
+    if raw:
+        rows = images.count() if rows is None else rows
+    if not raw or task_parts(rows) <= images.sparkSession.sparkContext.defaultParallelism:
+        return images.groupBy(*level).agg(*counts)
+    salted = images.select(*level, "role", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).alias("_salt"))
+    parts = spread_rows(salted, rows, *by, "score", "_salt").groupBy(*by, "score", "_salt").agg(*counts)
+    return spread_rows(parts, rows, *by, "score").groupBy(*by, "score").agg(*[F.sum(c).alias(c) for c in ("pos", "neg")])
 
 
 def falling(by: list[str]):
@@ -302,7 +318,8 @@ def cumulative_curve(levels: DataFrame, by: list[str] | None = None, ranged: boo
     fired = F.col("score").isNotNull()
     if ranged:
         sums = {"hits": "pos", "alarms": "neg", "vertex": "_one"}
-        rows = running_totals(levels.withColumn("_one", F.lit(1)), by, [F.col("score").desc_nulls_last()], sums)
+        ones = checkpointed(levels.withColumn("_one", F.lit(1)))
+        rows = running_totals(ones, by, [F.col("score").desc_nulls_last()], sums, ones.count())
         curve = rows.withColumnsRenamed({"hits_total": "n_pos", "alarms_total": "n_neg"}).drop("_one", "vertex_total")
     else:
         upto = falling(by).rowsBetween(Window.unboundedPreceding, 0)
@@ -317,16 +334,17 @@ def cumulative_curve(levels: DataFrame, by: list[str] | None = None, ranged: boo
 
 
 def detection_at_budgets(
-    images: DataFrame, budgets: list[float] = BUDGETS, by: list[str] | None = None, raw: bool = False
+    images: DataFrame, budgets: list[float] = BUDGETS, by: list[str] | None = None, raw: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """(by, budget, detection, threshold, censored): exact best detection within each budget.
 
     Threshold is the lowest one that meets the budget, infinity when only firing nowhere does.
     Censored means that even the lowest score stays within the budget. Scores are the stored ones, or with
-    `raw` those of `top`, however many.
+    `raw` those of `top`, however many (`rows`: see score_levels).
     """
     by = by or ["arm"]
-    curve = cumulative_curve(score_levels(images, by, raw), by, ranged=raw)
+    curve = cumulative_curve(score_levels(images, by, raw, rows), by, ranged=raw)
     cols = []
     for i, b in enumerate(budgets):
         ok = F.col("fa") <= F.lit(b)
@@ -349,9 +367,9 @@ def detection_at_budgets(
     return best.select(*by, F.explode(cells).alias("c")).select(*by, "c.*")
 
 
-def image_hits(images: DataFrame, budget: float, raw: bool = False) -> DataFrame:
+def image_hits(images: DataFrame, budget: float, raw: bool = False, rows: int | None = None) -> DataFrame:
     """Every photograph with its hit flag at the matched budget; never-fired is never a hit."""
-    points = detection_at_budgets(images, [budget], raw=raw).select("arm", "threshold")
+    points = detection_at_budgets(images, [budget], raw=raw, rows=rows).select("arm", "threshold")
     return images.join(F.broadcast(points), "arm").select(  # one row per arm
         "arm", "image_id", "role", "category",
         F.coalesce(score_of(raw) >= F.col("threshold"), F.lit(False)).alias("hit"),

@@ -63,6 +63,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
 TASK_ROWS = 250_000  # rows that a task sorts and combines at once
 
 
+def task_parts(rows: int) -> int:
+    """Parts of about TASK_ROWS that `rows` rows make."""
+    return -(-rows // TASK_ROWS)
+
+
 def spread_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     """Hash a table of about `rows` rows over parts of about TASK_ROWS, where it has more of these than cores.
 
@@ -70,5 +75,5 @@ def spread_rows(df: DataFrame, rows: int, *keys: str) -> DataFrame:
     combined, these rows take twenty times as much. Here what a task holds does not grow with the table. Smaller
     tables are left to adaptive execution, which gives every core a part.
     """
-    parts = -(-rows // TASK_ROWS)
+    parts = task_parts(rows)
     return df.repartition(parts, *keys) if parts > df.sparkSession.sparkContext.defaultParallelism else df

@@ -244,3 +244,26 @@ def test_typical_examples_cut_their_lists_in_every_task(spark, monkeypatch):
     assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(S, "FEW_ROWS", 0)
     assert {tuple(r) for r in S.typical_examples(images, points, 4).collect()} == want
+
+
+def test_raw_levels_come_in_parts_of_bounded_size(spark, monkeypatch):
+    """However few partitions the session has; a score that most share, or none, is one level and fills no part."""
+    from splitsight import session
+
+    n = 12000
+    top = F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, 0.5).otherwise(F.col("id") / (2 * n))
+    images = spark.range(n).select(
+        F.when(F.col("id") % 10 < 9, "a").otherwise("b").alias("arm"), F.col("id").alias("image_id"),
+        F.when(F.hash("id") % 2 == 0, T.POS).otherwise(T.NEG).alias("role"), top.cast("double").alias("top"),
+    )
+    curve = lambda raw: {tuple(r) for r in T.cumulative_curve(T.score_levels(images, raw=True), ranged=raw).drop("vertex").select(
+        "arm", "score", "pos", "neg", "hits", "alarms", "n_pos", "n_neg", "det", "fa").collect()}
+    budgets = lambda: sorted(T.detection_at_budgets(images, raw=True).collect())
+    plain, points = curve(False), budgets()
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    most = lambda df: df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    levels = T.score_levels(images, raw=True)
+    assert most(levels) <= 300 and most(T.score_levels(images, raw=True, rows=n)) <= 300
+    assert most(T.cumulative_curve(levels, ranged=True)) <= 600
+    assert curve(True) == plain == curve(False) and len(plain) == levels.count()
+    assert budgets() == points
