@@ -13,21 +13,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.digests import Tails, in_blocks
+from ..functions.digests import in_blocks, of_numbers
 from ..functions.expressions import hash60, keyed_hash, ratio
 from ..functions.ordering import FEW_ROWS, cut_slots, hash_bucket, positions
-from ..session import checkpointed, spread
+from ..session import checkpointed, spread, task_parts
 from .stats import AREA_LIMIT
 from .thresholds import BUDGETS, NEG, POS, detection_at_budgets, stored
 
 SCORE_BUCKETS = 128  # for each unit of score
 REACH = 7.0  # standard deviations that a range reaches to either side of what it is to hold
-SLICE = 65_536  # draw slots of a role whose draws are made together
-CHUNK = 8_192  # photographs of a role whose draws meet their scores together
-BLOCK = 25  # repetitions that are drawn together
-COLUMNS = 1 << 18  # photographs whose draws wait before equal scores become one
+BLOCK = 25  # repetitions whose draws a task counts together, at most
+COLUMNS = 1 << 26  # photographs times repetitions that a task counts together, a byte each; one repetition at least
+SLICE = 1 << 28  # photographs whose draws are counted at once; draws are hashed anew for every slice
+CHUNK = 32_768  # scores of an arm that go in one row
 
 
 def arm_scores(images: DataFrame) -> DataFrame:
@@ -73,80 +74,69 @@ def _tail(*parts) -> Column:
     return F.concat(*[F.coalesce(t, F.lit("")) for t in text]).cast("binary")
 
 
-def _draws(sizes: dict[str, int], reps: int):
-    """Draws of one slice of a role's slots in one block of repetitions, by the photographs they fall on.
+def _weights(todo: range, sizes: dict[str, int], first: int, last: int, kind=np.uint8) -> np.ndarray:
+    """How often the photographs from place `first` to `last` are drawn in each of some repetitions.
 
-    Drawn places are sorted for each repetition, so a chunk's draws are one stretch of it; a row holds those of
-    all the block's repetitions, as counts and places in the chunk.
+    Roles lie one behind the other, in the order of `sizes`; all draws of all of them are made.
+    """
+    out = np.zeros((len(todo), last - first), kind)
+    one = kind(1)
+    for k, rep in enumerate(todo):
+        begin, met = 0, 0
+        for role, n in sizes.items():
+            if begin < last and begin + n > first:
+                for heads in of_numbers(b"draw|%d|%s|" % (rep, role.encode()), n):
+                    place = ((heads >> np.uint64(4)) % np.uint64(n)).astype(np.int64) + (begin - first)
+                    if begin < first or begin + n > last:
+                        place = place[(place >= 0) & (place < last - first)]
+                    np.add.at(out[k], place, one)
+                    met += len(place)
+            begin += n
+        if out[k].sum(dtype=np.int64) != met:  # a count too large for a byte
+            return _weights(todo, sizes, first, last, np.uint32)
+    return out
+
+
+PACKED = "slice int, arm int, kind int, part int, nth int, places binary, values binary, ends binary"
+REPEATED, FIRST, SCORED = range(3)
+
+
+def _pack(chunk: int):
+    """Rows (slice, arm, kind, value, place), sorted by the first three and falling values, as a row for each `chunk`.
+
+    What is packed is every place, and every value with the number of places up to its last one.
     """
-    blocks = -(-reps // BLOCK)
-    jobs = [(role, first, min(n, first + SLICE)) for role, n in sizes.items() for first in range(0, n, SLICE)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth, key, held, columns = TaskContext.get().partitionId(), 0, None, [], 0
+
+        def packed() -> pa.RecordBatch:
+            nonlocal nth, held, columns
+            value, place = (np.concatenate(x) for x in zip(*held))
+            last = np.flatnonzero(np.append(value[1:] != value[:-1], True))
+            cols = [*key, part, nth, *(x.tobytes() for x in (place.astype("<u4"), value[last].astype("<f8"), (last + 1).astype("<u4")))]
+            nth, held, columns = nth + 1, [], 0
+            return pa.RecordBatch.from_arrays(
+                [pa.array([c], pa.int32() if i < 5 else pa.binary()) for i, c in enumerate(cols)],
+                names=["slice", "arm", "kind", "part", "nth", "places", "values", "ends"],
+            )
+
         for batch in batches:
-            for job in batch.column(0).to_pylist():
-                (role, first, last), block = jobs[job // blocks], job % blocks
-                todo = range(block * BLOCK, min(reps, (block + 1) * BLOCK))
-                drawn = np.empty((len(todo), last - first), np.int64)
-                tails = [f"|{role}|{i}".encode() for i in range(first, last)]
-                for at, some in in_blocks(tails):
-                    for k, rep in enumerate(todo):
-                        drawn[k, at : at + some.n] = (some.heads(b"draw|%d" % rep) >> np.uint64(4)) % np.uint64(sizes[role])
-                drawn.sort(axis=1)
-                edges = np.arange(0, sizes[role] + CHUNK, CHUNK)
-                ends = np.stack([np.searchsorted(row, edges) for row in drawn])
-                places = (drawn % CHUNK).astype("<u2")
-                rows = [[], [], []]
-                for c in np.flatnonzero((ends[:, 1:] > ends[:, :-1]).any(axis=0)):
-                    rows[0].append(int(c))
-                    rows[1].append((ends[:, c + 1] - ends[:, c]).astype("<u4").tobytes())
-                    rows[2].append(b"".join(row[x:y].tobytes() for row, x, y in zip(places, ends[:, c], ends[:, c + 1])))
-                n = len(rows[0])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([role] * n, pa.string()), pa.array(rows[0], pa.int64()), pa.array([block] * n, pa.int32()),
-                     pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
-                    names=["role", "chunk", "block", "counts", "places"],
-                )
-
-    return run, len(jobs) * blocks
-
-
-WEIGHED = "arm string, block int, role string, scores binary, weights binary, drawn binary"
-
-
-def _weigh(reps: int, floors: dict):
-    """How often each photograph of a chunk was drawn, by arm and in the order of its scores from `floors` up."""
-
-    def run(draws: pa.Table, photos: pa.Table) -> pa.Table:
-        out = {name: [] for name in ("arm", "block", "role", "scores", "weights", "drawn")}
-        place, arms, score = _entries(photos.column("scores").combine_chunks())
-        place = photos.column("place").to_numpy()[place]
-        parts = []
-        for arm, of in arms.items():
-            held = of[score[of] >= floors.get(arm, -np.inf)]  # never-fired ones are no number
-            high = held[np.argsort(-score[held], kind="stable")]
-            parts.append((arm, place[of], place[high], score[high].astype("<f8").tobytes()))
-        by_block = {}
-        for block, counts, places in zip(*(draws.column(c).to_pylist() for c in ("block", "counts", "places"))):
-            by_block.setdefault(block, []).append((np.frombuffer(counts, "<u4"), np.frombuffer(places, "<u2")))
-        role = photos.column("role")[0].as_py() if len(photos) else None
-        for block, pieces in by_block.items():
-            todo = min(reps, (block + 1) * BLOCK) - block * BLOCK
-            weight = np.zeros((todo, CHUNK), np.int64)
-            for counts, places in pieces:
-                ends = np.cumsum(counts, dtype=np.int64)
-                for k in range(todo):
-                    weight[k] += np.bincount(places[ends[k] - counts[k] : ends[k]], minlength=CHUNK)
-            small = weight.astype("<u1" if weight.max() < 256 else "<u4")
-            for arm, every, high, scores in parts:
-                out["arm"].append(arm)
-                out["block"].append(block)
-                out["role"].append(role)
-                out["scores"].append(scores)
-                out["weights"].append(small[:, high].tobytes())
-                out["drawn"].append(weight[:, every].sum(axis=1).astype("<i8").tobytes())
-        kinds = {"block": pa.int32(), "scores": pa.binary(), "weights": pa.binary(), "drawn": pa.binary()}
-        return pa.table({c: pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()})
+            keys = np.stack([batch.column(c).to_numpy() for c in ("slice", "arm", "kind")])
+            value, place = (batch.column(c).to_numpy() for c in ("value", "place"))
+            begins = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))[: len(value)])
+            for x, y in zip(begins, [*begins[1:], len(value)]):
+                if held and key != tuple(keys[:, x].tolist()):
+                    yield packed()
+                key = tuple(keys[:, x].tolist())
+                while x < y:
+                    z = min(y, x + chunk - columns)
+                    held.append((value[x:z], place[x:z]))
+                    x, columns = z, columns + z - x
+                    if columns == chunk:
+                        yield packed()
+        if held:
+            yield packed()
 
     return run
 
@@ -161,66 +151,150 @@ def _merged(score: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     return score[first], np.add.reduceat(weights[:, :, order], first, axis=2)
 
 
-def _areas(reps: int, limit: float, floors: dict):
-    """(arm, rep, area, short) of rows of `_weigh`, sorted by arm and block: one curve for each repetition.
+def _upto(weights: np.ndarray) -> np.ndarray:
+    """Sums of the first 0, 1, 2 and so on."""
+    return np.append(0, np.cumsum(weights, dtype=np.int64))
+
 
-    What is held is one count for each score level, role and repetition of a block. `short` says that the curve
-    goes on within the limit below the lowest score that was kept.
+class _Curve:
+    """The partial areas of an arm in some repetitions, from its levels as they come from the highest score down.
+
+    What is held are a few numbers for each repetition: hits and alarms down to the last complete level, and those at
+    the score that the next rows may add to. Levels that were not drawn add nothing.
     """
 
-    def area(hits: np.ndarray, alarms: np.ndarray, n_pos: int, n_neg: int) -> tuple[float, bool]:
-        """Levels that were not drawn add nothing: their rates are those of the level above."""
-        det, fa = (np.cumsum(w, dtype=np.int64) / max(1, n) for w, n in ((hits, n_pos), (alarms, n_neg)))
-        top = int(np.searchsorted(fa, limit, side="right"))
-        det, fa = det[:top], fa[:top]
-        if not top:
-            return 0.0, top == len(hits)
-        body = (np.diff(fa, prepend=0.0) * (det + np.append(0.0, det[:-1])) / 2).sum()
-        return (body + (limit - fa[-1]) * det[-1]) / limit, top == len(hits)
-
-    def curves(arm, block: int, weights: np.ndarray, drawn: np.ndarray) -> pd.DataFrame:
-        some = np.flatnonzero(drawn.sum(axis=0))
-        got = [area(weights[0, k], weights[1, k], drawn[0, k], drawn[1, k]) for k in some]
-        return pd.DataFrame({
-            "arm": pd.Series([arm] * len(some), dtype=object), "rep": block * BLOCK + some, "area": np.array([a for a, _ in got], float),
-            "short": np.array([s and arm in floors for _, s in got], bool),
-        })
+    def __init__(self, drawn: np.ndarray, limit: float):
+        (self.n_pos, self.n_neg), self.limit, n = np.maximum(1, drawn[:2]), limit, drawn.shape[1]
+        self.hits, self.alarms, self.body, self.passed = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
+        self.open, self.score = np.zeros((2, n), np.int64), None
+
+    def follow(self, hits_upto: np.ndarray, alarms_upto: np.ndarray, weigh) -> None:
+        """Complete levels, given by how many positives and negatives there are up to each; `weigh` has their weights.
+
+        A step of the curve is the negatives of a level, its height half the hits before and after that level.
+        """
+        if not len(hits_upto):
+            return
+        level = np.repeat(np.arange(len(hits_upto)), np.diff(alarms_upto, prepend=0))
+        after, before = hits_upto[level], np.append(0, hits_upto)[level]
+        for k in np.flatnonzero(~self.passed):
+            positives, negatives = weigh(k)
+            hits, n, last = _upto(positives), len(negatives), -1
+            if (self.alarms[k] + negatives.sum(dtype=np.int64)) / self.n_neg[k] > self.limit:
+                fa = (self.alarms[k] + _upto(negatives)[alarms_upto]) / self.n_neg[k]
+                top = int(np.searchsorted(fa, self.limit, side="right"))
+                n, last = (alarms_upto[top - 1], hits_upto[top - 1]) if top else (0, 0)
+                self.passed[k] = True
+            steps = negatives[:n].astype(float)
+            total = steps.sum()
+            self.body[k] += 2 * self.hits[k] * total + steps @ (hits[before[:n]] + hits[after[:n]]).astype(float)
+            self.hits[k] += hits[last]
+            self.alarms[k] += int(total)
+
+    def close(self) -> None:
+        if self.score is not None:
+            self.follow(np.ones(1, np.int64), np.ones(1, np.int64), lambda k: (self.open[0, k : k + 1], self.open[1, k : k + 1]))
+        self.open, self.score = np.zeros_like(self.open), None
+
+    def add(self, score: np.ndarray, upto: np.ndarray, place: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> None:
+        """Falling scores, none above those before, the number of places up to the last of each, and all weights."""
+        begin, first = 0, 0
+        if self.score == score[0]:
+            begin, first = upto[0], 1
+            self._add_open(place[:begin], positive[:begin], weights)
+            if len(score) == 1:
+                return
+        self.close()
+        end = upto[-2] if len(score) > 1 else 0
+        whole, some = place[begin:end], positive[begin:end]
+        ends = upto[first:-1] - begin
+        hits_upto = _upto(some)[ends]
+        high, low = whole[some], whole[~some]
+        self.follow(hits_upto, ends - hits_upto, lambda k: (weights[k].take(high), weights[k].take(low)))
+        self.score = score[-1]
+        self._add_open(place[end:], positive[end:], weights)
+
+    def _add_open(self, place: np.ndarray, positive: np.ndarray, weights: np.ndarray) -> None:
+        for kind, of in enumerate((place[positive], place[~positive])):
+            self.open[kind] += weights[:, of].sum(axis=1, dtype=np.int64)
+
+    def areas(self) -> tuple[np.ndarray, np.ndarray]:
+        """(area, short) of the repetitions; `short`: the curve goes on within the limit below the lowest score."""
+        self.close()
+        det, fa = self.hits / self.n_pos, self.alarms / self.n_neg
+        return (self.body / (2.0 * self.n_pos * self.n_neg) + (self.limit - fa) * det) / self.limit, ~self.passed
+
+
+AREAS = "arm string, rep bigint, area double, short boolean"
+
+
+def _areas(reps: int, block: int, limit: float, sizes: dict[str, int], arms: list, floors: dict):
+    """(arm, rep, area, short) of `block` repetitions from the rows of `_pack`, sorted: one curve for each.
+
+    A slice's draws are counted when its first row comes. With a single slice a curve follows the rows; with more of
+    them an arm's counts by level are held until the last slice.
+    """
+    ends = np.cumsum(list(sizes.values()))
+    kinds = np.array([{POS: 0, NEG: 1}.get(role, 2) for role in sizes])
+    n = int(ends[-1])
+    slices = -(-n // SLICE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, score, weights, drawn, waiting, columns = None, None, None, None, [], 0
-
-        def settle():
-            nonlocal score, weights, waiting, columns
-            if waiting:
-                wide = np.zeros((2, weights.shape[1], columns), np.int32)
-                at = 0
-                for kind, _, w in waiting:
-                    wide[kind, :, at : at + w.shape[1]] = w
-                    at += w.shape[1]
-                every = np.concatenate([score, *[s for _, s, _ in waiting]])
-                score, weights = _merged(every, np.concatenate((weights, wide), axis=2))
-                waiting, columns = [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, weights, todo, before = None, None, range(0), None
+        levels, drawn, curve, ready = {}, {}, None, None
+
+        def by_level(place: np.ndarray, positive: np.ndarray, upto: np.ndarray) -> np.ndarray:
+            """Weights (positives and negatives, repetitions, levels)."""
+            out = np.empty((2, len(todo), len(upto)), np.int32)
+            for kind, of in enumerate((positive, ~positive)):
+                some, ends = place[of], _upto(of)[upto]
+                for k in range(len(todo)):
+                    out[kind, k] = np.diff(_upto(weights[k].take(some))[ends], prepend=0)
+            return out
+
+        def finish() -> pa.RecordBatch:
+            """The curves of the arm whose rows of the last slice have come."""
+            if levels.get(ready):
+                _, sums = _merged(*(np.concatenate(x, axis=-1) for x in zip(*levels.pop(ready))))
+                every = np.arange(1, sums.shape[2] + 1)
+                curve.follow(every, every, lambda k: sums[:, k])
+            area, short = curve.areas()
+            some = np.flatnonzero(drawn[ready].sum(axis=0))
+            arm = arms[ready]
+            return pa.RecordBatch.from_arrays([
+                pa.array([arm] * len(some), pa.string()), pa.array(todo.start + some, pa.int64()), pa.array(area[some]),
+                pa.array(short[some] & (arm in floors)),
+            ], names=["arm", "rep", "area", "short"])
 
         for batch in batches:
-            for arm, block, role, scores, part, total in batch.itertuples(index=False, name=None):
-                if key != (arm, block):
-                    if key is not None:
-                        settle()
-                        yield curves(*key, weights, drawn)
-                    key, rows = (arm, block), min(reps, (block + 1) * BLOCK) - block * BLOCK
-                    score, weights, drawn = np.zeros(0), np.zeros((2, rows, 0), np.int32), np.zeros((3, rows), np.int64)
-                kind = {POS: 0, NEG: 1}.get(role, 2)
-                drawn[kind] += np.frombuffer(total, "<i8")
-                levels = np.frombuffer(scores, "<f8")
-                if kind < 2 and len(levels):
-                    w = np.frombuffer(part, "<u1" if len(part) == rows * len(levels) else "<u4")
-                    waiting.append((kind, levels, w.reshape(rows, len(levels))))
-                    columns += len(levels)
-                    if columns > max(COLUMNS, len(score)):
-                        settle()
-        if key is not None:
-            settle()
-            yield curves(*key, weights, drawn)
+            for *here, places, values, upto, group in zip(*(batch.column(c).to_pylist() for c in batch.schema.names)):
+                if before and not (before[0] == group and before[1] < here):
+                    raise RuntimeError("rows do not come in order")
+                before, (slice_, arm, kind, _, _) = (group, here), here
+                if at != slice_:
+                    at, weights, todo = slice_, None, range(group * block, min(reps, (group + 1) * block))
+                    weights = _weights(todo, sizes, at * SLICE, min(n, (at + 1) * SLICE))
+                if arm not in drawn:
+                    drawn[arm] = np.repeat([[sum(m for m, j in zip(sizes.values(), kinds) if j == k)] for k in range(3)], len(todo), axis=1)
+                place, value, upto = (np.frombuffer(x, t) for x, t in ((places, "<u4"), (values, "<f8"), (upto, "<u4")))
+                place, upto = place.astype(np.int64), upto.astype(np.int64)
+                of = kinds[np.searchsorted(ends, place + at * SLICE, side="right")]
+                if kind == REPEATED:
+                    times = np.repeat(value.astype(np.int64), np.diff(upto, prepend=0))
+                    for k in range(3):
+                        drawn[arm][k] += weights[:, place[of == k]].astype(np.int64) @ times[of == k]
+                    continue
+                if at == slices - 1 and arm != ready:
+                    if ready is not None:
+                        yield finish()
+                    ready, curve = arm, _Curve(drawn[arm], limit)
+                if kind == SCORED:
+                    if slices > 1:
+                        levels.setdefault(arm, []).append((value, by_level(place, of == 0, upto)))
+                    elif not curve.passed.all():
+                        curve.add(value, upto, place, of == 0, weights)
+        if ready is not None:
+            yield finish()
 
     return run
 
@@ -259,35 +333,72 @@ def _entries(lists: pa.Array) -> tuple[np.ndarray, dict, np.ndarray]:
     return row, {arm: np.flatnonzero(of == k) for k, arm in enumerate(codes.dictionary.to_pylist())}, score
 
 
+def _marked(placed: DataFrame, arms: list, lowest: dict) -> DataFrame:
+    """Rows for `_pack`: every score of an arm from `lowest` up and, as REPEATED, how many scores a photograph has
+    of an arm beyond one (-1 if it has none)."""
+    spark = placed.sparkSession
+    each = spark.createDataFrame([(i, arm, lowest.get(arm)) for i, arm in enumerate(arms)], "_nth int, _arm string, floor double")
+    met = F.col("s.arm").eqNullSafe(F.col("_arm"))
+    above = F.col("s.score").isNotNull() & ~F.isnan("s.score") & (F.col("floor").isNull() | (F.col("s.score") >= F.col("floor")))
+    slice_, place = F.floor(F.col("place") / SLICE).cast("int").alias("slice"), F.col("place") % SLICE
+    scored = (
+        placed.filter(F.col("role").isin(POS, NEG)).select("place", F.explode("scores").alias("s"))
+        .join(F.broadcast(each), met).filter(above)  # one row per arm
+        .select(slice_, F.col("_nth").alias("arm"), F.lit(SCORED).alias("kind"), F.col("s.score").alias("value"), place.alias("place"))
+    )
+    odd = placed.filter((F.size("scores") != len(arms)) | (_repeats("scores") != 1)).select("place", F.transform("scores", lambda s: s["arm"]).alias("arms"))
+    n = F.size(F.filter("arms", lambda a: a.eqNullSafe(F.col("_arm"))))
+    repeated = odd.crossJoin(F.broadcast(each)).filter(n != 1).select(  # one row per arm
+        slice_, F.col("_nth").alias("arm"), F.lit(REPEATED).alias("kind"), (n - 1).cast("double").alias("value"), place.alias("place")
+    )
+    return scored.unionByName(repeated)
+
+
+def _stream(rows: DataFrame, n: int, slices: int, arms: int) -> DataFrame:
+    """The rows of `_marked` packed, in one partition and in order. FIRST comes for every slice and arm."""
+    spark = rows.sparkSession
+    order = ["slice", "arm", "kind", F.desc("value")]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), task_parts(n))
+    packed = rows.repartitionByRange(parts, *order, "place").sortWithinPartitions(*order).mapInArrow(_pack(CHUNK), PACKED)
+    none = spark.range(slices * arms).select(
+        F.floor(F.col("id") / arms).cast("int").alias("slice"), (F.col("id") % arms).cast("int").alias("arm"), F.lit(FIRST).alias("kind"),
+        *[F.lit(0).alias(c) for c in ("part", "nth")], *[F.lit(b"").alias(c) for c in ("places", "values", "ends")],
+    )
+    return checkpointed(none.unionByName(packed).repartition(1).sortWithinPartitions("slice", "arm", "kind", "part", "nth"))
+
+
 def area_bootstrap(images: DataFrame, reps: int = 2000, limit: float = AREA_LIMIT) -> DataFrame:
     """(arm, reps, low, high): percentile interval of the partial area.
 
-    The draws of `bootstrap_levels`, hashed on arrays and shuffled as two bytes each to the photographs they fall
-    on; from there an arm gets one count for each of its photographs and repetition, in the order of scores. Only
-    scores are counted down to which the curve matters; a curve that goes on below has all of them counted anew.
+    The draws of `bootstrap_levels`, hashed on arrays by tasks that count all draws of a few repetitions, a byte for
+    each photograph; no draw is shuffled. Each task then reads the places of the photographs in the order of every
+    arm's scores, written down once. Only scores are read down to which the curve matters; if a curve goes on
+    below, all of them are read.
     """
-    keyed = arm_scores(images).withColumn("_key", keyed_hash(F.lit("boot"), "image_id"))
+    spark = images.sparkSession
+    key = keyed_hash(F.lit("boot"), "image_id")
+    # made once for the counts of its buckets and for its places; the key is made again where rows are sorted by it
+    keyed = checkpointed(arm_scores(images)).withColumn("_bkt", hash_bucket(key))
     placed = checkpointed(
-        positions(keyed.withColumn("_bkt", hash_bucket(F.col("_key"))), ["role"], ["_key", "image_id"])
-        .filter(F.col("role").isNotNull())
-        .select("role", F.floor(F.col("pos") / CHUNK).alias("chunk"), (F.col("pos") % CHUNK).cast("int").alias("place"), "scores")
+        positions(keyed, ["role"], [key, "image_id"])
+        .filter(F.col("role").isNotNull()).select("role", "pos", "scores")
     )
-    spark = images.sparkSession
-    sizes = {r.role: r.n for r in placed.groupBy("role").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per role
-    draw, jobs = _draws(sizes, reps)
+    sizes = {r.role: r.n for r in placed.groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy("role").collect()}  # one row per role
+    arms = [r.arm for r in placed.select(F.explode("scores").alias("s")).select("s.arm").distinct().collect()]
+    if reps < 1 or not arms:
+        return spark.createDataFrame([], "arm string, reps bigint, low double, high double")
+    n, begin, before = sum(sizes.values()), F.lit(0).cast("bigint"), 0
+    for role, size in sizes.items():
+        begin, before = F.when(F.col("role") == role, F.lit(before).cast("bigint")).otherwise(begin), before + size
+    placed = placed.select("role", "scores", (F.col("pos") + begin).alias("place"))
+    block = max(1, min(BLOCK, COLUMNS // n))
+    groups = spark.range(0, -(-reps // block), 1, -(-reps // block)).withColumnRenamed("id", "group")
     floors = _lowest_scores(placed, limit)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = spark.range(0, jobs, 1, max(1, min(jobs, 16 * n))).mapInArrow(
-        draw, "role string, chunk bigint, block int, counts binary, places binary"
-    )
     for lowest in (floors, {}):
-        weighed = (
-            spread(drawn, "role", "chunk").groupBy("role", "chunk")
-            .cogroup(spread(placed, "role", "chunk").groupBy("role", "chunk"))
-            .applyInArrow(_weigh(reps, lowest), WEIGHED)
-        )
-        curves = spread(weighed, "arm", "block").sortWithinPartitions("arm", "block")
-        areas = checkpointed(curves.mapInPandas(_areas(reps, limit, lowest), "arm string, rep bigint, area double, short boolean"))
+        stream = _stream(_marked(placed, arms, lowest), n, -(-n // SLICE), len(arms))
+        # a task for each row of `groups`, which reads the stream from the checkpoint
+        curves = stream.crossJoin(groups.hint("shuffle_replicate_nl"))
+        areas = checkpointed(curves.mapInArrow(_areas(reps, block, limit, sizes, arms, lowest), AREAS))
         if areas.filter("short").isEmpty():
             break
     return areas.groupBy("arm").agg(
