@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.digests import in_blocks, of_numbers
 from ..functions.expressions import hash60, keyed_hash, ratio
 from ..functions.ordering import FEW_ROWS, cut_slots, hash_bucket, positions
-from ..session import checkpointed, spread, task_parts
+from ..session import checkpointed, spread, spread_rows, task_parts
 from .stats import AREA_LIMIT
 from .thresholds import BUDGETS, NEG, POS, detection_at_budgets, stored
 
@@ -31,9 +31,12 @@ SLICE = 1 << 28  # photographs whose draws are counted at once; draws are hashed
 CHUNK = 32_768  # scores of an arm that go in one row
 
 
-def arm_scores(images: DataFrame) -> DataFrame:
-    """(image_id, role, scores): one row per photograph with the few arms' scores as an array."""
-    return spread(images, "image_id").groupBy("image_id", "role").agg(
+def arm_scores(images: DataFrame, dealt: bool = True) -> DataFrame:
+    """(image_id, role, scores): one row per photograph with the few arms' scores as an array.
+
+    If not `dealt`, a rollup that lies by photographs is left as it lies.
+    """
+    return (spread(images, "image_id") if dealt else images).groupBy("image_id", "role").agg(
         F.collect_list(F.struct("arm", stored("max_conf").alias("score"))).alias("scores")
     )
 
@@ -378,9 +381,9 @@ def area_bootstrap(images: DataFrame, reps: int = 2000, limit: float = AREA_LIMI
     spark = images.sparkSession
     key = keyed_hash(F.lit("boot"), "image_id")
     # made once for the counts of its buckets and for its places; the key is made again where rows are sorted by it
-    keyed = checkpointed(arm_scores(images)).withColumn("_bkt", hash_bucket(key))
+    keyed = checkpointed(arm_scores(images, dealt=False)).withColumn("_bkt", hash_bucket(key))
     placed = checkpointed(
-        positions(keyed, ["role"], [key, "image_id"])
+        positions(spread_rows(keyed, keyed.count(), "role", "_bkt"), ["role"], [key, "image_id"])
         .filter(F.col("role").isNotNull()).select("role", "pos", "scores")
     )
     sizes = {r.role: r.n for r in placed.groupBy("role").agg(F.count(F.lit(1)).alias("n")).orderBy("role").collect()}  # one row per role
